@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfield.llm import bpe, packing, simhash, suffixes, toxicity
+from tallyfield.llm import bpe, packing, simhash, suffixes, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +34,9 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op4_toxicity_scores, op7_best_fit_packing, op9_suffix_array_dedup)}
+def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op4_toxicity_scores, op7_best_fit_packing, op9_suffix_array_dedup, op10_embedding_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
