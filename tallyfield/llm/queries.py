@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfield.llm import bpe, packing, quality, simhash, suffixes, toxicity, vectors
+from tallyfield.llm import bpe, licenses, packing, quality, simhash, suffixes, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.detected(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -42,5 +46,5 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op4_toxicity_scores, op6_quality_rules, op7_best_fit_packing, op9_suffix_array_dedup, op10_embedding_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op4_toxicity_scores, op5_license_scan, op6_quality_rules, op7_best_fit_packing, op9_suffix_array_dedup, op10_embedding_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
