@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfield.llm import bpe, licenses, packing, quality, simhash, suffixes, toxicity, vectors
+from tallyfield.llm import bpe, licenses, lines, packing, quality, simhash, suffixes, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_dropped", F.octet_length("kept").cast("long").alias("kept_bytes"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("kept")
 
@@ -46,5 +51,5 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op4_toxicity_scores, op5_license_scan, op6_quality_rules, op7_best_fit_packing, op9_suffix_array_dedup, op10_embedding_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op4_toxicity_scores, op5_license_scan, op6_quality_rules, op7_best_fit_packing, op8_line_dedup, op9_suffix_array_dedup, op10_embedding_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
