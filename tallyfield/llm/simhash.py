@@ -170,6 +170,20 @@ def _key(code: Column, number: int, blocks: list[tuple[int, int]]) -> Column:
     return F.struct(F.lit(number).alias("choice"), key.alias("bits"))
 
 
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row for each component of near-duplicates: that of the smallest id, nulls first.
+
+    Of rows with one id in a component the one with the least hash of its text
+    stays.  All columns are kept as they are.
+    """
+    found = near_duplicates(docs, text, doc_id, keys=True, **options)
+    none = F.lit(-(2**63))
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))).alias("c")).select("c.*")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.coalesce(docs[doc_id].cast("long"), none).alias("__id"), F.xxhash64(docs[text].cast("string")).alias("__t1"), F.xxhash64(F.lit(1), docs[text].cast("string")).alias("__t2"))
+    # repeated rows are equal; the join and the aggregate share one shuffle
+    return keyed.join(chosen, ["__id", "__t1", "__t2"], "left_semi").groupBy("__id", "__t1", "__t2").agg(F.first("__row").alias("__row")).select("__row.*")
+
+
 def links(codes: DataFrame, most: int = 4, group_rows: int = 1024) -> DataFrame:
     """``a, b``: links that join all fingerprints of ``codes(fingerprint)`` at ``most`` bits or fewer into their components."""
     codes = codes.select("fingerprint").distinct()
@@ -206,7 +220,7 @@ def links(codes: DataFrame, most: int = 4, group_rows: int = 1024) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, words: int = 4, most: int = 4, group_rows: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, words: int = 4, most: int = 4, group_rows: int = 1024, keys: bool = False) -> DataFrame:
     """``doc_id, fingerprint, component_id``, a row for each row of ``docs``.
 
     ``fingerprint`` has 16 lowercase hex digits.  ``component_id`` is the smallest
@@ -214,12 +228,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     included.  Null and wordless texts have fingerprint zero and link like any
     other.  Rows that share a ``doc_id`` are nodes of their own.  A null
     ``doc_id`` counts only if a component has no other; then its id is null.
-    Other columns of ``docs`` are not read.
+    Other columns of ``docs`` are not read.  With ``keys`` come ``t1, t2``, hashes
+    of the text, and ``root``, which names a component that has no id as well.
     """
-    marked = written(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"], words=words), "fingerprints")
+    plain = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    of_text = ["t1", "t2"] if keys else []
+    plain = plain.select("*", *[k.alias(n) for k, n in zip((F.xxhash64("text"), F.xxhash64(F.lit(1), "text")), of_text)])
+    marked = written(fingerprints(plain, keep=["doc_id", *of_text], words=words), "fingerprints")
     first = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     found = components(links(marked, most, group_rows))
     rooted = first.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
-    return marked.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    of = rooted.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id", "root")
+    return marked.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *of_text, *(["root"] if keys else []))

@@ -371,7 +371,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, keep: list[str], length: int = 400, keep_first: bool = False, group: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, keep: list[str], length: int = 400, keep_first: bool = False, group: int = 256, as_text: bool = False) -> DataFrame:
     """The ``keep`` columns with ``n_bytes, n_removed, n_spans, kept_sha256`` and ``kept`` (binary).
 
     A byte goes if a string of ``length`` bytes that covers it also starts
@@ -379,7 +379,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     starts earlier, by document id (nulls first) and place.  Matches are judged
     on the input and don't cross texts.  One row for each row of ``docs``; null
     counts as empty, and texts under ``length`` bytes stay as they are.  Rows
-    with one id and one text keep alike.  ``kept`` need not be valid UTF-8.
+    with one id and one text keep alike.  ``kept`` need not be valid UTF-8; with
+    ``as_text`` it is a string, without the bytes of characters that were cut.
     """
     if clash := {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "__text", "__doc"} & set(keep):
         raise ValueError(f"columns named as results: {sorted(clash)}")
@@ -399,11 +400,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 cuts = _merged([(x["a"], x["b"]) for x in spans or []])
                 ends = [0, *(x for c in cuts for x in c), len(raw)]
                 kept = b"".join(raw[i:j] for i, j in zip(ends[::2], ends[1::2]))
-                for column, value in zip(out, (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept)):
+                for column, value in zip(out, (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if as_text else kept)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())))], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = docs.select(*[docs[c] for c in keep]).schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary")):
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string" if as_text else "binary")):
         schema = schema.add(name, kind)
     return ready.mapInArrow(run, schema)
