@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyfield.llm import bpe, licenses, lines, packing, quality, simhash, suffixes, toxicity, vectors
+from tallyfield.llm import bpe, licenses, lines, packing, pieces, quality, simhash, suffixes, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op4_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -51,5 +55,5 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op4_toxicity_scores, op5_license_scan, op6_quality_rules, op7_best_fit_packing, op8_line_dedup, op9_suffix_array_dedup, op10_embedding_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_sentencepiece_codec, op4_toxicity_scores, op5_license_scan, op6_quality_rules, op7_best_fit_packing, op8_line_dedup, op9_suffix_array_dedup, op10_embedding_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}
