@@ -146,17 +146,18 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
     lines and stay null.  Lines without a token are never dropped.  A null id
     comes before all others where the first document is chosen.
     """
-    if clash := {"n_lines", "n_dropped", "kept", "__text", "__lines"} & set(keep):
+    if clash := {"n_lines", "n_dropped", "kept"} & set(keep):
         raise ValueError(f"columns named as results: {sorted(clash)}")
     plain = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     gone = recurring(plain, depth, similar, least).withColumnRenamed("lines", "__lines")
-    slim = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
-    marked = slim.select("*", F.xxhash64("__text").alias("t1"), F.xxhash64(F.lit(1), "__text").alias("t2")).join(gone, ["t1", "t2"], "left").select(*keep, "__text", "__lines")
+    # one column for those that are kept, so that their names can't clash
+    slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[text].cast("string").alias("__text"))
+    marked = slim.select("*", F.xxhash64("__text").alias("t1"), F.xxhash64(F.lit(1), "__text").alias("t2")).join(gone, ["t1", "t2"], "left").select("__row", "__text", "__lines")
 
     def run(batches):
         for b in slices(batches):
             out = [[], [], []]
-            for t, drop in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()):
+            for t, drop in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 lines = t.split("\n") if t else []
                 kept = lines
                 if drop:
@@ -164,7 +165,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
                     kept = [x for x in lines if (k := line_keys(x, depth)) is None or k[1] not in drop]
                 for column, value in zip(out, (len(lines), len(lines) - len(kept), t if kept is lines else "\n".join(kept))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=[*keep, "n_lines", "n_dropped", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["__row", "n_lines", "n_dropped", "kept"])
 
-    schema = slim.select(*keep).schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
-    return marked.mapInArrow(run, schema)
+    schema = slim.select("__row").schema.add("n_lines", "long").add("n_dropped", "long").add("kept", "string")
+    return marked.mapInArrow(run, schema).select("__row.*", "n_lines", "n_dropped", "kept")

@@ -158,13 +158,14 @@ def judged(docs: DataFrame, text: str = "text", *, keep: list[str], lang: str =
     passing the base rules is enough.
     """
     results = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"}
-    if clash := {*results, "__lang", "__source", "__lines"} & set(keep):
+    if clash := results & set(keep):
         raise ValueError(f"columns named as results: {sorted(clash)}")
-    named = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"), F.coalesce(docs[lang].cast("string"), F.lit("\0")).alias("__lang"), F.coalesce(docs[source].cast("string"), F.lit("\0")).alias("__source"))
-    stats = measured(named, "__text", [*keep, "__lang", "__source"])
+    # one column for those that are kept, so that their names can't clash
+    named = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[text].alias("__text"), F.coalesce(docs[lang].cast("string"), F.lit("\0")).alias("__lang"), F.coalesce(docs[source].cast("string"), F.lit("\0")).alias("__source"))
+    stats = measured(named, "__text", ["__row", "__lang", "__source"])
     stats = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     stats = written(stats.select("*", *_features()), "statistics")
-    passed = stats.where("not base_failed").withColumn("u", F.xxhash64(*keep) if keep else F.lit(0))
+    passed = stats.where("not base_failed").withColumn("u", F.xxhash64("__row"))
     finest = F.concat_ws("\1", F.lit("s"), "__lang", "__source")
     middle = F.concat_ws("\1", F.lit("l"), "__lang")
     at = passed.groupBy("__lang", "__source").count().select("__lang", "__source", "count", finest.alias("fine"), middle.alias("mid"))
@@ -181,4 +182,4 @@ def judged(docs: DataFrame, text: str = "text", *, keep: list[str], lang: str =
     # three quarters of the rows have less spread than all; for five statistics by this much
     out = all_rows.withColumn("distance", F.when(~F.col("base_failed"), distance / 1.9))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select(*keep, *names, "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance")
+    return out.select("__row.*", *names, "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance")

@@ -382,29 +382,30 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     with one id and one text keep alike.  ``kept`` need not be valid UTF-8; with
     ``as_text`` it is a string, without the bytes of characters that were cut.
     """
-    if clash := {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "__text", "__doc"} & set(keep):
+    if clash := {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"} & set(keep):
         raise ValueError(f"columns named as results: {sorted(clash)}")
     plain = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     spans = repeated_spans(plain, length, keep_first, group)
-    slim = docs.select(*[docs[c] for c in keep], F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text"), docs[doc_id].cast("long").alias("__doc"))
+    # one column for those that are kept, so that their names can't clash
+    slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text"), docs[doc_id].cast("long").alias("__doc"))
     keyed = slim.select("*", *_text_key(F.col("__text"))).join(spans, ["t1", "t2"], "left")
     again = F.lit(keep_first) & F.col("spans").isNotNull() & ~F.col("__doc").eqNullSafe(F.col("first"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("__text").cast("long").alias("b")))
-    ready = keyed.select(*keep, "__text", F.when(again, whole).otherwise(F.col("spans")).alias("spans"))
+    ready = keyed.select("__row", "__text", F.when(again, whole).otherwise(F.col("spans")).alias("spans"))
 
     def run(batches):
         for b in slices(batches, 64):
             out = [[], [], [], [], []]
-            for t, spans in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist()):
+            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = t.encode()
                 cuts = _merged([(x["a"], x["b"]) for x in spans or []])
                 ends = [0, *(x for c in cuts for x in c), len(raw)]
                 kept = b"".join(raw[i:j] for i, j in zip(ends[::2], ends[1::2]))
                 for column, value in zip(out, (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if as_text else kept)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())))], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())))], names=["__row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    schema = docs.select(*[docs[c] for c in keep]).schema
+    schema = slim.select("__row").schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string" if as_text else "binary")):
         schema = schema.add(name, kind)
-    return ready.mapInArrow(run, schema)
+    return ready.mapInArrow(run, schema).select("__row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
