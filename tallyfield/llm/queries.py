@@ -56,4 +56,14 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_sentencepiece_codec, op4_toxicity_scores, op5_license_scan, op6_quality_rules, op7_best_fit_packing, op8_line_dedup, op9_suffix_array_dedup, op10_embedding_near_duplicates)}
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators' results depend on hashes, vocabularies, fitted models or
+#: trees that SQL doesn't have; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op10_embedding_near_duplicates": """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        good AS MATERIALIZED (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good AS a, good AS b WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        r AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.root = l.a),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a),
+        c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id)
+        SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+}
