@@ -314,6 +314,14 @@ def _bins_sql() -> str:
     return f"SELECT k::INT AS bin, {edge('k')} AS lo, CASE WHEN k = 13 THEN 25e0 ELSE {edge('k + 1')} END AS hi FROM (SELECT unnest(range(14)) AS k)"
 
 
+def _lattice_sql() -> str:
+    t, pi = math.radians(30.0), math.pi
+    lo, hi = f"(i * {pi / 6!r}::DOUBLE - {pi / 2!r}::DOUBLE)", f"((i + 1) * {pi / 6!r}::DOUBLE - {pi / 2!r}::DOUBLE)"
+    n = f"greatest(1, floor({2 * pi!r}::DOUBLE / least({2 * pi!r}::DOUBLE, 2 * asin(least(1e0, {math.sin(t)!r}::DOUBLE / least(cos({lo}), cos({hi})))))))::INT"
+    return f"""SELECT (row_number() OVER (ORDER BY i, j) - 1)::INT AS cell, i::INT AS dec_band, j::INT AS ra_cell, round({lo}, 6) AS dec_min, round({hi}, 6) AS dec_max, round(j * {2 * pi!r}::DOUBLE / n, 6) AS ra_min, round((j + 1) * {2 * pi!r}::DOUBLE / n, 6) AS ra_max
+        FROM (SELECT i, n, unnest(range(n)) AS j FROM (SELECT i, {n} AS n FROM (SELECT unnest(range(6)) AS i)))"""
+
+
 _WP_BINS = [2.0, 3.0, 4.0]
 
 ORACLE_SQL = {
@@ -337,5 +345,6 @@ ORACLE_SQL = {
     "landy_szalay_wp": f"SELECT rmin, rmax, CASE WHEN count(cf) = 4 THEN round(2 * sum(cf), 6) END AS wp FROM ({_ls_sql(_ddrppi_sql('orders', None, _WP_BINS), _ddrppi_sql('orders', 'part', _WP_BINS), _ddrppi_sql('part', None, _WP_BINS), 'rmin, rmax, pimax')}) GROUP BY ALL",
     "landy_szalay_theta": f"SELECT thetamin, thetamax, round(cf, 6) AS wtheta FROM ({_ls_sql(_theta_sql('orders', None), _theta_sql('orders', 'part'), _theta_sql('part', None), 'thetamin, thetamax')})",
     "comoving_distance": _distance_sql(),
+    "sky_lattice": _lattice_sql(),
     "log_bins": _bins_sql(),
 }
