@@ -94,9 +94,11 @@ def DDsmu_mocks(points: DataFrame, cosmology: int, mu_max: float, nmu_bins: int,
     return dense(found.table, edges, ("smin", "smax", "savg"), bool(weight_type), ("mumax", [(j + 1) * dmu for j in range(nmu_bins)]))
 
 
-def DDtheta_mocks(points: DataFrame, bins, other: DataFrame | None = None, *, weight_type=None, output_thetaavg: bool = False, max_cells_per_dim: int = 400) -> DataFrame:
+def DDtheta_mocks(points: DataFrame, bins, other: DataFrame | None = None, *, weight_type=None, output_thetaavg: bool = False, fast_acos: bool = False, max_cells_per_dim: int = 400) -> DataFrame:
     """Counts by angle in degrees: ``thetamin, thetamax, thetaavg, npairs, weightavg``.
 
+    ``fast_acos`` takes the mean angle from a polynomial; counts don't depend on it.
+
     Directions are unit vectors in a lattice of their chord, so neither poles nor
     the origin of right ascension need care.
     """
@@ -110,7 +112,7 @@ def DDtheta_mocks(points: DataFrame, bins, other: DataFrame | None = None, *, we
     def metric(ax, ay, az, bx, by, bz):
         cosine = ax * bx + ay * by + az * bz
         low = F.lit(True) if edges[0] <= 0 else cosine <= cosines[0]
-        return Measured((cosine > cosines[-1]) & low, (bin_index(cosine, cosines, falling=True),), angle(cosine))
+        return Measured((cosine > cosines[-1]) & low, (bin_index(cosine, cosines, falling=True),), angle(cosine, fast_acos))
 
     def directions(df):
         df = fix_ra_dec(df)
