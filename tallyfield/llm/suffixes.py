@@ -350,7 +350,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
     every = F.array(F.array(F.lit(0), F.col("windows").cast("int")))
     none = F.array().cast("array<array<int>>")
     runs = kinds.join(of, ["m", "c"], "left").withColumn("all", F.when(~F.col("several") | (F.col("n") > 1), every).otherwise(F.coalesce("repeated", none)))
+    # written: a join of two tables can be split where one stretch stands in many texts
     runs = runs.select("m", "c", "all", F.coalesce("later", none).alias("own"), F.col("t1").alias("f1"), F.col("t2").alias("f2"), F.col("start").alias("f_start"))
+    runs = written(runs.where((F.size("all") > 0) | (F.size("own") > 0)), "runs")
     is_first = (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2")) & (F.col("start") == F.col("f_start"))
     # a place that isn't the first of its kind repeats whole
     runs_here = F.when(is_first, F.col("own")).otherwise(every) if keep_first else F.col("all")
