@@ -33,6 +33,8 @@ FLOOR = (0.05, 0.01, 0.0004, 0.0025, 0.0025)
 SAMPLE, STARTS, LEAST = 600, 30, 100
 #: Share of a group's rows in the subset, and steps over all rows.
 SUBSET, STEPS = 0.75, 4
+#: Groups whose estimates, a quarter of a kilobyte each, are broadcast; more are joined by a shuffle.
+BROADCAST = 10_000
 #: Mahalanobis distance, squared, that is let pass; far beyond the tails of text statistics.
 CUTOFF = 100.0
 
@@ -117,14 +119,19 @@ def _distance() -> Column:
     return sum((y[i] * y[j] * F.col("inv")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
 
 
+def _joined(rows: DataFrame, groups: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``groups`` has for them; up to ``BROADCAST`` groups, counted, go to all tasks."""
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST else groups, on, how)
+
+
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """``g, mean, inv`` of each group of ``rows(g, *FEATURES)``."""
     k = len(FEATURES)
     order = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64(*FEATURES, "u")))
     # a group's rows are thinned by hash to a few times the sample before any of them meet
-    sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
+    sizes = written(rows.groupBy("g").agg(F.count("*").alias("size")), "sizes")
     mark = F.pmod(F.xxhash64(*FEATURES, "u"), F.lit(1_000_000)) / 1_000_000.0
-    few = rows.join(sizes, "g").where(mark * F.col("size") < 2 * SAMPLE).select("g", *FEATURES, "u").withColumn("i", order).where(F.col("i") <= SAMPLE)
+    few = _joined(rows, sizes, "g").where(mark * F.col("size") < 2 * SAMPLE).select("g", *FEATURES, "u").withColumn("i", order).where(F.col("i") <= SAMPLE)
 
     def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("i")[list(FEATURES)].to_numpy()
@@ -139,9 +146,9 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     for _ in range(steps):
-        far = rows.join(now, "g").select("g", *FEATURES, _distance().alias("d"))
-        bound = far.groupBy("g").agg(F.percentile_approx("d", SUBSET, 2000).alias("bound"))
-        near = far.join(bound, "g").where("d <= bound")
+        far = _joined(rows, now, "g").select("g", *FEATURES, _distance().alias("d"))
+        bound = written(far.groupBy("g").agg(F.percentile_approx("d", SUBSET, 2000).alias("bound")), "bounds")
+        near = _joined(far, bound, "g").where("d <= bound")
         sums = near.groupBy("g").agg(F.count("*").alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i, j in pairs])
         cov = F.array(*[F.col(f"c{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
         now = written(sums.select("g", F.array(*[f"m{i}" for i in range(k)]).alias("mean"), inverse(cov).alias("inv")), "estimates")
@@ -168,16 +175,17 @@ def judged(docs: DataFrame, text: str = "text", *, keep: list[str], lang: str =
     passed = stats.where("not base_failed").withColumn("u", F.xxhash64("__row"))
     finest = F.concat_ws("\1", F.lit("s"), "__lang", "__source")
     middle = F.concat_ws("\1", F.lit("l"), "__lang")
-    at = passed.groupBy("__lang", "__source").count().select("__lang", "__source", "count", finest.alias("fine"), middle.alias("mid"))
+    at = written(passed.groupBy("__lang", "__source").count().select("__lang", "__source", "count", finest.alias("fine"), middle.alias("mid")), "groups")
     by_lang = at.groupBy("mid").agg(F.sum("count").alias("of_lang"))
     level = at.join(by_lang, "mid").select("__lang", "__source", F.when(F.col("count") >= LEAST, F.col("fine")).when(F.col("of_lang") >= LEAST, F.col("mid")).otherwise(F.lit("all")).alias("own"))
     # every row counts for its own group, and for wider ones that some group needs
     wider = level.where(~F.col("own").startswith("s")).select("own").distinct()
     rows = passed.select(F.explode(F.array(finest, middle, F.lit("all"))).alias("g"), "u", *FEATURES)
     wanted = level.select(F.col("own").alias("g")).union(wider.select(F.col("own").alias("g"))).distinct()
-    rows = written(rows.join(wanted, "g"), "judged")
+    rows = written(_joined(rows, written(wanted, "wanted"), "g"), "judged")
     found = estimates(rows).where(F.size("mean") > 0)
-    all_rows = stats.join(level.join(found.withColumnRenamed("g", "own"), "own"), ["__lang", "__source"], "left")
+    of_groups = written(level.join(found.withColumnRenamed("g", "own"), "own"), "estimates")
+    all_rows = _joined(stats, of_groups, ["__lang", "__source"], "left")
     distance = F.when(F.col("mean").isNotNull(), _distance())
     # three quarters of the rows have less spread than all; for five statistics by this much
     out = all_rows.withColumn("distance", F.when(~F.col("base_failed"), distance / 1.9))
