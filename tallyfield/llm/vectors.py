@@ -53,8 +53,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def pivot_count(n: int) -> int:
-    """A power of two near the square root of the number of vectors, from 64 to ``PIVOTS``."""
-    return int(min(PIVOTS, max(64, 2 ** np.ceil(np.log2(max(1, n) ** 0.5)))))
+    """A power of two from twice the square root of the number of vectors up, from 64 to ``PIVOTS``.
+
+    Then there are many more triples than entries in the lists, and few lists
+    hold vectors that meet by chance.
+    """
+    return int(min(PIVOTS, max(64, 2 ** np.ceil(np.log2(2 * max(1, n) ** 0.5)))))
 
 
 def _described(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
