@@ -32,7 +32,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_symbols() -> dict[str, int]:
+def byte_symbols() -> dict[str, int]:
     """The printable stand-ins that byte-level vocabularies write for bytes."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
@@ -45,7 +45,7 @@ class PairMerger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             merges = json.load(f)["model"]["merges"]
-        symbol = dict(_byte_symbols())
+        symbol = dict(byte_symbols())
         #: By pair of symbols, 20 bits each: the rank, then 20 bits of the merged symbol.
         self.pairs: dict[int, int] = {}
         for rank, pair in enumerate(merges):

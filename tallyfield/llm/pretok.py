@@ -10,8 +10,8 @@ that do.
 from __future__ import annotations
 
 import functools
+import operator
 import re
-import sys
 import unicodedata
 
 #: The code points of Unicode's White_Space property.
@@ -20,22 +20,21 @@ WHITE_SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u202
 SPECIAL = "<|endoftext|>"
 
 
-def _ranges(first_letter: str) -> str:
-    out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == first_letter
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
+#: Code points from here on are unassigned, private or tags: neither letters nor digits.
+_LAST = 0x40000
+
+
+@functools.cache
+def _ranges() -> dict[str, str]:
+    """Character classes of letters (``L``) and digits (``N``)."""
+    kinds = "".join(map(operator.itemgetter(0), map(unicodedata.category, map(chr, range(_LAST)))))
+    return {k: "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(f"{k}+", kinds)) for k in "LN"}
 
 
 @functools.cache
 def splitter() -> re.Pattern:
     """The compiled rule; ``findall`` gives the pre-tokens, which join to the text."""
-    letter, digit, space = _ranges("L"), _ranges("N"), WHITE_SPACE
+    letter, digit, space = _ranges()["L"], _ranges()["N"], WHITE_SPACE
     return re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 

@@ -224,6 +224,18 @@ def test_packing(spark, tokenizer):
     assert packing.packed(docs(spark, rows).limit(0), keep=["doc_id"]).count() == 0
 
 
+def test_fast_identifiers(tokenizer):
+    ranks = packing.ranked(bpe.default_path())
+    count = bpe.PairMerger(bpe.default_path()).count
+    # what makes both ways of merging agree on every text
+    assert len(ranks) == 50_256 and all(count(t) == 1 for t in ranks)
+    encoder = packing.Encoder(bpe.default_path(), entries=500)
+    all_texts = [*texts(4000, 9), "ab" * 2000, "The the, the. (the)"]
+    for i in range(0, len(all_texts), 256):
+        for t, got in zip(all_texts[i : i + 256], encoder.encode(all_texts[i : i + 256])):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing_plan_uses_up_the_histogram():
     rng = np.random.default_rng(1)
     for scale in (1, 3000):
