@@ -39,19 +39,24 @@ FRONTIER = 1 << 20
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The unsigned fingerprint of one text; 0 without words."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 values of the word shingles of one text, in order; of all words where they are fewer, none without words."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     end = np.cumsum(size + 1) - 1
     start = (end - size)[: len(tokens) - words + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(start, end[words - 1 :].tolist())), np.uint64, len(start))
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(start, end[words - 1 :].tolist())), np.uint64, len(start))
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The unsigned fingerprint of one text; 0 without words."""
+    hashes = shingles(text, words)
     by_byte = hashes.view(np.uint8).reshape(-1, 8)  # little-endian: byte i has the bits from 8 * i
     if len(hashes) < 64:
         ones = np.unpackbits(by_byte, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -176,7 +181,11 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **o
     Of rows with one id in a component the one with the least hash of its text
     stays.  All columns are kept as they are.
     """
-    found = near_duplicates(docs, text, doc_id, keys=True, **options)
+    return least_of_each(docs, near_duplicates(docs, text, doc_id, keys=True, **options), text, doc_id)
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``docs`` with one row for each ``root`` of ``found(doc_id, t1, t2, root)``, as ``one_of_each`` says."""
     none = F.lit(-(2**63))
     chosen = found.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", none).alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))).alias("c")).select("c.*")
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.coalesce(docs[doc_id].cast("long"), none).alias("__id"), F.xxhash64(docs[text].cast("string")).alias("__t1"), F.xxhash64(F.lit(1), docs[text].cast("string")).alias("__t2"))

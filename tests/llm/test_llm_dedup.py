@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyfield.llm import graph, lines, simhash, suffixes, vectors
+from tallyfield.llm import graph, lines, shingles, simhash, suffixes, vectors
 from tallyfield.llm.shared import written
 
 
@@ -98,6 +98,36 @@ def test_gray_index_is_exact():
     assert len(simhash._blocks(10**9, 4, 1024)) > len(simhash._blocks(10**4, 4, 1024)) == 5
 
 
+def edited_rows():
+    rng = random.Random(31)
+    rows = [(i, " ".join(words(rng, rng.randint(0, 40)))) for i in range(60)]
+    for k in range(6):
+        base = words(rng, 200)
+        for i in range(25):
+            w = list(base)
+            for _ in range(rng.randint(0, 8)):
+                w[rng.randrange(len(w))] = "edit"
+            rows.append((100 + 30 * k + i, " ".join(w).upper() if i % 3 else "\n".join(w)))
+    return rows + [(400, None), (401, ""), (402, " \t\n"), (403, rows[5][1]), (403, rows[5][1]), (404, "a b"), (405, "A  b"), (406, "a c")]
+
+
+@pytest.mark.parametrize("group_rows", [256, 8])
+def test_pipeline_near_duplicates(spark, group_rows, monkeypatch):
+    import corpus_pipeline
+
+    rows = edited_rows()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").encode().lower().split()) else set() for _, t in rows]
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b) > 0
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    fps = [fingerprint_brute(t) for _, t in rows]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 4 for i, j in near) > 100
+    up = roots(len(rows), near)
+    monkeypatch.setattr(shingles.links, "__defaults__", (5, group_rows))
+    monkeypatch.setattr(shingles.one_of_each, "__kwdefaults__", {"words": 5, "group_rows": group_rows})
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()
+    assert Counter(r.doc_id for r in kept) == Counter(rows[r][0] for r in set(up))
+
+
 def lines_brute(rows, depth=3, similar=0.7, least=3):
     texts = {}
     for d, t in rows:
