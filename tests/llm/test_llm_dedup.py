@@ -226,6 +226,19 @@ def test_suffix_edges(spark, monkeypatch):
     assert covered == list(range(4601))
 
 
+def test_pipeline_keeps_the_first_of_repeated_strings(spark):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = line(600)
+    rows = [(i, f"{line(50)}{i}[{passage}]{i}{line(50)}") for i in range(4)]
+    full = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    cut = {r.doc_id: r for r in corpus_pipeline.remove_repeated_strings(spark, full, "").collect()}
+    assert {d: r.text for d, r in cut.items()} == {d: t if d == 0 else t.replace(f"[{passage}]", "") for d, t in rows}
+    assert all(r.n_chars == len(r.text) for r in cut.values())
+
+
 def test_longest_previous_factors():
     rng = np.random.default_rng(3)
     codes = rng.integers(97, 99, 120).astype(np.uint8)
