@@ -239,6 +239,20 @@ def test_pipeline_keeps_the_first_of_repeated_strings(spark):
     assert all(r.n_chars == len(r.text) for r in cut.values())
 
 
+def test_pipeline_cuts_passages_of_fifty_words(spark):
+    import corpus_pipeline
+
+    plain = str.maketrans("éü", "eu")
+    passage = " ".join(w.translate(plain) for w in words(random.Random(19), 51))
+    assert corpus_pipeline.PASSAGE <= len(passage) < 400
+    rows = [(d, t and t.translate(plain)) for d, t in repeated_rows() if d not in (92, 93)] + [(200 + i, f"{'xyz'[i]}{passage}{'zxy'[i]}") for i in range(3)]
+    full = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows], "doc_id long, text string, n_chars long")
+    cut = {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_strings(spark, full, "").collect()}
+    assert [cut[200 + i] for i in range(3)] == [f"x{passage}z", "yx", "zy"]
+    brute = repeats_brute(rows, corpus_pipeline.PASSAGE, True)
+    assert Counter((d, hashlib.sha256(t.encode()).hexdigest()) for d, t in cut.items()) == Counter((k[0], k[-1]) for k in brute)
+
+
 def test_longest_previous_factors():
     rng = np.random.default_rng(3)
     codes = rng.integers(97, 99, 120).astype(np.uint8)
