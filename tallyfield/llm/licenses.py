@@ -25,10 +25,10 @@ STEMS = ("licen", "copyright", "reserv", "réserv", "vorbehalten", "public domai
 #: Label, keyword, what names the licence, its short names with the keyword of those.
 _NAMED = [
     ("gpl", "general", "(?:gnu )?general public licen[cs]e", "gnu gpl|gpl ?v?[123](?: 0)?|gpl", "gpl"),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public licen[cs]e", "gnu lgpl|lgpl ?v?[23](?: [01])?|lgpl", "lgpl"),
+    ("lgpl", "general public", "(?:gnu )?(?:lesser|library) general public licen[cs]e", "gnu lgpl|lgpl ?v?[23](?: [01])?|lgpl", "lgpl"),
     ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e", "gnu agpl|agpl ?v?[13](?: 0)?|agpl", "agpl"),
     ("gfdl", "free documentation", "(?:gnu )?free documentation licen[cs]e", "gnu fdl|gfdl", "fdl"),
-    ("apache", "apache", "apache (?:software )?licen[cs]e", "apache (?:1 [01]|2(?: 0)?)|asl 2(?: 0)?", "2"),
+    ("apache", "apache", "apache (?:software )?licen[cs]e", "apache (?:1 [01]|2(?: 0)?)|asl 2(?: 0)?", "licen"),
     ("mit", "mit", "(?:the )?mit licen[cs]e", "mit style licen[cs]e|mit x11", "mit"),
     ("bsd", "bsd", "(?:the )?(?:[0234] clause |modified |simplified |revised |new )?bsd licen[cs]e", "bsd [0234] clause|(?:two|three) clause bsd", "bsd"),
     ("isc", "isc", "(?:the )?isc licen[cs]e", "isc style licen[cs]e", "isc"),
@@ -88,7 +88,7 @@ _ALONE = [
     ("proprietary", "proprietary", "proprietary (?:and|or) confidential", 2),
     ("proprietary", "proprietary", "proprietary licen[cs]e", 2),
     ("proprietary", "unauthorized", "unauthorized (?:copying|reproduction|distribution|use)", 2),
-    ("proprietary", "reproduced", "may not be (?:copied|reproduced|distributed)", 1),
+    ("proprietary", "may not be", "may not be (?:copied|reproduced|distributed)", 1),
     ("proprietary", "written permission", "without (?:the )?(?:express |prior )*written permission", 1),
     ("proprietary", "licensed not sold", "licensed not sold", 2),
     ("proprietary", "end user", "end user licen[cs]e agreement", 2),

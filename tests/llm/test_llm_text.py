@@ -160,6 +160,49 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 200 and all(re.compile(r) for _, _, r, _ in licenses.rules())
 
 
+def strings_of(regex):
+    """Strings that a rule's regex takes: each alternative, each option with and without, one character of a range."""
+    from re import _constants as c, _parser
+
+    def of(parsed):
+        out = [""]
+        for op, arg in parsed:
+            if op is c.LITERAL:
+                step = [chr(arg)]
+            elif op is c.NOT_LITERAL:
+                step = ["~"]
+            elif op is c.IN:
+                step = [chr(v if k is c.LITERAL else v[0]) for k, v in arg]
+            elif op is c.BRANCH:
+                step = [s for branch in arg[1] for s in of(branch)]
+            elif op is c.SUBPATTERN:
+                step = of(arg[-1])
+            elif op is c.MAX_REPEAT:
+                once = of(arg[2])
+                step = [s * n for n in {arg[0], min(arg[1], arg[0] + 1)} for s in (once if n else [""])]
+            else:
+                assert op is c.ASSERT_NOT, op
+                continue
+            out = [a + b for a in out for b in dict.fromkeys(step)]
+        return out
+
+    return of(_parser.parse(regex))
+
+
+def test_license_keywords(spark):
+    for label, key, regex, _ in licenses.rules():
+        for s in strings_of(regex):
+            assert re.fullmatch(regex, s) and key in s and any(k in s for k in licenses.STEMS), (label, key, s)
+    cases = {
+        1: ("GNU Library General Public License", "gpl,lgpl"),
+        2: ("It may not be copied or distributed.", "proprietary"),
+        3: ("licensed under Apache 1.1", "apache"),
+        4: ("licensed under ASL 2", "apache"),
+    }
+    got = licenses.detected(docs(spark, [(k, t) for k, (t, _) in cases.items()]), keep=["doc_id"])
+    assert {r.doc_id: r.labels for r in got.collect()} == {k: v for k, (_, v) in cases.items()}
+
+
 def quality_brute(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     seen, dup = set(), 0
