@@ -4,7 +4,8 @@ Texts are folded first: compatibility forms, look-alike letters of other
 scripts, digits and signs that stand for letters, zero-width characters, case;
 all else becomes spaces.  An automaton then finds lexicon entries, each a word
 or the beginning of words.  Where several start at one place the longest counts
-alone, so a longer exception phrase with weight zero silences a shorter entry.
+alone, so a longer exception with weight zero silences a shorter entry.  Learned
+exceptions are single words; phrases of several words aren't learned.
 Weights are smoothed log odds of a document being labelled toxic.  The sum and
 the largest of them, taken against the length of the text, go through a logistic
 function fitted on the same labelled rows.
