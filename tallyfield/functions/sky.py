@@ -75,15 +75,15 @@ def _acos_coefficients(degree: int = 8) -> tuple[float, ...]:
     return tuple(np.polynomial.Chebyshev.interpolate(smooth, degree, domain=[0, 1]).convert(kind=np.polynomial.Polynomial).coef)
 
 
-def fast_acos(x: Column) -> Column:
+def fast_acos(x: np.ndarray) -> np.ndarray:
     """Arc cosine by a polynomial, within 1e-8 of the exact one; multiplications and a root only."""
-    y, value = F.abs(x), F.lit(0.0)
+    y, value = np.abs(x), 0.0
     for c in reversed(_acos_coefficients()):
         value = value * y + c
-    positive = F.sqrt(1.0 - y) * value
-    return F.when(x >= 0, positive).otherwise(np.pi - positive)
+    positive = np.sqrt(1.0 - y) * value
+    return np.where(x >= 0, positive, np.pi - positive)
 
 
-def angle(cosine: Column, fast: bool = False) -> Column:
-    """Degrees from a cosine, which roundoff may have carried past 1."""
-    return F.degrees((fast_acos if fast else F.acos)(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine))))
+def degrees_between(cosine: np.ndarray, fast: bool = False) -> np.ndarray:
+    """Degrees from cosines, which roundoff may have carried past 1."""
+    return np.degrees((fast_acos if fast else np.arccos)(np.clip(cosine, -1.0, 1.0)))

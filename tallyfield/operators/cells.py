@@ -8,8 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyfield.operators.mocks import cartesian
-from tallyfield.plans.grid import Grid, wrap_lengths
+from tallyfield.plans.grid import MAX_CELLS, Grid
 from tallyfield.plans.points import Extent
+from tallyfield.plans.tiles import wrap_lengths
+from tallyfield.sources.catalogs import read_centers, write_centers
+
+#: Centres up to which they and their 27 cells, 40 bytes each, go to all tasks; more meet the points by a shuffle.
+BROADCAST = 20_000
 
 
 def random_centers(n: int, seed: int, low, length, margin: float | None = None) -> np.ndarray:
@@ -31,13 +36,15 @@ def random_centers(n: int, seed: int, low, length, margin: float | None = None)
     return found[:n]
 
 
-def _near(centers: DataFrame, points: DataFrame, grid: Grid, rmax: float) -> DataFrame:
-    """``cid, r2`` of each point within ``rmax`` of each centre."""
-    left = centers.select("cid", *[F.col(v).alias(f"a_{v}") for v in "xyz"], F.explode(grid.neighbours(grid.cell(F.col("x"), F.col("y"), F.col("z")), False)).alias("k"))
+def _near(centers: DataFrame, points: DataFrame, grid: Grid, rmax: float, n: int) -> DataFrame:
+    """``cid, r2`` of each point within ``rmax`` of each of at most ``n`` centres."""
+    left = centers.select("cid", *[F.col(v).alias(f"a_{v}") for v in "xyz"], F.explode(grid.neighbours(grid.cell(F.col("x"), F.col("y"), F.col("z")))).alias("k"))
     right = points.select(*[F.col(v).alias(f"b_{v}") for v in "xyz"], grid.key(grid.cell(F.col("x"), F.col("y"), F.col("z"))).alias("k"))
     d = [grid.separation(F.col(f"a_{v}"), F.col(f"b_{v}"), i) for i, v in enumerate("xyz")]
     r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    return left.join(right, "k").select("cid", r2.alias("r2")).where(F.col("r2") < rmax * rmax)
+    # never by the size that is guessed for the exploded side
+    joined = right.join(F.broadcast(left), "k") if n <= BROADCAST else right.hint("merge").join(left, "k")
+    return joined.select("cid", r2.alias("r2")).where(F.col("r2") < rmax * rmax)
 
 
 def _probabilities(centers: DataFrame, near: DataFrame, rmax: float, nbins: int, numpN: int, total: int) -> DataFrame:
@@ -58,40 +65,66 @@ def _checked(rmax: float, nbins: int, nspheres: int, numpN: int) -> None:
         raise ValueError("rmax, nbins, nspheres and numpN must be positive")
 
 
-def vpf(points: DataFrame, rmax: float, nbins: int, nspheres: int, numpN: int, seed: int, *, periodic: bool = True, boxsize=None, centers: DataFrame | None = None, max_cells_per_dim: int = 400) -> DataFrame:
+def _given(spark, centers: DataFrame | str | None, rmax: float, nspheres: int) -> DataFrame | None:
+    """Centres as rows, or from a file of them if it has enough that are large enough."""
+    return read_centers(spark, centers, rmax, nspheres) if isinstance(centers, str) else centers
+
+
+def vpf(points: DataFrame, rmax: float, nbins: int, nspheres: int, numpN: int, seed: int, *, periodic: bool = True, boxsize=None, centers: DataFrame | str | None = None, max_cells_per_dim: int = MAX_CELLS) -> DataFrame:
     """``rmax, pN`` for ``nbins`` radii up to ``rmax``; ``pN[i]`` is the share of spheres with exactly i points.
 
     Centres are random in the box (with open sides, no sphere leaves the points'
-    extent), or the rows ``cid, x, y, z`` of ``centers``.
+    extent), or the rows ``cid, x, y, z`` of ``centers``.  If ``centers`` is a path,
+    it is used if it holds ``nspheres`` spheres of at least ``rmax``, and written
+    with the random ones otherwise.
     """
     _checked(rmax, nbins, nspheres, numpN)
-    extent = Extent.of(points)
+    spark, extent = points.sparkSession, Extent.of(points)
     if not extent.n:
         raise ValueError("there are no points")
     wrap = wrap_lengths(extent, boxsize, periodic)
     length = [w if w is not None else hi - lo for w, lo, hi in zip(wrap, extent.low, extent.high)]
-    if centers is None:
+    given = _given(spark, centers, rmax, nspheres)
+    if given is None:
         drawn = random_centers(nspheres, seed, extent.low, length, None if periodic else rmax)
-        centers = points.sparkSession.createDataFrame([(i, *map(float, c)) for i, c in enumerate(drawn)], "cid long, x double, y double, z double")
-        total = nspheres
+        chosen, total = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(drawn)], "cid long, x double, y double, z double"), nspheres
+        if isinstance(centers, str):
+            write_centers(chosen, centers, rmax)
     else:
-        centers = centers.select("cid", "x", "y", "z").orderBy("cid").limit(nspheres)
-        total = centers.count()
+        chosen = given.select("cid", "x", "y", "z").orderBy("cid").limit(nspheres)
+        total = chosen.count()
     grid = Grid.plan(extent, (rmax,) * 3, wrap, max_cells_per_dim)
-    return _probabilities(centers, _near(centers, points, grid, rmax), rmax, nbins, numpN, total)
+    return _probabilities(chosen, _near(chosen, points, grid, rmax, nspheres), rmax, nbins, numpN, total)
 
 
-def accepted_centers(randoms: DataFrame, rmax: float, nspheres: int, threshold: int, candidates: DataFrame | None = None, max_cells_per_dim: int = 400) -> DataFrame:
+def accepted_centers(randoms: DataFrame, rmax: float, nspheres: int, threshold: int, candidates: DataFrame | None = None, max_cells_per_dim: int = MAX_CELLS) -> DataFrame:
     """``cid, x, y, z`` of the first ``nspheres`` candidates with more than ``threshold`` random points within ``rmax``.
 
-    Candidates are the random points in order of their ids, or given.
+    Candidates are the random points in order of their ids, or given.  They are
+    tried in growing batches by id until enough are found or none is left, so
+    neighbours are counted for about as many as are needed.
     """
     extent = Extent.of(randoms)
-    tries = (randoms.select(F.col("id").alias("cid"), "x", "y", "z") if candidates is None else candidates.select("cid", "x", "y", "z")).orderBy("cid").limit(extent.n)
+    tries = randoms.select(F.col("id").alias("cid"), "x", "y", "z") if candidates is None else candidates.select("cid", "x", "y", "z")
     grid = Grid.plan(extent, (rmax,) * 3, (None,) * 3, max_cells_per_dim)
-    n = _near(tries, randoms, grid, rmax).groupBy("cid").count()
-    counted = tries.join(n, "cid", "left").where(F.coalesce("count", F.lit(0)) > threshold)
-    return counted.select("cid", "x", "y", "z").orderBy("cid").limit(nspheres)
+    found: list = []
+    last, size = None, 2 * nspheres
+    while len(found) < nspheres:
+        batch = tries if last is None else tries.where(F.col("cid") > last)
+        # a multiple of the spheres asked for, which the result holds anyway
+        rows = batch.orderBy("cid").limit(size).collect()
+        if not rows:
+            break
+        tried = randoms.sparkSession.createDataFrame(rows, "cid long, x double, y double, z double")
+        n = _near(tried, randoms, grid, rmax, len(rows)).groupBy("cid").count().where(F.col("count") > threshold)
+        dense = {r.cid for r in n.select("cid").collect()} if threshold >= 0 else {r.cid for r in rows}
+        found += [r for r in rows if r.cid in dense]
+        last = rows[-1].cid
+        if len(rows) < size:
+            break
+        share = max(len(dense) / len(rows), 0.1)
+        size = min(8 * nspheres, max(nspheres // 4, int((nspheres - len(found)) / share) + 1))
+    return randoms.sparkSession.createDataFrame(found[:nspheres], "cid long, x double, y double, z double")
 
 
 def expected_threshold(n_random: int, rmax: float, volume: float) -> int:
@@ -100,12 +133,22 @@ def expected_threshold(n_random: int, rmax: float, volume: float) -> int:
     return int(mean - math.sqrt(mean))
 
 
-def vpf_mocks(points: DataFrame, randoms: DataFrame, rmax: float, nbins: int, nspheres: int, numpN: int, threshold_ngb: int, cosmology: int, *, is_comoving_dist: bool = False, centers: DataFrame | None = None, max_cells_per_dim: int = 400) -> DataFrame:
-    """``rmax, pN`` on the sky; spheres stand where the randoms are dense enough, and their number is the denominator."""
+def vpf_mocks(points: DataFrame, randoms: DataFrame, rmax: float, nbins: int, nspheres: int, numpN: int, threshold_ngb: int, cosmology: int, *, is_comoving_dist: bool = False, centers: DataFrame | str | None = None, max_cells_per_dim: int = MAX_CELLS) -> DataFrame:
+    """``rmax, pN`` on the sky; spheres stand where the randoms are dense enough, and their number is the denominator.
+
+    ``centers``: candidates as rows, or a path: spheres of a file that has enough
+    are used without a test, and accepted ones are written there otherwise.
+    """
     _checked(rmax, nbins, nspheres, numpN)
     data, random = (cartesian(p, cosmology, is_comoving_dist, fix=False) for p in (points, randoms))
-    chosen = accepted_centers(random, rmax, nspheres, threshold_ngb, centers, max_cells_per_dim)
+    given = _given(points.sparkSession, centers, rmax, nspheres)
+    if isinstance(centers, str) and given is not None:
+        chosen = given.select("cid", "x", "y", "z").orderBy("cid").limit(nspheres)
+    else:
+        chosen = accepted_centers(random, rmax, nspheres, threshold_ngb, given, max_cells_per_dim)
+        if isinstance(centers, str):
+            write_centers(chosen, centers, rmax)
     total = chosen.count()
     extent = Extent.of(data) | Extent.of(random)
     grid = Grid.plan(extent, (rmax,) * 3, (None,) * 3, max_cells_per_dim)
-    return _probabilities(chosen, _near(chosen, data, grid, rmax), rmax, nbins, numpN, total)
+    return _probabilities(chosen, _near(chosen, data, grid, rmax, nspheres), rmax, nbins, numpN, total)

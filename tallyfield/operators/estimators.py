@@ -11,14 +11,24 @@ from pyspark.sql import DataFrame, functions as F
 _LS = ("LS", "ls", "Landy", "landy", "Landy-Szalay")
 
 
-def _matched(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+def _matched(tables: dict[str, DataFrame], keys: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """The tables' counts by bin, and columns ``more`` of the first.
+
+    Each table is fetched once, as many rows as it has bins, so that pairs aren't
+    counted again by what follows.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    fetched: dict[int, list] = {}
     out = None
-    sizes = {name: t.count() for name, t in tables.items()}
-    if len(set(sizes.values())) > 1:
-        raise ValueError(f"tables differ in their number of bins: {sizes}")
     for name, t in tables.items():
-        t = t.select(*keys, F.col("npairs").cast("double").alias(name))
-        out = t if out is None else out.join(t, keys)
+        if id(t) not in fetched:
+            fetched[id(t)] = t.select(*keys, "npairs", *[c for c in more if c in t.columns]).collect()
+        rows = [(*r[: len(keys)], float(r["npairs"]), *([] if out else [float(r[c]) for c in more])) for r in fetched[id(t)]]
+        schema = ", ".join([*(f"`{k}` double" for k in keys), f"{name} double", *([] if out else [f"`{c}` double" for c in more])])
+        table = spark.createDataFrame(rows, schema)
+        out = table if out is None else out.join(table, keys)
+    if len(sizes := {len(v) for v in fetched.values()}) > 1:
+        raise ValueError(f"tables differ in their number of bins: {sorted(sizes)}")
     return out
 
 
@@ -57,7 +67,7 @@ def wprp(nd1: int, nd2: int, nr1: int, nr2: int, d1d2: DataFrame, d1r2: DataFram
     mock catalogues.  Bins without random pairs give NaN.
     """
     keys = ["rmin", "rmax", "pimax"]
-    found = _matched({"d1d2": d1d2, "d1r2": d1r2, "d2r1": d2r1, "r1r2": r1r2}, keys).join(d1d2.select(*keys, "rpavg"), keys)
+    found = _matched({"d1d2": d1d2, "d1r2": d1r2, "d2r1": d2r1, "r1r2": r1r2}, keys, ("rpavg",))
     if not all_bins:
         found = found.where(F.col("pimax") <= int(pimax))
     step = found.agg(F.min("pimax")).first()[0] or 1.0

@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallyfield.functions.weights import weight_function
-from tallyfield.plans.grid import Grid, cell_pairs, wrap_lengths
+from tallyfield.plans.kernel import Metric, Reach, Task, counted
 from tallyfield.plans.points import Extent
-
-
-@dataclass(frozen=True)
-class Measured:
-    """What a metric makes of a pair: whether it counts, its bins, its separation."""
-
-    keep: Column
-    bins: tuple[Column, ...]
-    separation: Column
-
-
-#: From the three separations along the axes, or from the six coordinates.
-Metric = Callable[..., Measured]
+from tallyfield.plans.tiles import TASK_ROWS, Tiling, groups, wrap_lengths
 
 
 @dataclass(frozen=True)
@@ -34,57 +21,71 @@ class Counts:
     second: Extent
 
 
-def count_pairs(a: DataFrame, b: DataFrame | None, reach: tuple[float, float, float], metric: Metric, n_bins: int, *, periodic: bool = False, boxsize=None, weight_type=None, average: bool = False, origin=None, domain=None, coordinates: bool = False, max_cells: int = 400, self_pairs: bool = False) -> Counts:
-    """``bin0 [, bin1], npairs, sum_sep, sum_w``.
+@dataclass(frozen=True)
+class Lattice:
+    """How cells are made: their number in the reach on each axis, their number on an axis at most, and whether far ones are left out."""
+
+    bin_refine_factors: tuple[int, int, int] = (2, 2, 1)
+    max_cells_per_dim: int | None = None
+    enable_min_sep_opt: bool = True
+
+    def __post_init__(self):
+        if len(self.bin_refine_factors) != 3 or any(int(f) != f or f < 1 for f in self.bin_refine_factors):
+            raise ValueError("three refine factors of at least 1 are needed")
+        if self.max_cells_per_dim is not None and self.max_cells_per_dim < 1:
+            raise ValueError("there must be one cell at least")
+
+
+def lattice(xbin_refine_factor: int = 2, ybin_refine_factor: int = 2, zbin_refine_factor: int = 1, max_cells_per_dim: int | None = None, enable_min_sep_opt: bool = True) -> Lattice:
+    """Options of the counters that change their speed and not their results."""
+    return Lattice((xbin_refine_factor, ybin_refine_factor, zbin_refine_factor), max_cells_per_dim, enable_min_sep_opt)
+
+
+def count_pairs(a: DataFrame, b: DataFrame | None, reach: tuple[float, float, float], metric: Metric, shape: tuple[int, ...], *, ball: bool = True, periodic: bool = False, boxsize=None, weight_type=None, average: bool = False, domain=None, coordinates: bool = False, cells: Lattice = Lattice(), self_pairs: bool = False) -> Counts:
+    """``bin0, bin1, npairs, sum_sep, sum_w``; ``shape`` is the number of either kind of bins.
 
     One set's pairs count in both orders; with ``self_pairs`` each point counts
     with itself in the first bin.  Two sets' pairs count once each.  Sums that
-    aren't asked for aren't made.
+    aren't asked for are zero.  Points are read once for their extent, once for
+    the points of tiles where there are many, and once for the pairs.
     """
+    spark = a.sparkSession
     first = Extent.of(a)
     second = first if b is None else Extent.of(b)
     both = first if b is None else first | second
-    names = [f"bin{i}" for i in range(n_bins)]
     weigh = weight_function(weight_type)
+    inner = shape[1] if len(shape) > 1 else 1
     if not first.n or not second.n:
-        schema = ", ".join([f"{n} int" for n in names] + ["npairs long, sum_sep double, sum_w double"])
-        return Counts(a.sparkSession.createDataFrame([], schema), first, second)
+        return Counts(spark.createDataFrame([], "bin0 int, bin1 int, npairs long, sum_sep double, sum_w double"), first, second)
     if domain:
         for lo, hi in zip(both.low, both.high):
             if lo < 0 or hi > domain:
                 raise ValueError("a point is outside the box")
     wrap = wrap_lengths(both, boxsize, periodic)
-    grid = Grid.plan(both, reach, wrap, max_cells)
-    pairs = cell_pairs(a, b, grid, ["id", "x", "y", "z"] + (["w"] if weigh else []))
-    c = {n: F.col(n) for n in pairs.columns}
-    if coordinates:
-        found = metric(*(c[f"{s}_{v}"] for s in "ab" for v in "xyz"))
-    else:
-        found = metric(*(grid.separation(c[f"a_{v}"], c[f"b_{v}"], i) for i, v in enumerate("xyz")))
-    kept = pairs.where(found.keep)
-    apart = [grid.separation(c[f"a_{v}"], c[f"b_{v}"], i) for i, v in enumerate("xyz")]
-    weight = weigh(c["a_w"], c["b_w"], *apart) if weigh else None
-    columns = [v.cast("int").alias(n) for v, n in zip(found.bins, names)]
-    sums = [F.count("*").alias("npairs"), (F.sum("sep") if average else F.lit(0.0)).alias("sum_sep"), (F.sum("pw") if weigh else F.lit(0.0)).alias("sum_w")]
-    measured = kept.select(*columns, *([found.separation.alias("sep")] if average else []), *([weight.alias("pw")] if weigh else []))
-    table = measured.groupBy(*names).agg(*sums)
-    if b is None:
-        table = table.select(*names, *[(F.col(v) * 2).alias(v) for v in ("npairs", "sum_sep", "sum_w")])
-        if self_pairs:
-            own = a.select(*[F.lit(0).alias(n) for n in names], F.lit(0.0).alias("sep"), (weigh(F.col("w"), F.col("w"), *[F.lit(0.0)] * 3) if weigh else F.lit(0.0)).alias("pw")).groupBy(*names).agg(F.count("*").alias("npairs"), F.sum("sep").alias("sum_sep"), F.sum("pw").alias("sum_w"))
-            table = table.unionByName(own).groupBy(*names).agg(*[F.sum(v).alias(v) for v in ("npairs", "sum_sep", "sum_w")])
-    return Counts(table, first, second)
+    cores = spark.sparkContext.defaultParallelism
+    tiling = Tiling.plan(both, reach, wrap, 8 * cores)
+    sets = [a] if b is None else [a, b]
+    # several weights of a point go to functions of the user alone
+    arrays = callable(weight_type) and all("ws" in s.columns for s in sets)
+    columns = ["x", "y", "z"] + ([] if not weigh else ["ws"] if arrays else ["w"])
+    n = first.n if b is None else first.n + second.n
+    partitions = max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+    dealt = groups(tiling, a, b, columns, n, partitions)
+    task = Task(tiling, Reach(ball, cells.bin_refine_factors, cells.max_cells_per_dim, cells.enable_min_sep_opt), metric, shape[0] * inner, coordinates, average, weigh, arrays, b is None, self_pairs and b is None)
+    found = dealt.mapInArrow(counted(task), "bin int, npairs long, sum_sep double, sum_w double")
+    table = found.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("npairs", "sum_sep", "sum_w")])
+    return Counts(table.selectExpr(f"bin div {inner} AS bin0", f"bin % {inner} AS bin1", "npairs", "sum_sep", "sum_w"), first, second)
 
 
 def dense(counts: DataFrame, edges: list[float], names: tuple[str, str, str], weights: bool, inner: tuple[str, list[float]] | None = None) -> DataFrame:
     """Every bin in order of its edges: ``lo, hi, average, [inner,] npairs, weightavg``; empty ones hold zeros."""
     spark = counts.sparkSession
     lo, hi, mean = names
-    rows = [(i, j, edges[i], edges[i + 1], upper) for i in range(len(edges) - 1) for j, upper in enumerate(inner[1] if inner else [0.0])]
-    grid = spark.createDataFrame(rows, f"bin0 int, bin1 int, `{lo}` double, `{hi}` double, upper double")
-    on = ["bin0", "bin1"] if inner else ["bin0"]
-    n = F.coalesce("npairs", F.lit(0)).cast("long")
-    average = lambda s: F.when(n > 0, F.col(s) / n).otherwise(0.0)
-    joined = grid.join(counts, on, "left")
-    upper = [F.col("upper").alias(inner[0])] if inner else []
-    return joined.select("bin0", "bin1", lo, hi, average("sum_sep").alias(mean), *upper, n.alias("npairs"), (average("sum_w") if weights else F.lit(0.0)).alias("weightavg")).orderBy("bin0", "bin1").drop("bin0", "bin1")
+    rows = ", ".join(f"({i}, {j}, {edges[i]!r}D, {edges[i + 1]!r}D, {upper!r}D)" for i in range(len(edges) - 1) for j, upper in enumerate(inner[1] if inner else [0.0]))
+    grid = spark.sql(f"SELECT * FROM VALUES {rows} AS g(bin0, bin1, {lo}, {hi}, upper)")
+    # no more rows than the grid has
+    joined = grid.join(F.broadcast(counts), ["bin0", "bin1"], "left")
+    average = "if(npairs > 0, {} / npairs, 0D) AS {}"
+    upper = [f"upper AS {inner[0]}"] if inner else []
+    out = joined.selectExpr("bin0", "bin1", lo, hi, average.format("sum_sep", mean), *upper, "coalesce(npairs, 0L) AS npairs", average.format("sum_w", "weightavg") if weights else "0D AS weightavg")
+    return out.coalesce(1).sortWithinPartitions("bin0", "bin1").drop("bin0", "bin1")

@@ -5,25 +5,13 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from tallyfield.plans.points import Extent
 
 
-def wrap_lengths(extent: Extent, boxsize, periodic: bool) -> tuple[float | None, ...]:
-    """Length of each axis, None where it isn't periodic.
-
-    A size above zero is the length, zero stands for the extent of the data and
-    -1 for an axis that isn't periodic.
-    """
-    if not periodic:
-        return (None,) * 3
-    if boxsize is None:
-        raise ValueError("a periodic calculation needs a box size")
-    sizes = tuple(boxsize) if isinstance(boxsize, (tuple, list)) else (boxsize,) * 3
-    if len(sizes) != 3 or any(s < 0 and s != -1 for s in sizes):
-        raise ValueError("a box size is one number or three: positive, 0 or -1")
-    return tuple(None if s == -1 else float(s) if s > 0 else hi - lo for s, lo, hi in zip(sizes, extent.low, extent.high))
+#: Cells on an axis at most; the key of three axes is a long.
+MAX_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -36,7 +24,7 @@ class Grid:
     wrap: tuple[float | None, float | None, float | None]
 
     @staticmethod
-    def plan(extent: Extent, reach: tuple[float, float, float], wrap: tuple[float | None, ...], max_cells: int) -> Grid:
+    def plan(extent: Extent, reach: tuple[float, float, float], wrap: tuple[float | None, ...], max_cells: int = MAX_CELLS) -> Grid:
         origin, size, n = [], [], []
         for lo, hi, r, length in zip(extent.low, extent.high, reach, wrap):
             if length is not None and r >= length / 2:
@@ -62,18 +50,12 @@ class Grid:
         a, b, c = (v.cast("long") for v in cell)
         return (a * self.n[1] + b) * self.n[2] + c
 
-    @property
-    def halved(self) -> bool:
-        """Whether each pair of cells can be met from one side only: no cell is its neighbour twice over."""
-        return all(w is None or n >= 3 for w, n in zip(self.wrap, self.n))
-
-    def neighbours(self, cell: list[Column], half: bool) -> Column:
-        """Keys of the neighbouring cells, the own one first; with ``half``, one of each pair of opposite ones."""
-        offsets = [o for o in itertools.product((0, 1, -1), repeat=3) if all(d == 0 or n > 1 for d, n in zip(o, self.n))]
-        if half:
-            offsets = [o for o in offsets if o >= (0, 0, 0)]
+    def neighbours(self, cell: list[Column]) -> Column:
+        """Keys of the neighbouring cells, the own one first."""
         keys = []
-        for offset in offsets:
+        for offset in itertools.product((0, 1, -1), repeat=3):
+            if any(d and n == 1 for d, n in zip(offset, self.n)):
+                continue
             moved, inside = [], F.lit(True)
             for c, d, n, w in zip(cell, offset, self.n, self.wrap):
                 v = c + d
@@ -84,26 +66,11 @@ class Grid:
                 moved.append(v)
             keys.append(F.when(inside, self.key(moved)))
         found = F.array_compact(F.array(*keys))
-        return found if self.halved else F.array_distinct(found)
+        # two neighbours of a periodic axis of two cells are one
+        return found if all(w is None or n >= 3 for w, n in zip(self.wrap, self.n)) else F.array_distinct(found)
 
     def separation(self, a: Column, b: Column, axis: int) -> Column:
         """Distance along an axis, by the nearest image where it is periodic."""
         d = F.abs(a - b)
         length = self.wrap[axis]
         return d if length is None else F.when(d >= length / 2, length - d).otherwise(d)
-
-
-def cell_pairs(a: DataFrame, b: DataFrame | None, grid: Grid, columns: list[str]) -> DataFrame:
-    """Candidate pairs: ``columns`` of either side as ``a_*`` and ``b_*``.
-
-    For one set, each unordered pair once; for two, each pair of a left and a right point once.
-    """
-    half = b is None and grid.halved
-    left = a.select(*[F.col(c).alias(f"a_{c}") for c in columns], F.explode(grid.neighbours(grid.cell(F.col("x"), F.col("y"), F.col("z")), half)).alias("k"), grid.key(grid.cell(F.col("x"), F.col("y"), F.col("z"))).alias("own"))
-    other = a if b is None else b
-    right = other.select(*[F.col(c).alias(f"b_{c}") for c in columns], grid.key(grid.cell(F.col("x"), F.col("y"), F.col("z"))).alias("k"))
-    joined = left.join(right, "k")
-    if b is None:
-        # halved: within a cell by id, across cells every pair is met once; else by id throughout
-        joined = joined.where((F.col("k") != F.col("own")) | (F.col("a_id") < F.col("b_id")) if half else F.col("a_id") < F.col("b_id"))
-    return joined

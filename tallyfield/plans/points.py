@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tallyfield.functions.weights import first_weight
+from tallyfield.functions.weights import all_weights, first_weight
+
+
+def weights_of(df: DataFrame, weights: str | None) -> list[Column]:
+    """``w``, the weight that products use, and for an array column ``ws``, all of them."""
+    if weights is None:
+        return [F.lit(1.0).alias("w")]
+    is_array = isinstance(df.schema[weights].dataType, T.ArrayType)
+    return [first_weight(F.col(weights), is_array).alias("w"), *([all_weights(F.col(weights)).alias("ws")] if is_array else [])]
 
 
 def xyz(df: DataFrame, x: str = "x", y: str = "y", z: str = "z", weights: str | None = None, id: str | None = None) -> DataFrame:
-    """``id, x, y, z, w``. Without an ``id`` column rows are numbered; the source must then read alike each time."""
+    """``id, x, y, z, w[, ws]``.
+
+    Without an ``id`` column rows are numbered.  Ids only spread the points of
+    crowded places over tasks, so numbers needn't be alike when read again.
+    """
     number = F.col(id).cast("long") if id else F.monotonically_increasing_id()
-    w = F.lit(1.0) if weights is None else first_weight(F.col(weights), isinstance(df.schema[weights].dataType, T.ArrayType))
-    return df.select(number.alias("id"), *[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))], w.alias("w"))
+    return df.select(number.alias("id"), *[F.col(c).cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))], *weights_of(df, weights))
 
 
 @dataclass(frozen=True)
@@ -29,7 +40,7 @@ class Extent:
     @staticmethod
     def of(points: DataFrame) -> Extent:
         """One pass over the points; NaN coordinates are refused."""
-        row = points.agg(F.count("*"), *[f(c) for f in (F.min, F.max) for c in "xyz"], F.sum("w"), F.sum(F.col("w") * F.col("w"))).first()
+        row = points.selectExpr("count(*)", *[f"{f}({c})" for f in ("min", "max") for c in "xyz"], "sum(w)", "sum(w * w)").first()
         n, *v = row
         if n == 0:
             return Extent(0, (0.0,) * 3, (0.0,) * 3, 0.0, 0.0)

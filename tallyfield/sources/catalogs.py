@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Fixed values of the binary format: a header of five integers, one of nine
@@ -121,14 +122,20 @@ def append_weights(path: str, weights: np.ndarray) -> None:
 
 
 def read_centers(spark: SparkSession, path: str, rmax: float, nspheres: int) -> DataFrame | None:
-    """``cid, x, y, z, r`` from lines of four numbers; None if spheres are smaller than ``rmax`` or too few."""
-    rows = read_ascii_catalog(spark, path).select(F.col("id").alias("cid"), "x", "y", "z", F.col("w").alias("r")).where("r is not null")
-    first = rows.orderBy("cid").first()
-    return None if first is None or first.r < rmax or rows.count() < nspheres else rows
+    """``cid, x, y, z, r`` from lines of four numbers; None if there is no file, or its spheres are smaller than ``rmax`` or too few."""
+    try:
+        rows = read_ascii_catalog(spark, path).select(F.col("id").alias("cid"), "x", "y", "z", F.col("w").alias("r")).where("r is not null")
+        n, least = rows.agg(F.count("*"), F.min("r")).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return None if n < nspheres or least < rmax else rows
 
 
 def write_centers(centers: DataFrame, path: str, rmax: float) -> None:
-    centers.orderBy("cid").select(F.concat_ws(" ", "x", "y", "z", F.lit(float(rmax)))).coalesce(1).write.mode("overwrite").text(path)
+    """Lines of four numbers in one part; there are as many as spheres were asked for."""
+    centers.coalesce(1).sortWithinPartitions("cid").select(F.concat_ws(" ", "x", "y", "z", F.lit(float(rmax)))).write.mode("overwrite").text(path)
 
 
 def write_counts(table: DataFrame, path: str, log_upper: bool = False) -> None:
