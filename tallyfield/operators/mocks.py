@@ -111,10 +111,16 @@ def DDsmu_mocks(points: DataFrame, cosmology: int, mu_max: float, nmu_bins: int,
     return dense(found.table, edges, ("smin", "smax", "savg"), bool(weight_type), ("mumax", [(j + 1) * dmu for j in range(nmu_bins)]))
 
 
-def DDtheta_mocks(points: DataFrame, bins, other: DataFrame | None = None, *, weight_type=None, output_thetaavg: bool = False, fast_acos: bool = False, **cells) -> DataFrame:
+def _directions(df: DataFrame) -> DataFrame:
+    df = fix_ra_dec(df)
+    return df.select("id", *[v.alias(n) for v, n in zip(unit_vector(F.col("ra"), F.col("dec")), "xyz")], *weight_columns(df))
+
+
+def DDtheta_mocks(points: DataFrame, bins, other: DataFrame | None = None, *, weight_type=None, output_thetaavg: bool = False, fast_acos: bool = False, everything: bool = False, **cells) -> DataFrame:
     """Counts by angle in degrees: ``thetamin, thetamax, thetaavg, npairs, weightavg``.
 
     ``fast_acos`` takes the mean angle from a polynomial; counts don't depend on it.
+    ``everything`` lets all directions meet, whatever the largest angle.
 
     Directions are unit vectors in a lattice of their chord, so neither poles nor
     the origin of right ascension need care.
@@ -137,10 +143,14 @@ def DDtheta_mocks(points: DataFrame, bins, other: DataFrame | None = None, *, we
         cosine = cosine[kept]
         return kept, binned(-cosine, falling), lambda: degrees_between(cosine, fast_acos)
 
-    def directions(df):
-        df = fix_ra_dec(df)
-        return df.select("id", *[v.alias(n) for v, n in zip(unit_vector(F.col("ra"), F.col("dec")), "xyz")], *weight_columns(df))
-
-    chord = 2 * math.sin(math.radians(min(edges[-1], 180.0)) / 2) * (1 + 1e-9) + 1e-12
-    found = count_pairs(directions(points), None if other is None else directions(other), (chord,) * 3, metric, (len(edges) - 1,), weight_type=weight_type, average=output_thetaavg, coordinates=True, cells=lattice(**cells), self_pairs=edges[0] <= 0)
+    chord = 2.0 if everything else 2 * math.sin(math.radians(min(edges[-1], 180.0)) / 2) * (1 + 1e-9) + 1e-12
+    found = count_pairs(_directions(points), None if other is None else _directions(other), (chord,) * 3, metric, (len(edges) - 1,), weight_type=weight_type, average=output_thetaavg, coordinates=True, cells=lattice(**cells), self_pairs=edges[0] <= 0)
     return dense(found.table, edges, ("thetamin", "thetamax", "thetaavg"), bool(weight_type))
+
+
+def DDtheta_brute_force(points: DataFrame, bins, other: DataFrame | None = None, **options) -> DataFrame:
+    """``DDtheta_mocks`` without cells: every pair is looked at, in chunks dealt over the tasks.
+
+    Takes as long as there are pairs; a check of the lattice, for small sets.
+    """
+    return DDtheta_mocks(points, bins, other, max_cells_per_dim=1, enable_min_sep_opt=False, everything=True, **options)

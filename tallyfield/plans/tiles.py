@@ -67,7 +67,7 @@ class Tiling:
         for lo, hi, r, length in zip(extent.low, extent.high, reach, wrap):
             if length is not None and r >= length / 2:
                 raise ValueError(f"the largest separation {r} must be under half the box {length}")
-            span.append(length if length is not None else max(hi - lo, 1e-300))
+            span.append(length if length is not None else max(hi - lo, 1e-90))
             wide.append(r * (1 + 1e-9) + 1e-14 * max(abs(lo), abs(hi), span[-1]))
         most = [max(1, int(min(s / r, 2**20))) for s, r in zip(span, wide)]
         n, open_, left = [1, 1, 1], [0, 1, 2], float(max(least, extent.n / TILE))

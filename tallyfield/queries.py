@@ -7,12 +7,16 @@ expressions in Spark and in SQL.
 from __future__ import annotations
 
 import math
+import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyfield.functions.bins import logbins
-from tallyfield.functions.sky import with_distance
+from tallyfield.functions.sky import fix_cz, fix_ra_dec, with_distance
 from tallyfield.operators import cells, estimators, mocks, sphere, theory
+from tallyfield.sources import catalogs
+from tallyfield.sources.catalogs import shared_folder
 
 BOX = 100.0
 EDGES = [0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0]
@@ -86,6 +90,34 @@ def ddsmu_auto(spark, sf_dir):
     return theory.DDsmu(_view(spark, sf_dir, "orders"), RP, 0.9, 9, boxsize=BOX)
 
 
+def dd_mixed_box(spark, sf_dir):
+    return theory.DD(_view(spark, sf_dir, "orders"), EDGES, boxsize=(BOX, 0, -1))
+
+
+def dd_refined(spark, sf_dir):
+    return theory.DD(_view(spark, sf_dir, "orders"), EDGES, boxsize=BOX, xbin_refine_factor=3, ybin_refine_factor=1, zbin_refine_factor=2, max_cells_per_dim=20, enable_min_sep_opt=False)
+
+
+def ddrppi_weighted(spark, sf_dir):
+    return _rounded(theory.DDrppi(_view(spark, sf_dir, "orders"), PIMAX, RP, boxsize=BOX, weight_type="pair_product", output_rpavg=True), "rpavg", "weightavg")
+
+
+def ddsmu_weighted(spark, sf_dir):
+    return _rounded(theory.DDsmu(_view(spark, sf_dir, "orders"), RP, 0.9, 9, boxsize=BOX, weight_type="pair_product", output_savg=True), "savg", "weightavg")
+
+
+def ddsmu_cross(spark, sf_dir):
+    return theory.DDsmu(_view(spark, sf_dir, "orders"), RP, 0.9, 9, _view(spark, sf_dir, "part"), boxsize=BOX)
+
+
+def xi_weighted(spark, sf_dir):
+    return _rounded(theory.xi(_view(spark, sf_dir, "orders"), BOX, EDGES, weight_type="pair_product", output_ravg=True), "ravg", "xi", "weightavg")
+
+
+def wp_weighted(spark, sf_dir):
+    return _rounded(theory.wp(_view(spark, sf_dir, "orders"), BOX, PIMAX, RP, weight_type="pair_product", output_rpavg=True), "rpavg", "wp", "weightavg")
+
+
 def xi_box(spark, sf_dir):
     return _rounded(theory.xi(_view(spark, sf_dir, "orders"), BOX, EDGES), "xi")
 
@@ -110,6 +142,44 @@ def ddtheta_cross(spark, sf_dir):
     return mocks.DDtheta_mocks(_view(spark, sf_dir, "orders", True), THETA, _view(spark, sf_dir, "part", True))
 
 
+RP_SKY, S_SKY = [0.5, 1.0, 2.0, 4.0], [1.0, 2.0, 4.0, 6.0]
+
+
+def ddrppi_mocks_weighted(spark, sf_dir):
+    return _rounded(mocks.DDrppi_mocks(_view(spark, sf_dir, "orders", True), 1, PIMAX, RP_SKY, is_comoving_dist=True, weight_type="pair_product", output_rpavg=True), "rpavg", "weightavg")
+
+
+def ddrppi_mocks_cross(spark, sf_dir):
+    return mocks.DDrppi_mocks(_view(spark, sf_dir, "orders", True), 1, PIMAX, RP_SKY, _view(spark, sf_dir, "part", True), is_comoving_dist=True)
+
+
+def ddsmu_mocks_weighted(spark, sf_dir):
+    return _rounded(mocks.DDsmu_mocks(_view(spark, sf_dir, "orders", True), 1, 0.9, 9, S_SKY, is_comoving_dist=True, weight_type="pair_product", output_savg=True), "savg", "weightavg")
+
+
+def ddsmu_mocks_cross(spark, sf_dir):
+    return mocks.DDsmu_mocks(_view(spark, sf_dir, "orders", True), 1, 0.9, 9, S_SKY, _view(spark, sf_dir, "part", True), is_comoving_dist=True)
+
+
+def ddtheta_weighted(spark, sf_dir):
+    return _rounded(mocks.DDtheta_mocks(_view(spark, sf_dir, "orders", True), THETA, weight_type="pair_product", output_thetaavg=True), "thetaavg", "weightavg")
+
+
+#: Redshifts instead of distances, and angles that need mending: ascension from -180, declination from 30 to 150.
+def ddrppi_mocks_cosmology(spark, sf_dir):
+    points = _view(spark, sf_dir, "customer", True).select("id", (F.col("ra") - 180.0).alias("ra"), (F.col("dec") + 90.0).alias("dec"), ((F.col("cz") - 100.0) / 1000.0).alias("cz"), "w")
+    return mocks.DDrppi_mocks(points, 2, 40.0, [5.0, 20.0, 40.0])
+
+
+def mended_sky(spark, sf_dir):
+    points = _view(spark, sf_dir, "customer", True).select("id", (F.col("ra") - 180.0).alias("ra"), (F.col("dec") + 90.0).alias("dec"), ((F.col("cz") - 100.0) / 1000.0).alias("cz"))
+    return _rounded(fix_cz(fix_ra_dec(points)), "ra", "dec", "cz")
+
+
+def brute_force_theta(spark, sf_dir):
+    return mocks.DDtheta_brute_force(_view(spark, sf_dir, "customer", True), [1.0, 5.0, 20.0, 90.0])
+
+
 def _spheres(spark, sf_dir):
     return _view(spark, sf_dir, "customer").select(F.col("id").alias("cid"), "x", "y", "z")
 
@@ -127,6 +197,22 @@ def vpf_sky(spark, sf_dir):
     return _spread(cells.vpf_mocks(data, randoms, 30.0, 5, 500, 4, 2, 1, is_comoving_dist=True), 4)
 
 
+def vpf_random(spark, sf_dir):
+    return _spread(cells.vpf(_view(spark, sf_dir, "orders"), 5.0, 5, 300, 4, 42, boxsize=BOX), 4)
+
+
+def catalog_round_trip(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
+    catalogs.write_ascii_catalog(_view(spark, sf_dir, "customer"), folder)
+    return catalogs.read_catalog(spark, folder, "a").select("x", "y", "z", "w")
+
+
+def record_round_trip(spark, sf_dir):
+    path = f"{shared_folder(spark)}/points-{uuid.uuid4().hex}.ff"
+    catalogs.write_fastfood_catalog(_view(spark, sf_dir, "customer"), path)
+    return catalogs.read_catalog(spark, path).select("x", "y", "z", "w")
+
+
 def _four(spark, sf_dir):
     d, r = _view(spark, sf_dir, "orders"), _view(spark, sf_dir, "part")
     return d, r, d.count(), r.count()
@@ -147,6 +233,21 @@ def landy_szalay_wp(spark, sf_dir):
     return out.select("rmin", "rmax", F.round(F.when(~F.isnan("wp"), F.col("wp")), 6).alias("wp"))
 
 
+def wprp_box(spark, sf_dir):
+    d, r, nd, nr = _four(spark, sf_dir)
+    dd, dr, rr = (theory.DDrppi(a, PIMAX, [2.0, 3.0, 4.0], b, boxsize=BOX, output_rpavg=True) for a, b in ((d, None), (d, r), (r, None)))
+    out = estimators.wprp(nd, nd, nr, nr, dd, dr, dr, rr, 2.0)
+    return out.select("rmin", "rmax", F.round("rpavg", 6).alias("rpavg"), F.round(F.when(~F.isnan("wp"), F.col("wp")), 6).alias("wp"))
+
+
+def wprp_mocks(spark, sf_dir):
+    d, r = _view(spark, sf_dir, "orders", True), _view(spark, sf_dir, "part", True)
+    nd, nr = d.count(), r.count()
+    dd, dr, rr = (mocks.DDrppi_mocks(a, 1, PIMAX, [4.0, 6.0, 8.0], b, is_comoving_dist=True, output_rpavg=True) for a, b in ((d, None), (d, r), (r, None)))
+    out = estimators.wprp(nd, nd, nr, nr, dd, dr, dr, rr, PIMAX, all_bins=True)
+    return out.select("rmin", "rmax", F.round("rpavg", 6).alias("rpavg"), F.round(F.when(~F.isnan("wp"), F.col("wp")), 6).alias("wp"))
+
+
 def landy_szalay_theta(spark, sf_dir):
     d, r = _view(spark, sf_dir, "orders", True), _view(spark, sf_dir, "part", True)
     nd, nr = d.count(), r.count()
@@ -169,7 +270,7 @@ def log_bins(spark, sf_dir):
     return spark.createDataFrame([(i, round(a, 9), round(b, 9)) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "bin int, lo double, hi double")
 
 
-QUERIES = {f.__name__: f for f in (dd_auto_periodic, dd_auto_open, dd_self_pairs, dd_cross_periodic, dd_weighted, ddrppi_auto, ddrppi_cross, ddsmu_auto, xi_box, wp_box, ddrppi_mocks, ddsmu_mocks, ddtheta_mocks, ddtheta_cross, vpf_box, vpf_sky, landy_szalay, landy_szalay_wp, landy_szalay_theta, comoving_distance, sky_lattice, log_bins)}
+QUERIES = {f.__name__: f for f in (dd_auto_periodic, dd_auto_open, dd_self_pairs, dd_cross_periodic, dd_weighted, ddrppi_auto, ddrppi_cross, ddsmu_auto, xi_box, wp_box, ddrppi_mocks, ddsmu_mocks, ddtheta_mocks, ddtheta_cross, dd_mixed_box, dd_refined, ddrppi_weighted, ddsmu_weighted, ddsmu_cross, xi_weighted, wp_weighted, ddrppi_mocks_weighted, ddrppi_mocks_cross, ddsmu_mocks_weighted, ddsmu_mocks_cross, ddtheta_weighted, ddrppi_mocks_cosmology, mended_sky, brute_force_theta, vpf_box, vpf_sky, vpf_random, catalog_round_trip, record_round_trip, wprp_box, wprp_mocks, landy_szalay, landy_szalay_wp, landy_szalay_theta, comoving_distance, sky_lattice, log_bins)}
 
 
 # SQL -------------------------------------------------------------------------
@@ -184,49 +285,71 @@ def _bin_sql(value: str, inner) -> str:
     return " + ".join([f"({value} >= {e!r}::DOUBLE)::INT" for e in inner]) or "0"
 
 
-def _axis_sql(v: str, wrap: bool) -> str:
+def _axis_sql(v: str, length: str | None) -> str:
     d = f"abs(a.{v} - b.{v})"
-    return f"CASE WHEN {d} >= {BOX / 2} THEN {BOX} - {d} ELSE {d} END" if wrap else d
+    return f"CASE WHEN {d} >= {length} / 2 THEN {length} - {d} ELSE {d} END" if length else d
 
 
-def _pairs_sql(a: str, b: str | None, reach: float, wrap: bool = True, reach_z: float | None = None) -> str:
+def _pairs_sql(a: str, b: str | None, reach: float, wrap: bool = True, reach_z: float | None = None, lengths: tuple | None = None) -> str:
     """Ordered pairs with dx, dy, dz and both weights."""
-    axes = ", ".join(f"{_axis_sql(v, wrap)} AS d{v}" for v in "xyz")
+    lengths = lengths or ((f"{BOX!r}::DOUBLE",) * 3 if wrap else (None,) * 3)
+    axes = ", ".join(f"{_axis_sql(v, length)} AS d{v}" for v, length in zip("xyz", lengths))
     first = f"WITH a AS MATERIALIZED ({POINTS[a]}), b AS MATERIALIZED ({POINTS[b or a]})"
     return f"{first}, pairs AS (SELECT * FROM (SELECT {axes}, a.w AS wa, b.w AS wb FROM a, b WHERE {'a.id <> b.id' if b is None else 'true'}) WHERE dx < {reach} AND dy < {reach} AND dz < {reach_z or reach})"
 
 
-def _dd_sql(a: str, b: str | None, edges=EDGES, wrap: bool = True, ravg: bool = False, weights: bool = False, own: bool = False) -> str:
+def _mean_sql(column: str, wanted: bool) -> str:
+    return f"round(coalesce({column} / n, 0), 6)" if wanted else "0e0"
+
+
+def _dd_sql(a: str, b: str | None, edges=EDGES, wrap: bool = True, ravg: bool = False, weights: bool = False, own: bool = False, lengths: tuple | None = None) -> str:
     sq = [e * e for e in edges]
     r2 = "dx * dx + dy * dy + dz * dz"
-    mean = "round(coalesce(s / n, 0), 6)" if ravg else "0e0"
-    weight = "round(coalesce(sw / n, 0), 6)" if weights else "0e0"
     self_pairs = f" + CASE WHEN e.bin = 0 THEN (SELECT count(*) FROM ({POINTS[a]})) ELSE 0 END" if own else ""
-    return f"""{_pairs_sql(a, b, edges[-1], wrap)},
+    return f"""{_pairs_sql(a, b, edges[-1], wrap, lengths=lengths)},
         c AS (SELECT {_bin_sql('r2', sq[1:-1])} AS bin, count(*) AS n, sum(sqrt(r2)) AS s, sum(wa * wb) AS sw FROM (SELECT {r2} AS r2, wa, wb FROM pairs) WHERE r2 >= {sq[0]!r}::DOUBLE AND r2 < {sq[-1]!r}::DOUBLE GROUP BY 1)
-        SELECT rmin, rmax, {mean}::DOUBLE AS ravg, (coalesce(n, 0){self_pairs})::BIGINT AS npairs, {weight}::DOUBLE AS weightavg FROM {_edges_sql(edges)} LEFT JOIN c USING (bin)"""
+        SELECT rmin, rmax, {_mean_sql('s', ravg)}::DOUBLE AS ravg, (coalesce(n, 0){self_pairs})::BIGINT AS npairs, {_mean_sql('sw', weights)}::DOUBLE AS weightavg FROM {_edges_sql(edges)} LEFT JOIN c USING (bin)"""
 
 
-def _grid_sql(counts: str, edges, inner: int, step: float, names: tuple[str, str, str, str]) -> str:
-    lo, hi, mean, upper = names
-    return f"""SELECT {lo}, {hi}, 0e0::DOUBLE AS {mean}, (j.j + 1) * {step!r}::DOUBLE AS {upper}, coalesce(n, 0)::BIGINT AS npairs, 0e0::DOUBLE AS weightavg
+def _grid_sql(counts: str, edges, inner: int, step: float, names: tuple[str, str, str, str], mean: bool = False) -> str:
+    """``counts`` has bin, j, n, and s and sw where means are wanted."""
+    lo, hi, average, upper = names
+    return f"""SELECT {lo}, {hi}, {_mean_sql('s', mean)}::DOUBLE AS {average}, (j.j + 1) * {step!r}::DOUBLE AS {upper}, coalesce(n, 0)::BIGINT AS npairs, {_mean_sql('sw', mean)}::DOUBLE AS weightavg
         FROM {_edges_sql(edges, lo, hi)} CROSS JOIN (SELECT unnest(range({inner})) AS j) AS j LEFT JOIN ({counts}) AS c ON c.bin = e.bin AND c.j = j.j"""
 
 
 def _rppi_counts(edges) -> str:
     sq = [e * e for e in edges]
-    return f"SELECT {_bin_sql('r2', sq[1:-1])} AS bin, floor(dz)::INT AS j, count(*) AS n FROM (SELECT dx * dx + dy * dy AS r2, dz FROM pairs) WHERE dz < {PIMAX} AND r2 >= {sq[0]!r}::DOUBLE AND r2 < {sq[-1]!r}::DOUBLE GROUP BY 1, 2"
+    return f"SELECT {_bin_sql('r2', sq[1:-1])} AS bin, floor(dz)::INT AS j, count(*) AS n, sum(sqrt(r2)) AS s, sum(wa * wb) AS sw FROM (SELECT dx * dx + dy * dy AS r2, dz, wa, wb FROM pairs) WHERE dz < {PIMAX} AND r2 >= {sq[0]!r}::DOUBLE AND r2 < {sq[-1]!r}::DOUBLE GROUP BY 1, 2"
 
 
-def _ddrppi_sql(a: str, b: str | None, edges=RP) -> str:
-    return f"{_pairs_sql(a, b, edges[-1], reach_z=PIMAX)} {_grid_sql(_rppi_counts(edges), edges, 4, 1.0, ('rmin', 'rmax', 'rpavg', 'pimax'))}"
+def _ddrppi_sql(a: str, b: str | None, edges=RP, mean: bool = False) -> str:
+    return f"{_pairs_sql(a, b, edges[-1], reach_z=PIMAX)} {_grid_sql(_rppi_counts(edges), edges, 4, 1.0, ('rmin', 'rmax', 'rpavg', 'pimax'), mean)}"
 
 
-def _ddsmu_sql() -> str:
+def _ddsmu_sql(b: str | None = None, mean: bool = False) -> str:
     sq = [e * e for e in RP]
-    counts = f"""SELECT {_bin_sql('s2', sq[1:-1])} AS bin, floor(sqrt(dz * dz / s2) * {1.0 / (0.9 / 9)!r}::DOUBLE)::INT AS j, count(*) AS n
-        FROM (SELECT dx * dx + dy * dy + dz * dz AS s2, dz FROM pairs) WHERE s2 >= {sq[0]!r}::DOUBLE AND s2 < {sq[-1]!r}::DOUBLE AND dz * dz < s2 * {0.9 * 0.9!r}::DOUBLE GROUP BY 1, 2"""
-    return f"{_pairs_sql('orders', None, RP[-1])} {_grid_sql(counts, RP, 9, 0.9 / 9, ('smin', 'smax', 'savg', 'mu_max'))}"
+    counts = f"""SELECT {_bin_sql('s2', sq[1:-1])} AS bin, floor(sqrt(dz * dz / s2) * {1.0 / (0.9 / 9)!r}::DOUBLE)::INT AS j, count(*) AS n, sum(sqrt(s2)) AS s, sum(wa * wb) AS sw
+        FROM (SELECT dx * dx + dy * dy + dz * dz AS s2, dz, wa, wb FROM pairs) WHERE s2 >= {sq[0]!r}::DOUBLE AND s2 < {sq[-1]!r}::DOUBLE AND dz * dz < s2 * {0.9 * 0.9!r}::DOUBLE GROUP BY 1, 2"""
+    return f"{_pairs_sql('orders', b, RP[-1])} {_grid_sql(counts, RP, 9, 0.9 / 9, ('smin', 'smax', 'savg', 'mu_max'), mean)}"
+
+
+def _density_sql(weighted: bool) -> str:
+    total = "sum(w)" if weighted else "count(*)::DOUBLE"
+    return f"(SELECT {total} * ({total} - {total} / count(*)) / {BOX**3!r}::DOUBLE FROM ({POINTS['orders']}))"
+
+
+def _xi_weighted_sql() -> str:
+    volume = f"{4.0 / 3.0 * math.pi!r}::DOUBLE * (rmax * rmax * rmax - rmin * rmin * rmin)"
+    exact = _dd_sql("orders", None, weights=True, ravg=True).replace("round(coalesce(sw / n, 0), 6)", "coalesce(sw / n, 0)")
+    return f"SELECT rmin, rmax, ravg, round(npairs * weightavg / ({_density_sql(True)} * {volume}) - 1, 6) AS xi, npairs, round(weightavg, 6) AS weightavg FROM ({exact})"
+
+
+def _wp_weighted_sql() -> str:
+    volume = f"{math.pi!r}::DOUBLE * (rmax * rmax - rmin * rmin) * {2 * PIMAX}"
+    exact = _ddrppi_sql("orders", None, mean=True).replace("round(coalesce(sw / n, 0), 6)", "coalesce(sw / n, 0)").replace("round(coalesce(s / n, 0), 6)", "coalesce(s / n, 0)")
+    return f"""SELECT rmin, rmax, round(s / n, 6) AS rpavg, round((sw / ({_density_sql(True)} * {volume}) - 1) * {2 * PIMAX}, 6) AS wp, n AS npairs, round(sw / n, 6) AS weightavg
+        FROM (SELECT rmin, rmax, sum(npairs)::BIGINT AS n, sum(npairs * rpavg) AS s, sum(npairs * weightavg) AS sw FROM ({exact}) GROUP BY rmin, rmax)"""
 
 
 def _xi_sql() -> str:
@@ -243,40 +366,79 @@ def _wp_sql() -> str:
 
 def _sky_points(table: str, distance: bool) -> str:
     d = "cz" if distance else "1e0"
-    return f"SELECT id, cos(radians(dec)) * cos(radians(ra)) * {d} AS x, cos(radians(dec)) * sin(radians(ra)) * {d} AS y, sin(radians(dec)) * {d} AS z FROM ({SKY.format(POINTS[table])})"
+    return f"SELECT id, w, cos(radians(dec)) * cos(radians(ra)) * {d} AS x, cos(radians(dec)) * sin(radians(ra)) * {d} AS y, sin(radians(dec)) * {d} AS z FROM ({SKY.format(POINTS[table])})"
 
 
 def _sky_pairs(a: str, b: str | None, reach: float, distance: bool = True) -> str:
+    return _near_pairs(_sky_points(a, distance), _sky_points(b or a, distance), b is None, reach)
+
+
+def _near_pairs(a: str, b: str, same: bool, reach: float) -> str:
     near = " AND ".join(f"a.{v} - b.{v} BETWEEN -{reach!r}::DOUBLE AND {reach!r}::DOUBLE" for v in "xyz")
-    return f"WITH a AS MATERIALIZED ({_sky_points(a, distance)}), b AS MATERIALIZED ({_sky_points(b or a, distance)}), pairs AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM a, b WHERE {near}{' AND a.id <> b.id' if b is None else ''})"
+    return f"WITH a AS MATERIALIZED ({a}), b AS MATERIALIZED ({b}), pairs AS (SELECT a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.w AS wa, b.w AS wb FROM a, b WHERE {near}{' AND a.id <> b.id' if same else ''})"
 
 
 _SIGHT = """SELECT (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) + (bz - az) * (bz - az) AS s2, (bx + ax) * (bx + ax) + (by_ + ay) * (by_ + ay) + (bz + az) * (bz + az) AS l2,
-    (bx - ax) * (bx + ax) + (by_ - ay) * (by_ + ay) + (bz - az) * (bz + az) AS sl FROM pairs"""
+    (bx - ax) * (bx + ax) + (by_ - ay) * (by_ + ay) + (bz - az) * (bz + az) AS sl, wa, wb FROM pairs"""
 
 
-def _ddrppi_mocks_sql() -> str:
-    edges = [0.5, 1.0, 2.0, 4.0]
+def _rppi_sky(edges, pimax: float, bins: int, mean: bool = False) -> str:
     sq = [e * e for e in edges]
-    counts = f"""SELECT {_bin_sql('rp2', sq[1:-1])} AS bin, floor(sqrt(par2))::INT AS j, count(*) AS n FROM (SELECT *, sl * sl / l2 AS par2, s2 - sl * sl / l2 AS rp2 FROM ({_SIGHT}))
-        WHERE sl * sl < l2 * {PIMAX * PIMAX} AND rp2 >= {sq[0]!r}::DOUBLE AND rp2 < {sq[-1]!r}::DOUBLE GROUP BY 1, 2"""
-    return f"{_sky_pairs('orders', None, math.hypot(edges[-1], PIMAX))} {_grid_sql(counts, edges, 4, 1.0, ('rmin', 'rmax', 'rpavg', 'pimax'))}"
+    counts = f"""SELECT {_bin_sql('rp2', sq[1:-1])} AS bin, floor(sqrt(par2) * {1.0 / (pimax / bins)!r}::DOUBLE)::INT AS j, count(*) AS n, sum(sqrt(rp2)) AS s, sum(wa * wb) AS sw FROM (SELECT *, sl * sl / l2 AS par2, s2 - sl * sl / l2 AS rp2 FROM ({_SIGHT}))
+        WHERE sl * sl < l2 * {pimax * pimax} AND rp2 >= {sq[0]!r}::DOUBLE AND rp2 < {sq[-1]!r}::DOUBLE GROUP BY 1, 2"""
+    return _grid_sql(counts, edges, bins, pimax / bins, ("rmin", "rmax", "rpavg", "pimax"), mean)
 
 
-def _ddsmu_mocks_sql() -> str:
-    edges = [1.0, 2.0, 4.0, 6.0]
-    sq = [e * e for e in edges]
-    counts = f"""SELECT {_bin_sql('s2', sq[1:-1])} AS bin, floor(sqrt(mu2) * {1.0 / (0.9 / 9)!r}::DOUBLE)::INT AS j, count(*) AS n FROM (SELECT *, sl * sl / (l2 * s2) AS mu2 FROM ({_SIGHT}) WHERE s2 > 0)
+def _ddrppi_mocks_sql(a: str = "orders", b: str | None = None, edges=RP_SKY, mean: bool = False) -> str:
+    return f"{_sky_pairs(a, b, math.hypot(edges[-1], PIMAX))} {_rppi_sky(edges, PIMAX, 4, mean)}"
+
+
+def _ddsmu_mocks_sql(b: str | None = None, mean: bool = False) -> str:
+    sq = [e * e for e in S_SKY]
+    counts = f"""SELECT {_bin_sql('s2', sq[1:-1])} AS bin, floor(sqrt(mu2) * {1.0 / (0.9 / 9)!r}::DOUBLE)::INT AS j, count(*) AS n, sum(sqrt(s2)) AS s, sum(wa * wb) AS sw FROM (SELECT *, sl * sl / (l2 * s2) AS mu2 FROM ({_SIGHT}) WHERE s2 > 0)
         WHERE s2 >= {sq[0]!r}::DOUBLE AND s2 < {sq[-1]!r}::DOUBLE AND mu2 < {0.9 * 0.9!r}::DOUBLE GROUP BY 1, 2"""
-    return f"{_sky_pairs('orders', None, edges[-1])} {_grid_sql(counts, edges, 9, 0.9 / 9, ('smin', 'smax', 'savg', 'mumax'))}"
+    return f"{_sky_pairs('orders', b, S_SKY[-1])} {_grid_sql(counts, S_SKY, 9, 0.9 / 9, ('smin', 'smax', 'savg', 'mumax'), mean)}"
 
 
-def _theta_sql(a: str, b: str | None) -> str:
-    cosines = [math.cos(math.radians(t)) for t in THETA]
+def _theta_sql(a: str, b: str | None, edges=THETA, mean: bool = False) -> str:
+    cosines = [math.cos(math.radians(t)) for t in edges]
     inner = " + ".join(f"(c <= {v!r}::DOUBLE)::INT" for v in cosines[1:-1])
-    return f"""{_sky_pairs(a, b, 2 * math.sin(math.radians(THETA[-1]) / 2) * 1.001, False)},
-        n AS (SELECT {inner} AS bin, count(*) AS n FROM (SELECT ax * bx + ay * by_ + az * bz AS c FROM pairs) WHERE c > {cosines[-1]!r}::DOUBLE AND c <= {cosines[0]!r}::DOUBLE GROUP BY 1)
-        SELECT thetamin, thetamax, 0e0::DOUBLE AS thetaavg, coalesce(n, 0)::BIGINT AS npairs, 0e0::DOUBLE AS weightavg FROM {_edges_sql(THETA, 'thetamin', 'thetamax')} LEFT JOIN n USING (bin)"""
+    return f"""{_sky_pairs(a, b, 2 * math.sin(math.radians(edges[-1]) / 2) * 1.001, False)},
+        n AS (SELECT {inner} AS bin, count(*) AS n, sum(degrees(acos(greatest(-1e0, least(1e0, c))))) AS s, sum(wa * wb) AS sw FROM (SELECT ax * bx + ay * by_ + az * bz AS c, wa, wb FROM pairs) WHERE c > {cosines[-1]!r}::DOUBLE AND c <= {cosines[0]!r}::DOUBLE GROUP BY 1)
+        SELECT thetamin, thetamax, {_mean_sql('s', mean)}::DOUBLE AS thetaavg, coalesce(n, 0)::BIGINT AS npairs, {_mean_sql('sw', mean)}::DOUBLE AS weightavg FROM {_edges_sql(edges, 'thetamin', 'thetamax')} LEFT JOIN n USING (bin)"""
+
+
+def _mended_sql() -> str:
+    # what was moved by half a turn and a quarter is back in place
+    return f"SELECT id, round(ra, 6) AS ra, round(dec, 6) AS dec, round((cz - 100e0) / 1000e0 * 299800e0, 6) AS cz FROM ({SKY.format(POINTS['customer'])})"
+
+
+def _cosmology_sql() -> str:
+    return f"""WITH s AS MATERIALIZED (SELECT id, w, ra, dec, (cz - 100e0) / 1000e0 AS z FROM ({SKY.format(POINTS['customer'])})),
+        d AS MATERIALIZED (SELECT id, 2998e0 * sum(z / 400 / 3 * CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END / sqrt(302e-3 * pow(1 + z * k / 400, 3) + 698e-3)) AS dist FROM s, (SELECT unnest(range(401)) AS k) GROUP BY id),
+        p AS MATERIALIZED (SELECT id, w, cos(radians(dec)) * cos(radians(ra)) * dist AS x, cos(radians(dec)) * sin(radians(ra)) * dist AS y, sin(radians(dec)) * dist AS z FROM s JOIN d USING (id)),
+        {_near_pairs('SELECT * FROM p', 'SELECT * FROM p', True, math.hypot(40.0, 40.0)).removeprefix('WITH ')} {_rppi_sky([5.0, 20.0, 40.0], 40.0, 40)}"""
+
+
+def _vpf_random_sql() -> str:
+    u = np.random.RandomState(42).randint(0, 2**32, size=(300, 3), dtype=np.uint32) / 2.0**32
+    rows = ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for i, (a, b, c) in enumerate(u.tolist()))
+    r2 = " + ".join(f"({_axis_sql(v, f'{BOX!r}::DOUBLE')}) * ({_axis_sql(v, f'{BOX!r}::DOUBLE')})" for v in "xyz")
+    low = ", ".join(f"{v} * {BOX!r}::DOUBLE + (SELECT min({v}) FROM b) AS {v}" for v in "xyz")
+    return f"""WITH b AS MATERIALIZED ({POINTS['orders']}), s AS MATERIALIZED (SELECT cid, {low} FROM (VALUES {rows}) AS u(cid, x, y, z)),
+        near AS (SELECT cid, floor(sqrt(r2))::INT AS bin FROM (SELECT a.cid, {r2} AS r2 FROM s AS a, b) WHERE r2 < 25), {_vpf_tail(5.0)}"""
+
+
+def _wprp_sql(dd: str, dr: str, rr: str, upto: float) -> str:
+    keys = "rmin, rmax, pimax"
+    mean = f"SELECT rmin, rmax, round(coalesce(sum(rpavg * npairs) / nullif(sum(npairs), 0), 0), 6) AS rpavg FROM ({dd}) WHERE pimax <= {upto} GROUP BY ALL"
+    wp = f"SELECT rmin, rmax, CASE WHEN count(cf) = count(*) THEN round(2 * sum(cf), 6) END AS wp FROM ({_ls_sql(dd, dr, rr, keys)}) WHERE pimax <= {upto} GROUP BY ALL"
+    return f"SELECT rmin, rmax, rpavg, wp FROM ({mean}) JOIN ({wp}) USING (rmin, rmax)"
+
+
+def _exact(sql: str) -> str:
+    """Means without rounding, for sums over them."""
+    return sql.replace("round(coalesce(s / n, 0), 6)", "coalesce(s / n, 0)")
 
 
 def _vpf_tail(rmax: float) -> str:
@@ -286,7 +448,7 @@ def _vpf_tail(rmax: float) -> str:
 
 
 def _vpf_sql() -> str:
-    r2 = " + ".join(f"({_axis_sql(v, True)}) * ({_axis_sql(v, True)})" for v in "xyz")
+    r2 = " + ".join(f"({_axis_sql(v, f'{BOX!r}::DOUBLE')}) * ({_axis_sql(v, f'{BOX!r}::DOUBLE')})" for v in "xyz")
     return f"""WITH b AS MATERIALIZED ({POINTS['orders']}), s AS MATERIALIZED (SELECT id AS cid, x, y, z FROM ({POINTS['customer']}) ORDER BY id LIMIT 1000),
         near AS (SELECT cid, floor(sqrt(r2))::INT AS bin FROM (SELECT a.cid, {r2} AS r2 FROM s AS a, b) WHERE r2 < 25), {_vpf_tail(5.0)}"""
 
@@ -322,7 +484,7 @@ def _lattice_sql() -> str:
         FROM (SELECT i, n, unnest(range(n)) AS j FROM (SELECT i, {n} AS n FROM (SELECT unnest(range(6)) AS i)))"""
 
 
-_WP_BINS = [2.0, 3.0, 4.0]
+_WP_BINS, _WP_SKY = [2.0, 3.0, 4.0], [4.0, 6.0, 8.0]
 
 ORACLE_SQL = {
     "dd_auto_periodic": _dd_sql("orders", None, ravg=True),
@@ -339,6 +501,26 @@ ORACLE_SQL = {
     "ddsmu_mocks": _ddsmu_mocks_sql(),
     "ddtheta_mocks": _theta_sql("orders", None),
     "ddtheta_cross": _theta_sql("orders", "part"),
+    "dd_mixed_box": _dd_sql("orders", None, lengths=(f"{BOX!r}::DOUBLE", "(SELECT max(y) - min(y) FROM a)", None)),
+    "dd_refined": _dd_sql("orders", None),
+    "ddrppi_weighted": _ddrppi_sql("orders", None, mean=True),
+    "ddsmu_weighted": _ddsmu_sql(mean=True),
+    "ddsmu_cross": _ddsmu_sql("part"),
+    "xi_weighted": _xi_weighted_sql(),
+    "wp_weighted": _wp_weighted_sql(),
+    "ddrppi_mocks_weighted": _ddrppi_mocks_sql(mean=True),
+    "ddrppi_mocks_cross": _ddrppi_mocks_sql(b="part"),
+    "ddsmu_mocks_weighted": _ddsmu_mocks_sql(mean=True),
+    "ddsmu_mocks_cross": _ddsmu_mocks_sql("part"),
+    "ddtheta_weighted": _theta_sql("orders", None, mean=True),
+    "ddrppi_mocks_cosmology": _cosmology_sql(),
+    "mended_sky": _mended_sql(),
+    "brute_force_theta": _theta_sql("customer", None, [1.0, 5.0, 20.0, 90.0]),
+    "vpf_random": _vpf_random_sql(),
+    "catalog_round_trip": f"SELECT x, y, z, w FROM ({POINTS['customer']})",
+    "record_round_trip": f"SELECT x, y, z, w FROM ({POINTS['customer']})",
+    "wprp_box": _wprp_sql(_exact(_ddrppi_sql("orders", None, _WP_BINS, True)), _ddrppi_sql("orders", "part", _WP_BINS), _ddrppi_sql("part", None, _WP_BINS), 2.0),
+    "wprp_mocks": _wprp_sql(_exact(_ddrppi_mocks_sql("orders", None, _WP_SKY, True)), _ddrppi_mocks_sql("orders", "part", _WP_SKY), _ddrppi_mocks_sql("part", None, _WP_SKY), PIMAX),
     "vpf_box": _vpf_sql(),
     "vpf_sky": _vpf_sky_sql(),
     "landy_szalay": f"SELECT rmin, rmax, round(cf, 6) AS cf FROM ({_ls_sql(_dd_sql('orders', None), _dd_sql('orders', 'part'), _dd_sql('part', None), 'rmin, rmax')})",

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: floats, the redshift, then a record for each column; every record stands
 #: between two copies of its length in bytes, of four bytes each.
 _HEADER_INTS, _HEADER_FLOATS = 5, 9
+#: Points that a task reads from a record file.
+PART_ROWS = 1_000_000
 
 
 def _records(raw: bytes) -> Iterator[memoryview]:
@@ -49,27 +53,80 @@ def encode_fastfood(columns: list[np.ndarray], double: bool = True) -> bytes:
     return b"".join(len(p).to_bytes(4, "little") + p + len(p).to_bytes(4, "little") for p in parts)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, as in local sessions, a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found.rstrip("/") if found else tempfile.mkdtemp(prefix="tallyfield-")
+
+
+class _Ranges:
+    """A file of any of Hadoop's file systems, read at given places."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.size = self.fs.getFileStatus(self.path).getLen()
+        self.jvm = jvm
+
+    def read(self, at: int, n: int) -> bytes:
+        with_ = self.fs.open(self.path)
+        try:
+            with_.seek(at)
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(with_, n))
+        finally:
+            with_.close()
+
+
+def record_layout(file: _Ranges) -> tuple[int, list[tuple[int, int]]]:
+    """Number of points, and (place, width of a value) of each column, from the lengths alone."""
+    records, at = [], 0
+    while at < file.size:
+        size = int.from_bytes(file.read(at, 4), "little") if at + 4 <= file.size else -1
+        if size < 0 or at + 8 + size > file.size or int.from_bytes(file.read(at + 4 + size, 4), "little") != size:
+            raise ValueError("a record's lengths don't agree")
+        records.append((at + 4, size))
+        at += size + 8
+    if len(records) < 3 + 3 or records[0][1] != 4 * _HEADER_INTS:
+        raise ValueError("not a record file of points")
+    n = int(np.frombuffer(file.read(records[0][0], records[0][1]), "<i4")[1])
+    if any(n and size not in (4 * n, 8 * n) for _, size in records[3:]):
+        raise ValueError("a column has another length than the header says")
+    return n, [(place, size // n if n else 8) for place, size in records[3:]]
+
+
 def read_fastfood_catalog(spark: SparkSession, path: str, need_weights: bool | None = None) -> DataFrame:
-    """``id, x, y, z, w`` of one or more record files; each file is read by one task.
+    """``id, x, y, z, w`` of a record file; the id is the point's place.
 
+    The driver reads the records' lengths; points are read in parts of
+    ``PART_ROWS``, each by a task of its own that seeks in every column.
     ``need_weights``: True asks for a fourth column, False leaves it out, None
-    takes it if it is there; without it ``w`` is null.
+    takes it if it is there; without it ``w`` is null.  The path is one that every
+    executor can open.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"]):
-                columns = decode_fastfood(bytes(raw))
-                if need_weights and len(columns) < 4:
-                    raise ValueError(f"{name} has no weights")
-                n = len(columns[0])
-                w = columns[3] if len(columns) > 3 and need_weights is not False else np.full(n, np.nan)
-                for i in range(0, n, 100_000):
-                    cut = slice(i, i + 100_000)
-                    yield pd.DataFrame({"file": name, "row": np.arange(n)[cut], "x": columns[0][cut], "y": columns[1][cut], "z": columns[2][cut], "w": w[cut]})
-
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row long, x double, y double, z double, w double")
-    return rows.select(F.monotonically_increasing_id().alias("id"), "x", "y", "z", F.when(~F.isnan("w"), F.col("w")).alias("w"))
+    n, columns = record_layout(_Ranges(spark, path))
+    if need_weights and len(columns) < 4:
+        raise ValueError(f"{path} has no weights")
+    used = columns[: 4 if need_weights is not False else 3]
+    local = path.removeprefix("file://") if path.startswith("file://") else path
+    parts = max(1, -(-n // PART_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in b.column(0).to_pylist():
+                lo, hi = part * PART_ROWS, min(n, (part + 1) * PART_ROWS)
+                if hi <= lo:
+                    continue
+                with pa.fs.FileSystem.from_uri(local)[0].open_input_file(pa.fs.FileSystem.from_uri(local)[1]) as f:
+                    values = [np.frombuffer(f.read_at((hi - lo) * width, place + lo * width), f"<f{width}").astype(float) for place, width in used]
+                for i in range(0, hi - lo, 100_000):
+                    cut = [pa.array(v[i : i + 100_000]) for v in values]
+                    ids = pa.array(np.arange(lo + i, lo + i + len(cut[0])))
+                    yield pa.RecordBatch.from_arrays([ids, *cut, *([pa.nulls(len(ids), pa.float64())] if len(cut) < 4 else [])], names=["id", "x", "y", "z", "w"])
+
+    return spark.range(0, parts, 1, parts).mapInArrow(run, "id long, x double, y double, z double, w double")
 
 
 def read_ascii_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -101,13 +158,49 @@ def read_catalog(spark: SparkSession, path: str, format: str | None = None) -> D
     raise ValueError(f"format {format!r} is none of f, a, c, parquet")
 
 
+def write_ascii_catalog(points: DataFrame, path: str) -> None:
+    """A folder of text files, ``x y z w`` a line, written by all tasks."""
+    points.select(F.concat_ws(" ", "x", "y", "z", "w")).write.mode("overwrite").text(path)
+
+
 def write_fastfood_catalog(points: DataFrame, path: str, weights: bool = True, double: bool = True) -> None:
-    """One local record file of ``x, y, z[, w]`` in order of ``id``; the format has no parts, so the points pass the driver in batches."""
+    """One local record file of ``x, y, z[, w]`` in order of ``id``.
+
+    The format has no parts and stores column by column, so the driver writes it;
+    points arrive partition by partition and go to their places in each column, so
+    it holds one partition at a time.
+    """
     columns = ["x", "y", "z"] + (["w"] if weights else [])
-    rows = points.orderBy("id").select(*columns).toLocalIterator(prefetchPartitions=True)
-    data = np.array([tuple(r) for r in rows], float).reshape(-1, len(columns))
+    n, kind, width = points.count(), "<f8" if double else "<f4", 8 if double else 4
+    if n * width >= 1 << 31:
+        raise ValueError("a record holds less than 2 GB")
+    header = np.zeros(_HEADER_INTS, "<i4")
+    header[1] = n
+    mark = lambda size: size.to_bytes(4, "little")
     with open(path, "wb") as f:
-        f.write(encode_fastfood(list(data.T), double))
+        for record in (header.tobytes(), np.zeros(_HEADER_FLOATS, kind).tobytes(), np.zeros(1, kind).tobytes()):
+            f.write(mark(len(record)) + record + mark(len(record)))
+        start = f.tell()
+        at = [start + i * (n * width + 8) + 4 for i in range(len(columns))]
+        for place in at:
+            f.seek(place - 4)
+            f.write(mark(n * width))
+            f.seek(place + n * width)
+            f.write(mark(n * width))
+        done, held = 0, []
+
+        def flush():
+            nonlocal done, held
+            for place, values in zip(at, zip(*held)):
+                f.seek(place + done * width)
+                f.write(np.array(values, float).astype(kind).tobytes())
+            done, held = done + len(held), []
+
+        for row in points.orderBy("id").select(*columns).toLocalIterator(prefetchPartitions=False):
+            held.append(tuple(row))
+            if len(held) == 100_000:
+                flush()
+        flush()
 
 
 def append_weights(path: str, weights: np.ndarray) -> None:

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfield.functions.bins import logbins
 from tallyfield.operators import mocks, theory
-from tallyfield.plans.points import xyz
+from tallyfield.plans import kernel, tiles
+from tallyfield.plans.points import Extent, xyz
 
 
 def frame(spark, p, w=None):
@@ -154,3 +156,118 @@ def test_points_from_any_table(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0, [4.0, 5.0]), (1.0, 2.0, 3.0, None)], "a double, b double, c double, ws array<double>")
     rows = xyz(df, "a", "b", "c", weights="ws").collect()
     assert sorted(r.w for r in rows) == [1.0, 4.0]
+
+
+def test_several_weights_go_to_functions_of_the_user(spark):
+    df = spark.createDataFrame([(1.0, 1.0, 1.0, [4.0, 5.0]), (1.5, 1.0, 1.0, [6.0, None])], "a double, b double, c double, ws array<double>")
+    points = xyz(df, "a", "b", "c", weights="ws")
+    both = theory.DD(points, [0.1, 1.0], boxsize=9.0, weight_type=lambda a, b, *d: (a * b).sum(axis=0)).first()
+    assert both.npairs == 2 and both.weightavg == pytest.approx(4 * 6 + 5 * 1)
+    assert theory.DD(points, [0.1, 1.0], boxsize=9.0, weight_type="pair_product").first().weightavg == pytest.approx(24.0)
+    with pytest.raises(Exception, match="at most 10"):
+        xyz(spark.createDataFrame([(1.0, [1.0] * 11)], "a double, ws array<double>"), "a", "a", "a", weights="ws").collect()
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_hot_tiles_are_split(spark, monkeypatch, cross):
+    monkeypatch.setattr(tiles, "CHUNK", 37)
+    monkeypatch.setattr(kernel, "PAIRS", 50)
+    rng = np.random.RandomState(8)
+    box, edges = 30.0, [0.0, 0.2, 1.0, 4.0]
+    # a third of all points in one place, and repeated rows
+    a = np.concatenate([rng.rand(160, 3) * box, 15 + rng.rand(90, 3) * 0.3, np.full((6, 3), 29.9)])
+    b = np.concatenate([rng.rand(60, 3) * box, 15 + rng.rand(70, 3) * 0.3]) if cross else None
+    w = rng.rand(len(a))
+    other = frame(spark, b) if cross else None
+    found = theory.DD(frame(spark, a, w), edges, other, boxsize=box, weight_type="pair_product", output_ravg=True).collect()
+    d = np.sqrt((separations(a, b if cross else a, box) ** 2).sum(-1))
+    ww = w[:, None] * (np.ones(len(b)) if cross else w)[None]
+    for r, (lo, hi) in zip(found, itertools.pairwise(edges)):
+        inside = (d >= lo) & (d < hi)
+        assert r.npairs == inside.sum()
+        assert r.ravg == pytest.approx(d[inside].mean()) and r.weightavg == pytest.approx(ww[inside].mean())
+
+
+@pytest.mark.parametrize("boxsize", [(40.0, -1, 0), (0, 0, 0), (-1, -1, 55.0)])
+def test_boxes_by_axis(spark, boxsize):
+    p = np.random.RandomState(11).rand(250, 3) * [40.0, 30.0, 50.0]
+    edges = [0.5, 4.0, 9.0]
+    found = theory.DD(frame(spark, p), edges, boxsize=boxsize).collect()
+    length = np.array([s if s > 0 else np.ptp(p[:, i]) if s == 0 else np.inf for i, s in enumerate(boxsize)])
+    d = np.abs(p[:, None] - p[None])
+    d = np.where(d >= length / 2, length - d, d)
+    assert [r.npairs for r in found] == histogram(np.sqrt((d**2).sum(-1)), edges)
+
+
+@pytest.mark.parametrize("options", [dict(xbin_refine_factor=1, ybin_refine_factor=1), dict(xbin_refine_factor=3, ybin_refine_factor=2, zbin_refine_factor=3), dict(enable_min_sep_opt=False), dict(max_cells_per_dim=2)])
+def test_lattices_change_no_count(spark, options):
+    box = (31.0, 22.0, 47.0)
+    a, b = clouds(box, 200), clouds(box, 90, 3)
+    for edges in ([0.01, 1.0, 3.0], [0.01, 5.0, 10.7]):
+        for other in (None, b):
+            d = separations(a, a if other is None else other, box)
+            o = None if other is None else frame(spark, other)
+            assert [r.npairs for r in theory.DD(frame(spark, a), edges, o, boxsize=box, **options).collect()] == histogram(np.sqrt((d**2).sum(-1)), edges)
+            flat = theory.DDrppi(frame(spark, a), 8.0, edges, o, boxsize=box, **options).groupBy("rmin").agg(F.sum("npairs").alias("n")).orderBy("rmin").collect()
+            assert [r.n for r in flat] == histogram(np.hypot(d[..., 0], d[..., 1]), edges, d[..., 2] < 8)
+    with pytest.raises(ValueError, match="refine"):
+        theory.DD(frame(spark, a), [0.1, 1.0], boxsize=box, xbin_refine_factor=0)
+
+
+def test_plan_has_no_join_of_points(spark):
+    p = frame(spark, np.random.RandomState(2).rand(50, 3) * 20)
+    tiling = tiles.Tiling.plan(Extent.of(p), (2.0,) * 3, (20.0,) * 3, 64)
+    assert all(n >= 3 for n in tiling.n)
+    dealt = tiles.groups(tiling, p, None, ["x", "y", "z"], 50, 8)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    # each pair of neighbouring points meets in one group; copies go one way only
+    assert dealt.where("shift = 13").count() == 50 and dealt.where("shift > 13").count() == 0
+    many = tiles.groups(tiling, p, None, ["x", "y", "z"], 10**9, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in many  # so many points that the list of hot tiles has no bound worth sending
+
+
+def test_tilings_follow_reach_and_extent():
+    whole = Extent(10**6, (0.0,) * 3, (100.0, 100.0, 0.0), 0.0, 0.0)
+    t = tiles.Tiling.plan(whole, (3.0, 60.0, 1.0), (None,) * 3, 8)
+    assert t.n[1] == 1 and t.n[2] == 1 and 8 <= t.n[0] <= 33 and all(s >= 3.0 for s in t.size[:2])
+
+
+def test_more_published_examples(spark):
+    rng = np.random.RandomState(42)
+    p = frame(spark, np.stack([rng.uniform(0, 420.0, 100_000) for _ in range(3)], 1))
+    # fixed values: published results for 100,000 uniform points of numpy seed 42 in a box of 420
+    xi_pairs = [4, 12, 40, 106, 336, 1052, 2994, 8614, 24448, 70996, 207392, 601002, 1740084, 5028058]
+    xi = [-0.205733, -0.176729, -0.051829, -0.131853, -0.049207, 0.028543, 0.011403, 0.005405, -0.014098, -0.010784, -0.001588, -0.000323, 0.000007, -0.001595]
+    xi_means = [0.226592, 0.289277, 0.426819, 0.596187, 0.850100, 1.225112, 1.737153, 2.474588, 3.532018, 5.022241, 7.160648, 10.207213, 14.541171, 20.728773]
+    found = theory.xi(p, 420.0, BINS, weight_type="pair_product", output_ravg=True).collect()
+    assert [r.npairs for r in found] == xi_pairs
+    assert [r.xi for r in found] == pytest.approx(xi, abs=1e-6) and [r.ravg for r in found] == pytest.approx(xi_means, abs=1e-6)
+    half = theory.xi(p.withColumn("w", F.lit(0.5)), 420.0, BINS[-3:], weight_type="pair_product").collect()
+    assert [r.weightavg for r in half] == pytest.approx([0.25, 0.25]) and [r.xi for r in half] == pytest.approx(xi[-2:], abs=1e-6)
+
+
+def test_published_mu_and_angles(spark):
+    rng = np.random.RandomState(42)
+    p = frame(spark, np.stack([rng.uniform(0, 420.0, 10_000) for _ in range(3)], 1))
+    # fixed values: published counts by mu of the bin from 5.78853 to 8.24925
+    found = theory.DDsmu(p, BINS, 1.0, 10, boxsize=420.0).collect()
+    assert [r.npairs for r in found[100:109]] == [230, 236, 210, 254, 182, 222, 238, 170, 208]
+    rng = np.random.RandomState(42)
+    ra = rng.uniform(0.0, 2.0 * np.pi, 100_000) * 180.0 / np.pi
+    dec = 90.0 - np.arccos(rng.uniform(-1.0, 1.0, 100_000)) * 180.0 / np.pi
+    sky = spark.createDataFrame([(i, float(a), float(d), 0.0, 1.0) for i, (a, d) in enumerate(zip(ra, dec))], "id long, ra double, dec double, cz double, w double")
+    # fixed values: published counts and mean angles in the first 16 of 20 logarithmic bins from 0.01 to 10 degrees
+    pairs = [62, 172, 298, 598, 1164, 2438, 4658, 9414, 19098, 37848, 75520, 150938, 301854, 599896, 1200238, 2396338]
+    means = [0.012272, 0.016978, 0.024380, 0.034321, 0.048535, 0.068385, 0.096631, 0.136834, 0.192967, 0.272673, 0.385344, 0.543973, 0.768406, 1.085273, 1.533461, 2.166009]
+    edges = logbins(0.01, 10.0, 20)[:17]
+    found = mocks.DDtheta_mocks(sky, edges, output_thetaavg=True).collect()
+    assert [r.npairs for r in found] == pairs and [r.thetaavg for r in found] == pytest.approx(means, abs=2e-6)
+
+
+def test_single_precision_is_noticed(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "a float, d float")
+    with pytest.warns(UserWarning, match="single-precision"):
+        mocks.DDtheta_mocks(mocks.sky(df, "a", "d", None), [0.01, 1.0])
+    with pytest.warns(UserWarning, match="single-precision"):
+        mocks.DDsmu_mocks(mocks.sky(df.withColumn("c", F.lit(5.0)), "a", "d", "c"), 1, 1.0, 2, [0.1, 1.0], is_comoving_dist=True)

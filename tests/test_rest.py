@@ -32,6 +32,29 @@ def test_vpf_brute_force(spark, periodic):
         assert row.pN == pytest.approx([(n == i).mean() for i in range(5)])
 
 
+def test_centers_come_from_a_file_or_fill_it(spark, tmp_path):
+    p, path = np.random.RandomState(1).rand(300, 3) * 50, str(tmp_path / "centers")
+    made = [r.pN for r in cells.vpf(frame(spark, p), 8.0, 2, 40, 4, 5, boxsize=50.0, centers=path).collect()]
+    assert catalogs.read_centers(spark, path, 8.0, 40).count() == 40
+    assert [r.pN for r in cells.vpf(frame(spark, p), 8.0, 2, 40, 4, 99, boxsize=50.0, centers=path).collect()] == made
+    # spheres that are too small aren't used
+    assert [r.pN for r in cells.vpf(frame(spark, p), 9.0, 2, 40, 4, 99, boxsize=50.0, centers=path).collect()] != made
+    sky_ = spark.createDataFrame([(i, float(v[0] * 2), float(v[1]), float(20 + v[2]), 1.0) for i, v in enumerate(p)], "id long, ra double, dec double, cz double, w double")
+    path = str(tmp_path / "sky")
+    first = cells.vpf_mocks(sky_, sky_, 5.0, 2, 20, 3, 1, 1, is_comoving_dist=True, centers=path).collect()
+    assert cells.vpf_mocks(sky_, sky_, 5.0, 2, 20, 3, 1, 1, is_comoving_dist=True, centers=path).collect() == first
+
+
+def test_accepted_centers_in_batches(spark):
+    p = np.random.RandomState(6).rand(400, 3) * 20
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    dense = [i for i in range(400) if (d[i] < 3.0).sum() > 7]
+    for wanted in (5, 37, 10_000):
+        found = cells.accepted_centers(frame(spark, p), 3.0, wanted, 7).collect()
+        assert [r.cid for r in found] == dense[:wanted]
+    assert cells.accepted_centers(frame(spark, p), 3.0, 4, 400).count() == 0
+
+
 def test_estimators(spark):
     d, r = np.random.RandomState(2).rand(200, 3) * 30, np.random.RandomState(3).rand(300, 3) * 30
     a, b, edges = frame(spark, d), frame(spark, r), [1.0, 3.0, 6.0]
@@ -45,6 +68,10 @@ def test_estimators(spark):
     assert [x.wp for x in wp] == pytest.approx([2 * sum(expected[:5]), 2 * sum(expected[5:])])
     again = estimators.wprp(200, 200, 300, 300, dd, dr, dr, rr, 5.0).collect()
     assert [x.wp for x in again] == pytest.approx([x.wp for x in wp])
+    every = estimators.wprp(200, 200, 300, 300, dd, dr, dr, rr, 2.0, all_bins=True).collect()
+    assert [x.wp for x in every] == pytest.approx([x.wp for x in wp])
+    few = estimators.wprp(200, 200, 300, 300, dd, dr, dr, rr, 2.0).collect()
+    assert [x.wp for x in few] == pytest.approx([2 * sum(expected[:2]), 2 * sum(expected[5:7])])
     with pytest.raises(ValueError, match="Landy"):
         estimators.convert_3d_counts_to_cf(1, 1, 1, 1, dd, dr, dr, rr, estimator="other")
     with pytest.raises(ValueError, match="whole number"):
@@ -79,6 +106,12 @@ def test_sphere_lattice(spark):
     assert sphere.compute_nbins(180, 10) == 18 and sphere.compute_nbins(180, 10, 2, 20) == 20
 
 
+def test_fastest_lattice(spark):
+    p = frame(spark, np.random.RandomState(2).rand(60, 3) * 20)
+    best, timings = sphere.fastest_lattice(lambda **options: theory.DD(p, [0.5, 2.0], boxsize=20.0, **options), max_refine=(2, 1, 1), repeats=1)
+    assert set(best) == {"xbin_refine_factor", "ybin_refine_factor", "zbin_refine_factor"} and len(timings) == 2
+
+
 def test_bins(tmp_path):
     path = tmp_path / "bins"
     path.write_text("# low high\n0.1 0.5\n\n0.5 2\n")
@@ -91,7 +124,7 @@ def test_bins(tmp_path):
 
 
 @pytest.mark.parametrize("double", [True, False])
-def test_fastfood_round_trip(spark, tmp_path, double):
+def test_fastfood_round_trip(spark, tmp_path, double, monkeypatch):
     p = np.random.RandomState(0).rand(50, 3).astype(np.float32).astype(float)
     path = str(tmp_path / "points.ff")
     catalogs.write_fastfood_catalog(frame(spark, p), path, double=double)
@@ -99,6 +132,16 @@ def test_fastfood_round_trip(spark, tmp_path, double):
     assert np.allclose(rows, sorted((*v, 1.0) for v in p.tolist()))
     catalogs.append_weights(path, np.full(50, 2.0))
     assert {r.w for r in catalogs.read_fastfood_catalog(spark, path).collect()} == {2.0}
+    assert catalogs.read_fastfood_catalog(spark, path, need_weights=False).first().w is None
+    catalogs.write_fastfood_catalog(frame(spark, p), path, weights=False)
+    assert catalogs.read_catalog(spark, path).first().w is None
+    with pytest.raises(ValueError, match="weights"):
+        catalogs.read_fastfood_catalog(spark, path, need_weights=True)
+    monkeypatch.setattr(catalogs, "PART_ROWS", 7)
+    parts = catalogs.read_catalog(spark, path).orderBy("id").collect()
+    assert [r.id for r in parts] == list(range(50)) and np.allclose([(r.x, r.y, r.z) for r in parts], p)
+    catalogs.write_fastfood_catalog(frame(spark, p).limit(0), path)
+    assert catalogs.read_catalog(spark, path).count() == 0
     (tmp_path / "broken.ff").write_bytes(b"\x14\0\0\0abc")
     with pytest.raises(Exception, match="lengths"):
         catalogs.read_catalog(spark, str(tmp_path / "broken.ff")).collect()
