@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyfield.llm import graph, lines, shingles, simhash, suffixes, vectors
+from tallyfield.llm import graph, lines, shingles, sieve, simhash, suffixes, vectors
 from tallyfield.llm.shared import written
 
 
@@ -129,28 +131,73 @@ def test_pipeline_near_duplicates(spark, group_rows, monkeypatch):
 
 
 def lines_brute(rows, depth=3, similar=0.7, least=3):
-    texts = {}
+    """Every line against every template of its leaf, in plain lists; shares nothing with the operator."""
+    def tokens_of(line):
+        return ["<*>" if any(c.isdigit() for c in t) else t for t in re.split("[ \t\n\x0b\x0c\r]+", line) if t]
+
+    first_of = {}
     for d, t in rows:
         if t is not None:
-            texts[t] = min(texts.get(t, 1 << 62), d)
-    leaves = defaultdict(lambda: defaultdict(set))
-    for t in texts:
-        for x in t.split("\n"):
-            if k := lines.masked(x):
-                leaves[len(k), tuple(k[:depth])][tuple(k)].add(t)
-    gone = defaultdict(set)
-    for found in leaves.values():
-        leaf, groups = lines.Leaf(similar), defaultdict(list)
-        for k in sorted(found, key=lambda k: (-len(found[k]), k)):
-            groups[leaf.add(list(k))].append(k)
-        for ks in groups.values():
-            held = set().union(*(found[k] for k in ks))
+            first_of[t] = min(first_of.get(t, 1 << 62), d)
+    texts_of = {}  # leaf -> line -> texts
+    for t in first_of:
+        for line in t.split("\n"):
+            if tokens := tuple(tokens_of(line)):
+                texts_of.setdefault((len(tokens), tokens[:depth]), {}).setdefault(tokens, set()).add(t)
+    gone = {}
+    for found in texts_of.values():
+        templates = []  # [tokens, lines]
+        for line in sorted(found, key=lambda k: (-len(found[k]), k)):
+            agree = [sum(a == b for a, b in zip(t, line)) for t, _ in templates]
+            best = max(range(len(agree)), key=lambda i: (agree[i], -i), default=None)
+            if best is None or agree[best] < similar * len(line):
+                templates.append([list(line), [line]])
+            else:
+                template, members = templates[best]
+                templates[best][0] = [a if a == b else "<*>" for a, b in zip(template, line)]
+                members.append(line)
+        for _, members in templates:
+            held = set().union(*(found[k] for k in members))
             if len(held) >= least:
-                first = min(held, key=lambda t: texts[t])
-                for k in ks:
+                first = min(held, key=lambda t: first_of[t])
+                for k in members:
                     for t in found[k] - {first}:
-                        gone[t].add(k)
-    return Counter((d, None if t is None else "\n".join(x for x in t.split("\n") if tuple(lines.masked(x)) not in gone[t])) for d, t in rows)
+                        gone.setdefault(t, set()).add(k)
+    return Counter((d, None if t is None else "\n".join(x for x in t.split("\n") if tuple(tokens_of(x)) not in gone.get(t, ()))) for d, t in rows)
+
+
+def test_templates_are_found_without_visiting_all():
+    rng = random.Random(7)
+    for words_, n in ((3, 7), (40, 11), (2, 4)):
+        leaf, plain = lines.Leaf(0.7), []
+        for _ in range(400):
+            line = ["a", "b", "c", *("<*>" if (w := rng.randrange(words_)) == 0 else f"w{w}" for _ in range(n - 3))]
+            agree = [sum(a == b for a, b in zip(t, line)) for t in plain]
+            best = max(range(len(agree)), key=lambda i: (agree[i], -i), default=-1)
+            if best < 0 or agree[best] < 0.7 * n:
+                best = len(plain)
+                plain.append(line)
+            else:
+                plain[best] = [a if a == b else "<*>" for a, b in zip(plain[best], line)]
+            assert leaf.add(line) == best
+        assert leaf.templates == plain
+
+    def seconds(n):
+        leaf, made = lines.Leaf(0.7), [["the", "same", "start", *(f"{rng.random()}" for _ in range(8))] for _ in range(n)]
+        began = time.perf_counter()
+        for line in made:
+            leaf.add(line)
+        return time.perf_counter() - began
+
+    assert seconds(8000) < 4
+
+
+def test_sieve(spark):
+    rng = np.random.default_rng(3)
+    inside, outside = rng.integers(-(2**63), 2**63 - 1, (2, 5000))
+    found = sieve.Sieve.of(spark.createDataFrame([(int(v),) for v in inside], "h long"), "h")
+    assert found.passes(inside).all() and found.passes(outside).mean() < 0.05
+    assert not sieve.Sieve.of(spark.createDataFrame([], "h long"), "h").passes(inside).any()
 
 
 def test_lines(spark):
@@ -165,6 +212,10 @@ def test_lines(spark):
     rows += [(100, None), (101, ""), (102, "\n\n"), (103, rows[0][1]), (103, rows[0][1]), (104, "one line " * 5000)]
     got = lines.deduplicated(docs(spark, rows), keep=["doc_id"]).collect()
     assert Counter((r.doc_id, r.kept) for r in got) == lines_brute(rows)
+    # leaves in chunks: what one template generalises still goes
+    chunked = lines.deduplicated(docs(spark, rows), keep=["doc_id"], leaf_lines=5).collect()
+    assert "\n".join(r.kept or "" for r in chunked if r.doc_id < 100).count("was not found here") == 1
+    assert len(chunked) == len(rows)
     kept = "\n".join(r.kept or "" for r in got if r.doc_id < 100)
     assert kept.count("was not found here") == 1 and kept.count("Posted on") == 1
     assert lines.deduplicated(docs(spark, rows).limit(0), keep=["doc_id"]).count() == 0
