@@ -32,14 +32,17 @@ WILD = "<*>"
 #: Lines of a leaf that one task parses at most before templates are parsed again.
 LEAF_LINES = 20_000
 
-_TOKEN = re.compile("[^\x20\x09-\x0d]+")
-_DIGIT = re.compile("[" + "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isdigit()) + "]")
+_ASCII_DIGIT = re.compile("[0-9]")
+_DIGITS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit())
 
 
 def masked(line: str) -> list[str]:
     """Tokens between ASCII white space; those with a digit are variable."""
-    tokens = _TOKEN.findall(line)
-    return [WILD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    if line.isascii() and line.isprintable():  # no white space but spaces
+        tokens = line.split()
+        return [WILD if _ASCII_DIGIT.search(t) else t for t in tokens] if _ASCII_DIGIT.search(line) else tokens
+    tokens = [t.decode() for t in line.encode().split()]
+    return tokens if _DIGITS.isdisjoint(line) else [t if _DIGITS.isdisjoint(t) else WILD for t in tokens]
 
 
 def line_keys(line: str, depth: int) -> tuple[int, int, list[str]] | None:
