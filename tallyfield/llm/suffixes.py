@@ -16,7 +16,9 @@ every 170 bytes, and only hashes of it at first.
 3. In each group a suffix array, its longest common prefixes, and the previous
    and next smaller places in suffix order give the longest previous factor of
    each place; the mirror gives the longest later one.  Groups over ``group``
-   strings compare window hashes instead, which are dealt by their own value.
+   strings are split before: equal windows have the minimizer at equal places, so
+   pieces of the strings are dealt by those places and by what all windows there
+   share, at last by single places.  Hashes deal; the arrays decide.
 
 Intervals go back from groups to stretches to texts.  Equal texts are one text
 throughout.
@@ -34,11 +36,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyfield.llm.arrowio import slices
 from tallyfield.llm.shared import written
+from tallyfield.llm.sieve import Sieve
 
 #: Bytes of a k-gram.
 K = 64
 #: Bytes that are hashed at a time; places within them take 24 bits.
 BLOCK = 4 << 20
+#: Rows that a task sorts on average.
+TASK_ROWS = 100_000
+#: A stretch's place and its text's hash make one number by this factor.
+_PLACE = 1_000_003
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -195,36 +202,46 @@ def _stretch_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _cut_parts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``m, c, before, after`` of one stretch of each kind: what goes before the minimizer, backwards, and the rest."""
-    lists = wanted.groupBy("t1", "t2", F.coalesce("first", F.lit(-(2**63))).alias("d")).agg(F.collect_list(F.struct("start", "windows", "m", "c")).alias("w"))
-    texts = docs.select(*_text_key(F.col("text")), F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "text")
-    joined = texts.join(lists, ["t1", "t2", "d"]).select("text", "w")
-
-    def run(batches):
-        for b in slices(batches, 64):
-            out = [[], [], [], []]
-            for text, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = text.encode()
-                for x in items:
-                    part = raw[x["start"] : x["start"] + x["windows"] + length - 1]
-                    _, _, at, _ = stretches(np.frombuffer(part, np.uint8), length)
-                    a = int(at[0])
-                    for column, value in zip(out, (x["m"], x["c"], part[:a][::-1], part[a:])):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["m", "c", "before", "after"])
-
-    return joined.mapInArrow(run, "m long, c long, before binary, after binary").dropDuplicates(["m", "c"])
+    """``m, c, before, after`` of one stretch of each kind: what goes before the minimizer, backwards, and the rest.
 
+    Texts and stretches that aren't wanted are told by bitmaps, so whole texts
+    aren't shuffled; the few let through by chance go where kinds are joined.
+    """
+    texts = Sieve.of(wanted.select("t1").distinct(), "t1")
+    places = Sieve.of(wanted.selectExpr(f"t1 ^ (start * {_PLACE}L) AS p"), "p")
+    keyed = docs.select(F.xxhash64("text").alias("t1"), "text").where(F.octet_length("text") >= length)
 
-def _reach(parts: DataFrame, side: str) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            b = b.filter(pa.array(texts.passes(b.column(0).to_numpy())))
+            for b in slices([b], 64):
+                out = [[], [], [], []]
+                for t1, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    raw = text.encode()
+                    data = np.frombuffer(raw, np.uint8)
+                    for lo, hi in _blocks(len(raw), length):
+                        first, n, at, m = stretches(data[lo:hi], length)
+                        keep = np.flatnonzero(places.passes(np.int64(t1) ^ ((first + lo) * _PLACE)))
+                        for s, k, a, h in zip((first[keep] + lo).tolist(), n[keep].tolist(), (at[keep] + lo).tolist(), m[keep].view(np.int64).tolist()):
+                            part = raw[s : s + k + length - 1]
+                            c = xxhash.xxh3_64_intdigest(part)
+                            for column, value in zip(out, (h, c - (1 << 64) if c >> 63 else c, part[: a - s][::-1], part[a - s :])):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["m", "c", "before", "after"])
+
+    return keyed.mapInArrow(run, "m long, c long, before binary, after binary").dropDuplicates(["m", "c"])
+
+
+def _reach(parts: DataFrame, side: str, tasks: int) -> DataFrame:
     """``m, c, side, full``: the side, forwards, cut to what it shares with another of its minimizer at most, and its size before.
 
-    The sorted rows are dealt by range, so no group is one task's.  The first and
+    The sorted rows are dealt by range, so no group is one task's; the range needs a
+    hundred rows of each task on the driver, and ``tasks`` follows the rows.  The first and
     last row of a task don't see their neighbours beyond and stay whole; what is
     left on too long a row costs later work only.
     """
     way = -1 if side == "before" else 1
-    ordered = parts.select("m", side, "c").repartitionByRange("m", side, "c").sortWithinPartitions("m", side, "c")
+    ordered = parts.select("m", side, "c").repartitionByRange(tasks, "m", side, "c").sortWithinPartitions("m", side, "c")
 
     def run(batches):
         held = None  # m, side, c, reach so far
@@ -287,36 +304,61 @@ def _repeats_by_suffixes(groups: DataFrame, length: int) -> DataFrame:
     return groups.select("m", "t", "s", "n", "doc", "at").repartition("m").sortWithinPartitions("m").mapInArrow(run, "m long, t long, repeated array<array<int>>, later array<array<int>>")
 
 
-def _repeats_by_hashes(groups: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size, by exact counts of window hashes."""
+def _pieces(groups: DataFrame, length: int, width: int) -> DataFrame:
+    """``m, t, lo, g, q, s, mid, n, doc, at``: the strings' pieces for each ``width`` places of a window around the minimizer.
+
+    Windows that have the minimizer at one of those places share a core.  Equal
+    windows have equal minimizers at equal places, hence equal cores, so pieces
+    are dealt by minimizer, places and core.
+    """
 
     def run(batches):
         for b in slices(batches, 64):
-            out = [[] for _ in range(7)]
-            for m, t, s, n, doc, at in zip(*(b.column(i).to_pylist() for i in range(6))):
-                h = window_hashes(np.frombuffer(s, np.uint8), length).view(np.int64)
-                k = len(h)
-                for column, value in zip(out, ([m] * k, [t] * k, h.tolist(), range(k), [n] * k, [doc] * k, range(at, at + k))):
-                    column.extend(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["m", "t", "h", "i", "n", "doc", "at"])
-
-    windows = groups.select("m", "t", "s", "n", "doc", "at").mapInArrow(run, "m long, t long, h long, i long, n long, doc long, at long")
-    counted = windows.groupBy("m", "h").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "at", "t")).alias("least")).where("n > 1")
-    met = windows.select("m", "t", "h", "i", "doc", "at").join(counted, ["m", "h"])
-    met = met.groupBy("m", "t").agg(F.array_sort(F.collect_list("i")).alias("all"), F.array_sort(F.collect_list(F.when(F.struct("doc", "at", "t") > F.col("least"), F.col("i")))).alias("late"))
-
-    def ends(batches):
-        runs = pa.list_(pa.list_(pa.int32()))
+            out = [[] for _ in range(10)]
+            for m, t, s, mid, n, doc, at in zip(*(b.column(i).to_pylist() for i in range(7))):
+                last = len(s) - length  # of the windows' places in s
+                for block in range(max(0, mid - last) // width, mid // width + 1):
+                    near, far = block * width, block * width + width - 1
+                    lo, hi = max(0, mid - far), min(last, mid - near)
+                    if lo > hi:
+                        continue
+                    piece = s[lo : hi + length]
+                    g = xxhash.xxh3_64_intdigest(s[mid - near : mid - far + length], (m ^ block) % 2**64)
+                    for column, value in zip(out, (m, t, lo, g, xxhash.xxh3_64_intdigest(piece), piece, mid - lo, n, doc, at)):
+                        column.append(value)
+            hashes = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([hashes(v) if i in (3, 4) else pa.array(v, pa.binary() if i == 5 else pa.int64()) for i, v in enumerate(out)], names=["m", "t", "lo", "g", "q", "s", "mid", "n", "doc", "at"])
+
+    return groups.select("m", "t", "s", "mid", "n", "doc", "at").mapInArrow(run, "m long, t long, lo long, g long, q long, s binary, mid long, n long, doc long, at long")
 
-        def of(places):
-            flags = np.zeros((places[-1] + 1) if places else 0, bool)
-            flags[places] = True
-            return _runs(flags)
 
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(of, b.column(2).to_pylist()), runs), pa.array(map(of, b.column(3).to_pylist()), runs)], names=["m", "t", "repeated", "later"])
+def _grouped(strings: DataFrame) -> DataFrame:
+    """Distinct ``m, mid, t, s`` with the number and the first place of each, and the size of their group, where anything can repeat."""
+    distinct = strings.groupBy("m", "mid", "t", "s").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "at")).alias("e")).select("m", "mid", "t", "s", "n", "e.doc", "e.at")
+    sizes = distinct.groupBy("m").agg(F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1 or most > 1").select("m", "size")
+    return written(distinct.join(sizes.hint("merge"), "m"), "strings")
 
-    return met.mapInArrow(ends, "m long, t long, repeated array<array<int>>, later array<array<int>>")
+
+def _repeats(groups: DataFrame, length: int, group: int, widths: tuple[int, ...] = (16, 1)) -> DataFrame:
+    """``m, t, repeated, later, e_doc, e_at`` of ``groups``; those over ``group`` strings are split by pieces first, again and again.
+
+    Pieces of one place are equal in a group of theirs, so the last split leaves
+    one string, whatever the number of texts that hold it.
+    """
+    found = _repeats_by_suffixes(groups.where(F.col("size") <= group) if widths else groups, length)
+    found = found.join(groups.select("m", "t", F.col("doc").alias("e_doc"), F.col("at").alias("e_at")).hint("merge"), ["m", "t"])
+    large = groups.where(F.col("size") > group)
+    if not widths or large.isEmpty():
+        return found
+    pieces = written(_pieces(large, length, widths[0]), "pieces")
+    smaller = _grouped(pieces.select(F.col("g").alias("m"), "mid", F.col("q").alias("t"), "s", "n", "doc", "at"))
+    inner = written(_repeats(smaller, length, group, widths[1:]), "repeats").select(F.col("m").alias("g"), F.col("t").alias("q"), "repeated", "later", "e_doc", "e_at")
+    moved = lambda runs: F.transform(runs, lambda r: F.array(r[0] + F.col("lo").cast("int"), r[1] + F.col("lo").cast("int")))
+    holder = (F.col("doc") == F.col("e_doc")) & (F.col("at") == F.col("e_at"))
+    met = pieces.select("m", "t", "lo", "g", "q", "doc", "at").join(inner.hint("merge"), ["g", "q"])
+    met = met.select("m", "t", "doc", "at", moved(F.col("repeated")).alias("r"), moved(F.when(holder, F.col("later")).otherwise(F.col("repeated"))).alias("l"))
+    split = met.groupBy("m", "t").agg(F.flatten(F.collect_list("r")).alias("repeated"), F.flatten(F.collect_list("l")).alias("later"), F.first("doc").alias("e_doc"), F.first("at").alias("e_at"))
+    return found.unionByName(split)
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False, group: int = 256) -> DataFrame:
@@ -331,25 +373,23 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
     rows = written(_stretch_rows(docs, length), "stretches")
     by_m = rows.groupBy("m").agg(F.sum("n").alias("total"), (F.min("c") != F.max("c")).alias("several")).where("total > 1").select("m", "several")
     kinds = rows.groupBy("m", "c").agg(F.sum("n").alias("n"), F.min(F.struct(F.coalesce("first", F.lit(-(2**63))).alias("doc"), "start", "t1", "t2", "first", "windows")).alias("f"))
-    kinds = written(kinds.join(by_m, "m").select("m", "c", "n", "several", "f.*"), "kinds")
+    kinds = written(kinds.join(by_m.hint("merge"), "m").select("m", "c", "n", "several", "f.*"), "kinds")
     parts = written(_cut_parts(docs, kinds.where("several"), length), "parts")
-    reach = _reach(parts, "after").drop("full").join(_reach(parts, "before"), ["m", "c"]).where(F.octet_length("before") + F.octet_length("after") >= length)
-    reach = reach.join(kinds.where("several").select("m", "c", "n", "doc", "start"), ["m", "c"])
-    reach = reach.select("m", "c", F.concat("before", "after").alias("s"), (F.col("full") - F.octet_length("before")).alias("skip"), "n", "doc", "start").withColumn("at", F.col("start") + F.col("skip")).withColumn("t", F.xxhash64("s"))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-parts.count() // TASK_ROWS))
+    reach = _reach(parts, "after", tasks).drop("full").join(_reach(parts, "before", tasks).hint("merge"), ["m", "c"]).where(F.octet_length("before") + F.octet_length("after") >= length)
+    reach = reach.join(kinds.where("several").select("m", "c", "n", "doc", "start").hint("merge"), ["m", "c"])
+    # ``at`` is the minimizer's place in the text, which cuts don't move
+    reach = reach.select("m", "c", F.concat("before", "after").alias("s"), F.octet_length("before").cast("long").alias("mid"), (F.col("full") - F.octet_length("before")).alias("skip"), "n", "doc", (F.col("start") + F.col("full")).alias("at")).withColumn("t", F.xxhash64("s", "mid"))
     reach = written(reach, "reach")
-    strings = reach.groupBy("m", "t", "s").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "at")).alias("e")).select("m", "t", "s", "n", "e.doc", "e.at")
-    sizes = strings.groupBy("m").agg(F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1 or most > 1").select("m", "size")
-    groups = written(strings.join(sizes, "m"), "strings")
-    found = _repeats_by_suffixes(groups.where(F.col("size") <= group), length).union(_repeats_by_hashes(groups.where(F.col("size") > group), length))
-    found = found.where(F.size("repeated") > 0).join(groups.select("m", "t", F.col("doc").alias("e_doc"), F.col("at").alias("e_at")), ["m", "t"])
-    of = reach.select("m", "c", "t", "skip", "doc", "at").join(found, ["m", "t"])
+    found = _repeats(_grouped(reach), length, group).where(F.size("repeated") > 0)
+    of = reach.select("m", "c", "t", "skip", "doc", "at").join(found.hint("merge"), ["m", "t"])
     moved = lambda runs: F.transform(runs, lambda r: F.array(r[0] + F.col("skip"), r[1] + F.col("skip")))
     holder = (F.col("doc") == F.col("e_doc")) & (F.col("at") == F.col("e_at"))
     of = of.select("m", "c", moved(F.col("repeated")).alias("repeated"), moved(F.when(holder, F.col("later")).otherwise(F.col("repeated"))).alias("later"))
 
     every = F.array(F.array(F.lit(0), F.col("windows").cast("int")))
     none = F.array().cast("array<array<int>>")
-    runs = kinds.join(of, ["m", "c"], "left").withColumn("all", F.when(~F.col("several") | (F.col("n") > 1), every).otherwise(F.coalesce("repeated", none)))
+    runs = kinds.join(of.hint("merge"), ["m", "c"], "left").withColumn("all", F.when(~F.col("several") | (F.col("n") > 1), every).otherwise(F.coalesce("repeated", none)))
     # written: a join of two tables can be split where one stretch stands in many texts
     runs = runs.select("m", "c", "all", F.coalesce("later", none).alias("own"), F.col("t1").alias("f1"), F.col("t2").alias("f2"), F.col("start").alias("f_start"))
     runs = written(runs.where((F.size("all") > 0) | (F.size("own") > 0)), "runs")
@@ -358,7 +398,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep_first: bool = False,
     runs_here = F.when(is_first, F.col("own")).otherwise(every) if keep_first else F.col("all")
     # with ``keep_first`` a text of several rows is listed though its first row keeps all
     listed = (F.size("r") > 0) | (F.lit(keep_first) & (F.col("here") > 1))
-    met = rows.select("m", "c", "t1", "t2", "start", "windows", "first", F.col("n").alias("here")).join(runs, ["m", "c"]).withColumn("r", runs_here).where(listed)
+    met = rows.select("m", "c", "t1", "t2", "start", "windows", "first", F.col("n").alias("here")).join(runs.hint("merge"), ["m", "c"]).withColumn("r", runs_here).where(listed)
     spans = F.transform("r", lambda x: F.struct((F.col("start") + x[0]).alias("a"), (F.col("start") + x[1] + (length - 1)).alias("b")))
     return met.groupBy("t1", "t2").agg(F.flatten(F.collect_list(spans)).alias("spans"), F.min("first").alias("first"))
 
@@ -387,10 +427,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if clash := {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"} & set(keep):
         raise ValueError(f"columns named as results: {sorted(clash)}")
     plain = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    spans = repeated_spans(plain, length, keep_first, group)
+    # written: a join of two tables can be split where one text has many copies
+    spans = written(repeated_spans(plain, length, keep_first, group), "spans")
     # one column for those that are kept, so that their names can't clash
     slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("__text"), docs[doc_id].cast("long").alias("__doc"))
-    keyed = slim.select("*", *_text_key(F.col("__text"))).join(spans, ["t1", "t2"], "left")
+    keyed = slim.select("*", *_text_key(F.col("__text"))).join(spans.hint("merge"), ["t1", "t2"], "left")
     again = F.lit(keep_first) & F.col("spans").isNotNull() & ~F.col("__doc").eqNullSafe(F.col("first"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("__text").cast("long").alias("b")))
     ready = keyed.select("__row", "__text", F.when(again, whole).otherwise(F.col("spans")).alias("spans"))

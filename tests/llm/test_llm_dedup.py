@@ -277,6 +277,17 @@ def test_suffix_edges(spark, monkeypatch):
     assert covered == list(range(4601))
 
 
+def test_texts_over_one_block(spark):
+    rng = np.random.default_rng(13)
+    letters = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    passage, edge = "[" + letters(598) + "]", suffixes.BLOCK
+    long_ = letters(edge - 300) + passage + letters(3000) + passage + letters(200_000)
+    rows = [(1, long_), (2, "#" + passage + "#"), (3, letters(1000))]
+    got = {r.doc_id: r for r in suffixes.remove_repeats(docs(spark, rows), keep=["doc_id"], as_text=True).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3)] == [(1200, 2), (600, 1), (0, 0)]
+    assert got[1].kept == long_.replace(passage, "") and got[2].kept == "##"
+
+
 def test_pipeline_keeps_the_first_of_repeated_strings(spark):
     import corpus_pipeline
 
