@@ -72,6 +72,22 @@ def pivot_count(n: int) -> int:
     return int(min(PIVOTS, max(64, 2 ** np.ceil(np.log2(2 * max(1, n) ** 0.5)))))
 
 
+def apart_from_each_other(x: np.ndarray, least: float, n: int) -> np.ndarray:
+    """The first ``n`` rows of unit vectors, those left out that have a cosine of ``least`` or more with one before.
+
+    Several pivots within one cluster would describe its vectors by chance.
+    """
+    kept = np.ones(len(x), bool)
+    for i in range(0, len(x), 512):
+        block = x[i : i + 512]
+        kept[i : i + 512] &= ~((block @ x[:i][kept[:i]].T >= least).any(axis=1))
+        close = np.triu(block @ block.T >= least, 1)
+        for k in np.flatnonzero(close.any(axis=1)):
+            if kept[i + k]:
+                kept[i : i + 512] &= ~close[k]
+    return x[kept][:n]
+
+
 def _described(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``node, vec_id, near, s0, s1``: the nearest pivots of each of ``vectors(node, vec_id, e)``, rising, and its signs."""
     planes = np.random.default_rng(42).normal(size=(SIGNS, pivots.shape[1]))
@@ -258,14 +274,14 @@ def near_vectors(vectors: DataFrame, vector: str = "embedding", vec_id: str = "v
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(F.coalesce(sound, F.lit(False)), e).alias("e")).withColumn("node", F.when(F.col("e").isNotNull(), F.xxhash64("e")))
     good = rows.where("node is not null")
     total, distinct = good.agg(F.count("*"), F.approx_count_distinct("node")).first()
-    # a few times the pivots by hash, and of those the first, so that neither copies nor all vectors meet
-    mark = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 4 * pivot_count(total) / max(1, distinct)))
-    sample = good.where(mark).select("node", "e").dropDuplicates(["node"]).orderBy(F.xxhash64("node"), "node").limit(pivot_count(total)).select("e").collect()
+    # a few times the pivots by hash, and of those twice the pivots, so that neither copies nor all vectors meet
+    mark = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 8 * pivot_count(total) / max(1, distinct)))
+    sample = good.where(mark).select("node", "e").dropDuplicates(["node"]).orderBy(F.xxhash64("node"), "node").limit(2 * pivot_count(total)).select("e").collect()
     if not sample:
         component = F.col("vec_id")
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), component.alias("component_id"), F.lit(True).alias("kept"))
     width = max(len(r.e) for r in sample)
-    pivots = _unit(np.array([[*r.e, *[0.0] * (width - len(r.e))] for r in sample], float))
+    pivots = apart_from_each_other(_unit(np.array([[*r.e, *[0.0] * (width - len(r.e))] for r in sample], float)), least, pivot_count(total))
     nodes = _described(good, pivots).groupBy("node").agg(F.count("*").alias("m"), F.min("vec_id").alias("first"), F.first(F.struct("near", "s0", "s1")).alias("d")).select("node", "m", "first", "d.*")
     nodes = written(nodes, "vectors")
     found = written(node_links(nodes, good, total, len(pivots) <= 2 * NEAREST, least, group_rows), "links")

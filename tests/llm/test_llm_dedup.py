@@ -327,6 +327,20 @@ def test_longest_previous_factors():
     assert later.tolist() == [max((common(i, j) for j in valid[i + 1 :]), default=0) for i in valid]
 
 
+def test_vectors_of_one_dense_cluster(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(900, 32))
+    x[600:] = x[0] + 0.12 * rng.normal(size=(300, 32))  # a third of all
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>")
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    wanted = (u @ u.T >= 0.95).sum() - len(u)
+    found = vectors.near_vectors(df, group_rows=64).agg(F.sum("n_links")).first()[0]
+    assert wanted > 50_000 and 0.99 * wanted <= found <= wanted
+    kept = vectors.apart_from_each_other(u, 0.95, 1000)
+    assert ((kept @ kept.T >= 0.95).sum() == len(kept)) and len(kept) < 650
+
+
 @pytest.mark.parametrize("group_rows", [512, 16])
 def test_vectors(spark, group_rows):
     rng = np.random.default_rng(9)
