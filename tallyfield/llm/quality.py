@@ -4,7 +4,8 @@ Base rules reject short and repetitive texts.  The others are judged by minimum
 covariance determinant estimates of a vector of transformed statistics, made for
 each language and source: a subset of three quarters of the group's rows whose
 covariance has the least determinant gives centre and scatter that outliers
-can't move, and rows at a large Mahalanobis distance are rejected.
+can't move, and rows are rejected whose Mahalanobis distance, squared, exceeds the
+chi-square value that one regular text in a billion would.
 
 Concentration steps start from a bounded sample of each group (several random
 starts, the best goes on) and then run over all rows of all groups at once:
@@ -14,6 +15,7 @@ the rows below it.  Rows never meet in one task; estimates travel by a join.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -26,17 +28,45 @@ from tallyfield.llm.shared import written
 
 SYMBOLS = "#*$%&|<>"
 SPACE = b"\t\n\x0b\x0c\r "
-#: Transformed statistics, and the scatter that every estimate has at least, so that constant ones don't reject.
+#: Transformed statistics, and the scatter that every estimate has at least, so that constant ones don't reject:
+#: deviations of a quarter in the logarithms of lengths, a tenth in shares of lines and in roots of shares of words, a fiftieth in that of symbols.
 FEATURES = ("f_length", "f_word", "f_symbols", "f_lines", "f_repeats")
-FLOOR = (0.05, 0.01, 0.0004, 0.0025, 0.0025)
+FLOOR = (0.0625, 0.01, 0.0004, 0.01, 0.01)
 #: Rows of a group that make the random starts; smaller groups than ``LEAST`` are judged with their language, then with all.
 SAMPLE, STARTS, LEAST = 600, 30, 100
 #: Share of a group's rows in the subset, and steps over all rows.
 SUBSET, STEPS = 0.75, 4
 #: Groups whose estimates, a quarter of a kilobyte each, are broadcast; more are joined by a shuffle.
 BROADCAST = 10_000
-#: Mahalanobis distance, squared, that is let pass; far beyond the tails of text statistics.
-CUTOFF = 100.0
+#: Share of regular texts, were their statistics normal, that is rejected.
+TAIL = 1e-9
+
+
+def chi_square(x: float, k: int) -> float:
+    """Share of a chi-square distribution with ``k`` degrees of freedom up to ``x``, by the series of the incomplete gamma function."""
+    a, y = k / 2, x / 2
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-17:
+        n += 1
+        term *= y / n
+        total += term
+    return total * math.exp(a * math.log(y) - y - math.lgamma(a)) if y > 0 else 0.0
+
+
+def chi_square_above(share: float, k: int) -> float:
+    """The value that ``share`` of a chi-square distribution with ``k`` degrees of freedom exceeds; shares from 1e-12 up."""
+    low, high = 0.0, 200.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - chi_square(mid, k) > share else (low, mid)
+    return high
+
+
+#: The scatter of a normal distribution's central part is smaller than that of the whole by this factor.
+CONSISTENCY = SUBSET / chi_square(chi_square_above(1 - SUBSET, len(FEATURES)), len(FEATURES) + 2)
+#: Mahalanobis distance, squared, that is let pass.
+CUTOFF = chi_square_above(TAIL, len(FEATURES))
 
 
 def statistics(text: str | None) -> tuple[int, int, int, int, int]:
@@ -187,7 +217,6 @@ def judged(docs: DataFrame, text: str = "text", *, keep: list[str], lang: str =
     of_groups = written(level.join(found.withColumnRenamed("g", "own"), "own"), "estimates")
     all_rows = _joined(stats, of_groups, ["__lang", "__source"], "left")
     distance = F.when(F.col("mean").isNotNull(), _distance())
-    # three quarters of the rows have less spread than all; for five statistics by this much
-    out = all_rows.withColumn("distance", F.when(~F.col("base_failed"), distance / 1.9))
+    out = all_rows.withColumn("distance", F.when(~F.col("base_failed"), distance / CONSISTENCY))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select("__row.*", *names, "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance")

@@ -235,6 +235,51 @@ def test_quality(spark):
     assert quality.judged(d.limit(0), keep=["doc_id"]).count() == 0
 
 
+def plain_mcd(x, starts=200):
+    """Minimum covariance determinant by concentration from many random subsets; shares no code with the operator."""
+    rng, h, floor = np.random.default_rng(77), math.ceil(0.75 * len(x)), np.diag([0.0625, 0.01, 0.0004, 0.01, 0.01])
+    best = (math.inf, None, None)
+    for _ in range(starts):
+        rows = x[rng.permutation(len(x))[:8]]
+        for _ in range(60):
+            mean, cov = rows.mean(axis=0), np.cov(rows.T, bias=True) + floor
+            d = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1)
+            rows = x[d <= np.sort(d)[h - 1]]
+        best = min(best, (np.linalg.det(cov), mean.tolist(), cov.tolist()))
+    mean, cov = np.array(best[1]), np.array(best[2])
+    return ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(axis=1)
+
+
+def test_quality_verdicts_are_those_of_a_plain_estimate(spark):
+    rng = random.Random(18)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = []
+    for i in range(900):
+        lang, odd = ("en", "de", "fr")[i % 3], i % 11 == 0
+        size = (3, 9) if lang == "en" else (6, 14)
+        words = [word(rng.randint(*size)) for _ in range(rng.randint(60, 260))]
+        if odd:
+            words = [w + rng.choice(["###", "|$|", ""]) for w in words] if i % 2 else [word(40) for _ in words]
+        rows.append((i, " ".join(words) + "\nthe end" * rng.choice([0, 0, 0, 2]), lang, "s"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judged(d, keep=["doc_id"]).collect()}
+    # fixed values: 0.75 over the share of chi-square with 7 degrees up to the 0.75 quantile with 5; the value of 1e-9
+    assert quality.CONSISTENCY == pytest.approx(1.4123, abs=2e-3) and quality.CUTOFF == pytest.approx(51.2, abs=1.0)
+    assert quality.chi_square(quality.chi_square_above(0.05, 5), 5) == pytest.approx(0.95) and quality.chi_square_above(0.05, 5) == pytest.approx(11.0705, abs=1e-4)
+    for lang in ("en", "de", "fr"):
+        own = [r for r in rows if r[2] == lang]
+        stats = np.array([quality_brute(t) for _, t, _, _ in own], float)
+        lines = np.array([t.count("\n") + 1 for _, t, _, _ in own])
+        n, chars, symbols, dups, repeats = stats.T
+        passed = (n >= 50) & (repeats <= 0.5 * n)
+        x = np.stack([np.log(n), np.log((chars + 1) / n), np.sqrt(symbols / chars), dups / lines, np.sqrt(repeats / n)], 1)
+        d2 = plain_mcd(x[passed]) / quality.CONSISTENCY
+        ids = [r[0] for r, p in zip(own, passed) if p]
+        assert [got[i].kept for i in ids] == (d2 <= quality.CUTOFF).tolist()
+        assert [got[i].distance for i in ids] == pytest.approx(d2, rel=0.1, abs=0.3)
+        assert 10 < (d2 > quality.CUTOFF).sum() < 40
+
+
 def check_packing(rows, docs_, tokenizer, size):
     by_doc = Counter()
     sequences = {}
