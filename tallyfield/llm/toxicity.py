@@ -3,12 +3,15 @@
 Texts are folded first: compatibility forms, look-alike letters of other
 scripts, digits and signs that stand for letters, zero-width characters, case;
 all else becomes spaces.  An automaton then finds lexicon entries, each a word
-or the beginning of words.  Where several start at one place the longest counts
-alone, so a longer exception with weight zero silences a shorter entry.  Learned
-exceptions are single words; phrases of several words aren't learned.
-Weights are smoothed log odds of a document being labelled toxic.  The sum and
-the largest of them, taken against the length of the text, go through a logistic
-function fitted on the same labelled rows.
+or the beginning of words, and exceptions, each a word or a phrase of two.  An
+entry inside an exception is silent.  Where several entries start at one place
+the longest counts alone.  Weights are smoothed log odds of a document being
+labelled toxic.  The sum and the largest of them, taken against the length of the
+text, go through a logistic function fitted on the same labelled rows.
+
+Exceptions are learned as well: words of clean documents that begin like an entry,
+and phrases of a word that holds an entry with the word before or after it, that
+tell of clean documents more than of toxic ones.
 
 Lexicon and function are learned from at most ``sample`` labelled rows; every
 text is scored whole.  Languages, sources and ids are no inputs of a score.
@@ -26,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyfield.llm.arrowio import slices
+from tallyfield.llm.shared import written
 
 #: Labelled rows to learn from, at most; those of least hash.
 SAMPLE = 12_000
-#: Entries and exceptions that a lexicon can have, those of most weight against its error.
-ENTRIES, EXCEPTIONS = 4_000, 4_000
 #: Lengths of word beginnings that can be entries.
 STEMS = range(4, 11)
 #: Distinct terms a task counts before it passes the counts on.
@@ -69,11 +71,10 @@ class Lexicon:
     def __getstate__(self):
         return {"weights": self.weights, "coefficients": self.coefficients, "_automaton": None}
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """Sum of weights against the words and against their square root, the largest, and the hits, damped."""
-        folded = fold(text)
+    def hits(self, folded: str) -> list[float]:
+        """Weights of the entries that count, in the order of their starts."""
         if not self.weights:
-            return 0.0, 0.0, 0.0, 0.0
+            return []
         if self._automaton is None:
             made = ahocorasick.Automaton()
             for pattern, weight in self.weights.items():
@@ -81,12 +82,28 @@ class Lexicon:
             made.make_automaton()
             self._automaton = made
         longest: dict[int, tuple[int, float]] = {}
-        for end, found in self._automaton.iter(folded):
-            start = end - found[0]
-            if start not in longest or longest[start][0] < found[0]:
-                longest[start] = found
-        hits = [w for _, w in longest.values() if w]
-        if not hits:
+        silent: list[tuple[int, int]] = []
+        for end, (size, weight) in self._automaton.iter(folded):
+            start = end - size + 1
+            if not weight:
+                silent.append((start, end))
+            elif start not in longest or longest[start][0] < end:
+                longest[start] = end, weight
+        if not longest:
+            return []
+        out, silent, at, far = [], sorted(silent), 0, -1
+        for start in sorted(longest):
+            while at < len(silent) and silent[at][0] <= start:
+                far = max(far, silent[at][1])
+                at += 1
+            if longest[start][0] > far:
+                out.append(longest[start][1])
+        return out
+
+    def features(self, text: str | None) -> tuple[float, float, float, float]:
+        """Sum of weights against the words and against their square root, the largest, and the hits, damped."""
+        folded = fold(text)
+        if not (hits := self.hits(folded)):
             return 0.0, 0.0, 0.0, 0.0
         words, total = max(1, len(folded.split())), sum(hits)
         return min(5.0, 10 * total / words), min(10.0, total / words**0.5), max(hits), min(3.0, float(np.log1p(len(hits))))
@@ -102,6 +119,35 @@ def _terms(text: str | None) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
 
 
+def _phrases(text: str | None, entries: "Lexicon") -> set[str]:
+    """Pairs of neighbouring words of which one holds an entry."""
+    words = fold(text).split()
+    bad = [bool(entries.hits(f" {w} ")) for w in words]
+    return {f" {a} {b} " for a, b, x, y in zip(words, words[1:], bad, bad[1:]) if x or y}
+
+
+def _counted(learned: DataFrame, terms) -> DataFrame:
+    """``term, c, t``: in how many clean and toxic rows of ``learned(__y, __text)`` each of ``terms(text)`` stands, and for the empty term their number."""
+
+    def count(batches):
+        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+        def rows_of():
+            both = list(counts[0].keys() | counts[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([counts[y][t] for t in both], pa.int64()) for y in (0, 1))], names=["term", "clean", "toxic"])
+
+        for b in slices(batches):
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts[int(y > 0)].update(terms(t))
+                counts[int(y > 0)][""] += 1
+            if len(counts[0]) + len(counts[1]) > TERMS:
+                yield rows_of()
+                counts = {0: Counter(), 1: Counter()}
+        yield rows_of()
+
+    return learned.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
     """Logistic regression by Newton's method."""
     x = np.c_[np.ones(len(x)), x]
@@ -124,39 +170,24 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """A lexicon from labelled rows outside the held-out fold.
 
     Rows without a label, and labels without a text, teach nothing; an id with
-    several labels counts once, by its largest.  Without rows of either label all
-    texts score alike.
+    several labels counts once, by its largest, and one with several texts by that
+    of the least hash.  Without rows of either label all texts score alike.  What
+    is gathered is bounded by ``sample``, the number of texts learned from.
     """
     rows = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
     rows = rows.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     # at most ``sample`` short rows are broadcast
-    learned = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).where(F.col("__text").isNotNull()).join(F.broadcast(rows), "__id").select("__y", "__text")
-
-    def count(batches):
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-
-        def rows_of():
-            both = counts[0].keys() | counts[1].keys()
-            terms = list(both)
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[y][t] for t in terms], pa.int64()) for y in (0, 1))], names=["term", "clean", "toxic"])
-
-        for b in slices(batches):
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[int(y > 0)].update(_terms(t))
-                counts[int(y > 0)][""] += 1
-            if len(counts[0]) + len(counts[1]) > TERMS:
-                yield rows_of()
-                counts = {0: Counter(), 1: Counter()}
-        yield rows_of()
-
-    totals = learned.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    learned = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).where(F.col("__text").isNotNull()).join(F.broadcast(rows), "__id")
+    learned = learned.groupBy("__id").agg(F.first("__y").alias("__y"), F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("__text"))).alias("x"))
+    learned = written(learned.select("__y", "x.__text").repartition(docs.sparkSession.sparkContext.defaultParallelism), "learned")
+    totals = written(_counted(learned, _terms), "terms")
     n = totals.where("term = ''").first()
     if n is None or not n.c or not n.t:
         share = (n.t + 0.5) / (n.c + n.t + 1) if n else 0.5
         return Lexicon({}, (float(np.log(share / (1 - share))),))
     odds = lambda a, b: F.log((a + 0.5) / (n.t + 1)) - F.log((b + 0.5) / (n.c + 1))
     weighed = totals.where("term <> ''").withColumn("w", odds(F.col("t"), F.col("c"))).withColumn("z", F.col("w") / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
-    entries = weighed.where("t >= 3 and w >= 2 and z >= 2.8").orderBy(F.desc("z"), "term").limit(ENTRIES).collect()
+    entries = weighed.where("t >= 3 and w >= 2 and z >= 2.8").orderBy(F.desc("z"), "term").collect()
     # a beginning goes where one longer entry stands for nearly all of its documents
     seen = {r.term: r.t for r in entries}
     least: dict[str, int] = {}
@@ -168,7 +199,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     if stems:
         # words of clean documents that begin like an entry
         kept = weighed.where(F.col("term").endswith(" ") & (F.col("c") >= 3) & (F.col("w") <= 0.5) & F.arrays_overlap(F.transform(F.sequence(F.lit(STEMS.start), F.lit(STEMS.stop)), lambda k: F.col("term").substr(F.lit(1), k + 1)), F.lit(stems)))
-        weights |= {r.term: 0.0 for r in kept.orderBy("z", "term").limit(EXCEPTIONS).select("term").collect()}
+        weights |= {r.term: 0.0 for r in kept.select("term").collect()}
+    if weights:
+        plain = Lexicon(weights)
+        around = _counted(learned, lambda t: _phrases(t, plain)).where("term <> ''").withColumn("w", odds(F.col("t"), F.col("c")))
+        weights |= {r.term: 0.0 for r in around.where("c >= 3 and w <= 0").select("term").collect()}
     lexicon = Lexicon(weights)
 
     def measure(batches):
@@ -188,11 +223,12 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", *, keep: list[s
     """
     if clash := {"score", "predicted"} & set(keep):
         raise ValueError(f"columns named as results: {sorted(clash)}")
-    slim = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
+    # one column for those that are kept, so that their names can't clash
+    slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[text].cast("string").alias("__text"))
 
     def run(batches):
         for b in slices(batches):
-            s = [lexicon.score(t) for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*keep, "score", "predicted"])
+            s = [lexicon.score(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["__row", "score", "predicted"])
 
-    return slim.mapInArrow(run, slim.select(*keep).schema.add("score", "double").add("predicted", "integer"))
+    return slim.mapInArrow(run, slim.select("__row").schema.add("score", "double").add("predicted", "integer")).select("__row.*", "score", "predicted")

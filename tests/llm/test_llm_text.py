@@ -127,6 +127,47 @@ def test_toxicity_exceptions_and_no_labels(spark):
     assert {r.score for r in toxicity.score(docs(spark, EDGE), none, keep=["doc_id"]).collect()} == {0.5}
 
 
+def test_toxicity_hits_are_those_of_a_plain_search():
+    rng = random.Random(41)
+    letters = "ab c"
+    for _ in range(300):
+        made = {" " + "".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) + rng.choice(["", " "]) for _ in range(6)}
+        weights = {p: rng.choice([0.0, 1.0, 2.5]) if p.endswith(" ") else 1.5 for p in made} | {" a b ": 0.0, " b a ": 3.0}
+        lexicon = toxicity.Lexicon(weights)
+        folded = f" {''.join(rng.choice(letters) for _ in range(40))} "
+        places = [(i, i + len(p), w) for p, w in weights.items() for i in range(len(folded)) if folded[i : i + len(p)] == p]
+        wanted = []
+        for start in range(len(folded)):
+            own = [(b, w) for a, b, w in places if a == start and w]
+            if own and not any(not w and a <= start and max(own)[0] <= b for a, b, w in places):
+                wanted.append(max(own)[1])
+        assert lexicon.hits(folded) == wanted
+
+
+def test_toxicity_learns_phrases_as_exceptions(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bcdfghlmnprst") + rng.choice("aeiou") for _ in range(3))
+    rows, labels = [], []
+    for i in range(600):
+        words = [word() for _ in range(30)]
+        if i % 4 == 0:
+            words.insert(rng.randrange(30), "trash")
+        elif i % 4 == 1:
+            words[7:7] = ["recycle", "trash"] if i % 8 == 1 else ["trash", "bin"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    d = docs(spark, rows + [(5, "another text of a known id")] * 3)
+    lexicon = toxicity.learn(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    if " trash " in lexicon.weights or any(" trash ".startswith(p) for p in lexicon.weights):
+        assert lexicon.weights.get(" recycle trash ") == 0.0 and lexicon.weights.get(" trash bin ") == 0.0
+        assert lexicon.score("you are trash my friend") > 0.5 > max(lexicon.score("do recycle trash often"), lexicon.score("a Trash, bin here"))
+    empty = toxicity.learn(d.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.score(d, empty, keep=["doc_id"]).collect()} == {0.5}
+    assert toxicity.score(d.limit(0), lexicon, keep=["doc_id"]).count() == 0
+    odd = toxicity.score(d.withColumn("__text", F.lit(1)).withColumn("__row", F.lit(2)), lexicon, keep=["__text", "__row"])
+    assert odd.columns == ["__text", "__row", "score", "predicted"] and odd.first()["__text"] == 1
+
+
 def license_brute(t):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     places, found = [], set()
