@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 #: Substrings of which every place of a rule has one; most texts have none.
-STEMS = ("licen", "copyright", "reserv", "réserv", "vorbehalten", "public domain", "cc by", "cc0", "gpl", "permi", "warrant", "proprietary", "unauthorized", "may not be", "creative", "redistribut", "provided as is")
+STEMS = ("licen", "copyright", "reserv", "réserv", "vorbehalten", "public domain", "cc by", "cc0", "gpl", "permi", "warrant", "proprietary", "unauthorized", "may not be", "creative", "redistribut", "provided as is", "may be reproduced", "riservati", "voorbehouden", "lizenz", "merchantability")
 
 #: Label, keyword, what names the licence, its short names with the keyword of those.
 _NAMED = [
@@ -112,6 +112,90 @@ _ALONE = [
 ]
 
 
+#: Label, keyword, regex, priority of sentences that notices are made of, and of licences in other tongues.
+_NOTICES = [
+    ("gpl", "free software", "(?:this program|this library|it) is free software you can redistribute it and or modify", 3),
+    ("gpl", "at your option", "either version [123] of the license or at your option any later version", 3),
+    ("gpl", "received a copy", "you should have received a copy of the gnu general public license", 3),
+    ("lgpl", "received a copy", "you should have received a copy of the gnu (?:lesser|library) general public license", 3),
+    ("agpl", "affero", "you should have received a copy of the gnu affero general public license", 3),
+    ("gfdl", "free documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 3),
+    ("mit", "permission notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 3),
+    ("mit", "sublicense", "use copy modify merge publish distribute sublicense and or sell copies of the software", 3),
+    ("mit", "noninfringement", "warranties of merchantability fitness for a particular purpose and noninfringement", 2),
+    ("isc", "permission notice", "provided that the above copyright notice and this permission notice appear in all copies", 3),
+    ("isc", "disclaims all", "the software is provided as is and the author disclaims all warranties", 3),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice(?: this list of conditions and the following disclaimer)?", 3),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice", 3),
+    ("bsd", "endorse or promote", "may be used to endorse or promote products derived from this software without specific prior written permission", 3),
+    ("bsd", "copyright holders", "this software is provided by the copyright holders and contributors as is", 3),
+    ("apache", "in compliance with", "you may not use this file except in compliance with the license", 3),
+    ("apache", "agreed to in writing", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 3),
+    ("apache", "irrevocable", "perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license", 3),
+    ("mpl", "source code form", "this source code form is subject to the terms of the mozilla public license", 3),
+    ("mpl", "secondary licenses", "incompatible with secondary licenses", 2),
+    ("epl", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license", 3),
+    ("cddl", "contents of this file", "the contents of this file are subject to the terms of the common development and distribution license", 3),
+    ("boost", "boost software", "distributed under the boost software license(?: version)? 1 0", 3),
+    ("zlib", "commercial applications", "permission is granted to anyone to use this software for any purpose including commercial applications", 3),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 3),
+    ("wtfpl", "you want to public", "do what the [^ ]+ you want to public license", 3),
+    ("cc0", "neighboring rights", "waived all copyright and related or neighboring rights", 3),
+    ("cc", "creative commons", "this (?:work|article|image|file|text) is licensed under (?:a|the) creative commons", 2),
+    ("ofl", "font software", "this font software is licensed under the sil open font license", 3),
+    ("postgresql", "written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", 3),
+    ("hpnd", "without fee", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:is hereby granted )?without fee", 2),
+    ("python", "python software", "python software foundation license version 2", 3),
+    ("ogl", "open government", "open government licen[cs]e(?: v?[123](?: 0)?)?", 2),
+    ("crown", "crown copyright", "crown copyright", 2),
+    ("proprietary", "confidential and", "confidential and proprietary(?: information)?(?: and trade secrets)?", 2),
+    ("proprietary", "may be reproduced", "no part of this (?:publication|book|document|work|material|site) may be reproduced", 3),
+    ("proprietary", "evaluation", "evaluation licen[cs]e", 1),
+    ("proprietary", "commercial licen", "commercial licen[cs]e", 1),
+    ("proprietary", "transferable", "non ?exclusive non ?transferable licen[cs]e", 2),
+    ("proprietary", "site licen", "site licen[cs]e", 1),
+    ("proprietary", "single user", "single user licen[cs]e", 1),
+    ("proprietary", "licensor", "the licensor (?:grants|reserves|retains)", 1),
+    ("freeware", "freeware", "freeware licen[cs]e", 1),
+    ("shareware", "shareware", "shareware licen[cs]e", 1),
+    ("source-available", "source available", "source available licen[cs]e", 2),
+    ("source-available", "commons clause", "commons clause licen[cs]e(?: condition)?", 2),
+    ("reserved", "reserves all", "reserves all rights", 2),
+    ("some-rights", "some rights", "some rights reserved", 2),
+    ("reserved", "direitos", "todos os direitos reservados", 2),
+    ("reserved", "diritti", "tutti i diritti riservati", 2),
+    ("reserved", "rechten", "alle rechten voorbehouden", 2),
+    ("reserved", "urheberrechte", "alle urheberrechte vorbehalten", 2),
+    ("warranty", "merchantability", "(?:implied )?warrant(?:y|ies) of merchantability", 1),
+    ("warranty", "provided as is", "provided as is", 1),
+    ("warranty", "disclaim", "disclaims? (?:all|any) warranties", 1),
+    ("copyright", "copyright", "(?:all )?copyrights? (?:is |are )?(?:owned|held|retained) by", 1),
+    ("public-domain", "no known copyright", "no known copyright(?: restrictions)?", 2),
+    ("public-domain", "all copyright", "waives? all copyrights?", 2),
+    ("permission", "permission", "(?:used|reprinted|reproduced) (?:by|with) (?:kind )?permission(?: of)?", 1),
+    ("permission", "granted to", "permission is (?:hereby )?granted to (?:copy|use|distribute|reproduce)", 2),
+    ("open-source", "osi approved", "osi approved licen[cs]e", 2),
+    ("open-source", "free software licen", "free software licen[cs]e", 1),
+    ("open-source", "permissive", "permissive licen[cs]e", 1),
+    ("open-source", "copyleft", "copyleft licen[cs]e", 1),
+    ("open-source", "dual licen", "dual licen[cs]ed", 1),
+    ("open-data", "open data", "open data licen[cs]e", 1),
+    ("mit", "mit lizenz", "(?:unter der )?mit lizenz", 2),
+    ("bsd", "bsd lizenz", "(?:unter der )?bsd lizenz", 2),
+    ("apache", "apache lizenz", "(?:unter der )?apache lizenz", 2),
+    ("gpl", "gnu gpl lizenz", "(?:unter der )?gnu gpl lizenz", 2),
+    ("cc", "commons lizenz", "creative commons lizenz", 2),
+    ("mit", "licencia mit", "(?:bajo )?(?:la )?licencia mit", 2),
+    ("apache", "licencia apache", "(?:bajo )?(?:la )?licencia apache", 2),
+    ("gpl", "blica general", "licencia p[uú]blica general(?: de)?(?: gnu)?", 2),
+    ("cc", "licencia creative", "(?:bajo )?(?:una |la )?licencia creative commons", 2),
+    ("mit", "licence mit", "(?:sous )?(?:la )?licence mit", 2),
+    ("apache", "licence apache", "(?:sous )?(?:la )?licence apache", 2),
+    ("gpl", "licence publique", "licence publique g[eé]n[eé]rale(?: gnu)?", 2),
+    ("cc", "licence creative", "(?:sous )?(?:une |la )?licence creative commons", 2),
+]
+
+
 def rules() -> list[tuple[str, str, str, int]]:
     """Label, keyword, regex, priority (3 a full notice, 2 a licence by name, 1 a mention), in order of precedence."""
     out = []
@@ -138,7 +222,7 @@ def rules() -> list[tuple[str, str, str, int]]:
     for parts in ((), ("nc",), ("nd",), ("sa",), ("nc", "nd"), ("nc", "sa")):
         spelled = " ".join(["attribution", *(words[p] for p in parts)])
         out.append(("-".join(["cc-by", *parts]), "creative commons", f"creative commons {spelled}(?: [1-4] [05])?(?: international| unported| generic)?(?: licen[cs]e)?", 3))
-    return sorted([*out, *_ALONE], key=lambda r: -r[3])
+    return sorted([*out, *_ALONE, *_NOTICES], key=lambda r: -r[3])
 
 
 def words_of(text: Column) -> Column:
@@ -203,19 +287,20 @@ def detected(docs: DataFrame, text: str = "text", *, keep: list[str]) -> DataFra
     """
     if clash := {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"} & set(keep):
         raise ValueError(f"columns named as results: {sorted(clash)}")
-    slim = docs.select(*[docs[c] for c in keep], words_of(docs[text].cast("string")).alias("__w"))
+    # one column for those that are kept, so that their names can't clash
+    slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), words_of(docs[text].cast("string")).alias("__w"))
     folded = slim.withColumn("__l", F.lower("__w"))
     gate = F.lit(False)
     for k in STEMS:
         gate = gate | F.contains("__l", F.lit(k))
     # only A-Z are folded where it counts
     exact = F.when(gate, F.translate("__w", string.ascii_uppercase, string.ascii_lowercase))
-    gated = folded.select(*keep, _spaces(F.col("__w")).alias("__n"), exact.alias("__s"))
+    gated = folded.select("__row", _spaces(F.col("__w")).alias("__n"), exact.alias("__s"))
     base = _base(F.col("__s"))
-    found = gated.select(*keep, "__n", F.when(F.col("__s").isNotNull(), F.struct(*[v.alias(k) for k, v in base.items()])).alias("__b"), F.when(F.col("__s").isNotNull(), _detected("__s")).alias("__d"))
+    found = gated.select("__row", "__n", F.when(F.col("__s").isNotNull(), F.struct(*[v.alias(k) for k, v in base.items()])).alias("__b"), F.when(F.col("__s").isNotNull(), _detected("__s")).alias("__d"))
     none = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union(F.coalesce("__b.base", none), F.coalesce("__d.labels", none)))
     return found.select(
-        *keep, (F.col("__n") - 1).cast("long").alias("n_words"), F.coalesce("__b.n_base", F.lit(0)).cast("long").alias("n_base"), F.col("__b.first_word").alias("first_word"), F.col("__b.last_word").alias("last_word"),
+        "__row.*", (F.col("__n") - 1).cast("long").alias("n_words"), F.coalesce("__b.n_base", F.lit(0)).cast("long").alias("n_base"), F.col("__b.first_word").alias("first_word"), F.col("__b.last_word").alias("last_word"),
         F.array_join(F.coalesce("__b.base", none), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), (1 - F.pow(F.lit(0.5), F.least(F.coalesce("__d.strength", F.lit(0)), F.lit(100)) / 2)).alias("score"),
     )

@@ -244,6 +244,32 @@ def test_license_keywords(spark):
     assert {r.doc_id: r.labels for r in got.collect()} == {k: v for k, (_, v) in cases.items()}
 
 
+def labels_brute(t):
+    """All rules over the words, without keywords; an interval goes if one that contains it ranks before it."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    line = f" {' '.join(words)} "
+    found = [(m.start(), m.end(), p, -o, label) for o, (label, _, r, p) in enumerate(licenses.rules()) for m in re.finditer(f"(?<= )(?:{r})(?= )", line)]
+    left = [x for x in found if not any(y is not x and y[0] <= x[0] and x[1] <= y[1] and (y[2] > x[2] or y[2] == x[2] and (y[:2] != x[:2] or y[3] > x[3])) for y in found)]
+    base = [label for phrase, label in licenses.BASE.items() if f" {phrase} " in line]
+    return ",".join(sorted({x[4] for x in left} | set(base))), 1 - 0.5 ** (min(100, sum(x[2] for x in left)) / 2)
+
+
+def test_license_labels_and_score(spark):
+    rng = random.Random(29)
+    strings = [rng.choice(every) for every in (strings_of(r) for _, _, r, _ in licenses.rules()) for _ in range(2)]
+    rows = []
+    for i in range(250):
+        parts = [rng.choice(strings) if rng.random() < 0.5 else " ".join(rng.choice(["the", "of", "gnu", "cc", "license", "x1"]) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 8))]
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(p.title() if rng.random() < 0.3 else p for p in parts)))
+    rows += [(1000 + i, s) for i, s in enumerate(strings[::7])] + EDGE
+    got = licenses.detected(docs(spark, rows), keep=["doc_id"]).collect()
+    assert Counter((r.doc_id, r.labels, round(r.score, 9)) for r in got) == Counter((d, x, round(y, 9)) for d, t in rows for x, y in [labels_brute(t)])
+    odd = spark.createDataFrame([(1, "MIT License", 5, 6, 7)], "doc_id long, text string, __w int, __s int, __row int")
+    r = licenses.detected(odd, keep=["__w", "__s", "__row"]).first()
+    assert (r["__w"], r["__s"], r["__row"], r.labels) == (5, 6, 7, "mit")
+    assert licenses.detected(odd.limit(0), keep=["doc_id"]).count() == 0
+
+
 def quality_brute(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     seen, dup = set(), 0
