@@ -17,7 +17,7 @@ import heapq
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tallyfield.llm.arrowio import slices
 from tallyfield.llm.pretok import SPECIAL, Memo, chunks, splitter
@@ -132,14 +132,14 @@ def token_counts(docs: DataFrame, text: str = "text", *, keep: list[str] | None
     clash = {"n_bytes", "n_tokens", "over_limit"} & set(keep)
     if clash:
         raise ValueError(f"columns named as results: {sorted(clash)}")
-    slim = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
-    at = len(keep)
+    # one column for those that are kept, so that their names can't clash
+    slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[text].cast("string").alias("__text"))
 
     def run(batches):
         for b in slices(batches):
-            texts = b.column(at).to_pylist()
+            texts = b.column(1).to_pylist()
             n = [count_tokens(t, path, entries) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["__row", "n_bytes", "n_tokens", "over_limit"])
 
-    schema = slim.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-    return slim.mapInArrow(run, schema)
+    schema = slim.select("__row").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    return slim.mapInArrow(run, schema).select("__row.*", "n_bytes", "n_tokens", "over_limit")

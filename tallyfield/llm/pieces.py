@@ -7,12 +7,12 @@ piece covers falls back to the pieces of its bytes.  White space is a marker in
 front of words; decoding joins pieces and bytes and turns markers into spaces,
 and gives back the text exactly.
 
-No piece has a marker after another character, so the best segmentation of a
+Where no piece has a marker after another character, the best segmentation of a
 text is that of its words one by one, and words repeat: each worker keeps a
-bounded table of them.
+bounded table of them.  A model with other pieces has its texts segmented whole.
 
-Of the public vocabularies none has unigram probabilities: the one with byte
-fallback ranks its pieces.  Its ranks become log scores by Zipf's law, with the
+A unigram model's scores are taken as they are.  Of the public vocabularies none
+has any: the one with byte fallback ranks its pieces.  Its ranks become log scores by Zipf's law, with the
 score of a piece of rank r that of 1 / (r + 10).
 """
 
@@ -26,7 +26,7 @@ from array import array
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyfield.llm.arrowio import slices
 from tallyfield.llm.pretok import Memo
@@ -116,6 +116,8 @@ class Unigram:
         self.byte_ids = byte_ids
         self.least = min(self.score.values(), default=0.0) - PENALTY
         self.trie = DoubleArray({p.encode(): i for i, (p, _) in pieces.items()})
+        #: Whether words can be segmented one by one.
+        self.by_word = not any(MARK in p.lstrip(MARK) for p, _ in pieces.values())
         self.bytes_of = {i: p.replace(MARK, " ").encode() for i, (p, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
     @classmethod
@@ -126,11 +128,14 @@ class Unigram:
         ids = range(model.get_piece_size())
         byte_ids = [0] * 256
         pieces = {}
+        # ranks are whole numbers that fall by one; log scores aren't
+        scores = [model.get_score(i) for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        ranked = all(s == int(s) for s in scores)
         for i in ids:
             if model.is_byte(i):
                 byte_ids[int(model.id_to_piece(i)[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                pieces[i] = model.id_to_piece(i), -math.log(10 - model.get_score(i))
+                pieces[i] = model.id_to_piece(i), -math.log(10 - model.get_score(i)) if ranked else model.get_score(i)
         return cls(pieces, byte_ids)
 
     def segment(self, word: str) -> list[int]:
@@ -188,7 +193,11 @@ class Codec:
             if k:
                 parts.append(self.mark)
             marked = part.replace(" ", MARK)
-            parts += map(self.memo.__getitem__, _WORD.findall(marked if k else MARK + marked))
+            whole = marked if k else MARK + marked
+            if not self.model.by_word:
+                parts.append(array("I", self.model.segment(whole)).tobytes())
+                continue
+            parts += map(self.memo.__getitem__, _WORD.findall(whole))
         out.frombytes(b"".join(parts))
         return out
 
@@ -204,7 +213,7 @@ def encoded(docs: DataFrame, text: str = "text", *, keep: list[str], path: str |
     A row for each row of ``docs``.  Null and empty texts have no ids and decode
     to the empty text.
     """
-    return _run(docs, text, keep, path, {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}, lambda c, t, ids: (ids.tolist(), c.model.decode(ids)))
+    return _run(docs, text, keep, path, {"ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "decoded": ("string", pa.string())}, lambda c, t, ids: (ids.tolist(), c.model.decode(ids)))
 
 
 def digests(docs: DataFrame, text: str = "text", *, keep: list[str], path: str | None = None) -> DataFrame:
@@ -219,15 +228,18 @@ def digests(docs: DataFrame, text: str = "text", *, keep: list[str], path: str |
 
 
 def _run(docs: DataFrame, text: str, keep: list[str], path: str | None, results: dict, row) -> DataFrame:
-    if clash := {*results, "__text"} & set(keep):
+    if clash := set(results) & set(keep):
         raise ValueError(f"columns named as results: {sorted(clash)}")
-    slim = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
+    # one column for those that are kept, so that their names can't clash
+    slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[text].cast("string").alias("__text"))
 
     def run(batches):
         c = codec(path or default_path())
         for b in slices(batches):
-            rows = [row(c, t, c.encode(t)) for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(results.values()))], names=[*keep, *results])
+            rows = [row(c, t, c.encode(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(results.values()))], names=["__row", *results])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*keep).schema.fields] + [f"{n} {t}" for n, (t, _) in results.items()])
-    return slim.mapInArrow(run, schema)
+    schema = slim.select("__row").schema
+    for name, (kind, _) in results.items():
+        schema = schema.add(name, kind)
+    return slim.mapInArrow(run, schema).select("__row.*", *results)

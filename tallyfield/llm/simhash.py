@@ -66,15 +66,17 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", *, keep: list[str], words: int = 4) -> DataFrame:
-    """The ``keep`` columns and ``fingerprint`` (the 64 bits as a signed long)."""
-    slim = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
+    """The ``keep`` columns and ``fingerprint`` (the 64 bits as a signed long); null texts have fingerprint zero."""
+    if "fingerprint" in keep:
+        raise ValueError("a column named as the result: fingerprint")
+    slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[text].cast("string").alias("__text"))
 
     def run(batches):
         for b in slices(batches):
-            found = np.array([fingerprint(t, words) for t in b.column(len(keep)).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found)], names=[*keep, "fingerprint"])
+            found = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["__row", "fingerprint"])
 
-    return slim.mapInArrow(run, slim.select(*keep).schema.add("fingerprint", "long"))
+    return slim.mapInArrow(run, slim.select("__row").schema.add("fingerprint", "long")).select("__row.*", "fingerprint")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

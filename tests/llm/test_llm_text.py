@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.llm import bpe, licenses, packing, pieces, quality, toxicity
+from tallyfield.llm import bpe, licenses, packing, pieces, quality, simhash, toxicity
 
 POOL = ["a", "b", "é", " ", "  ", "\n", "\t", "　", "\x85", "\x1c", "'s", "'ll", "1", "²", "中", "\U0001f600", "<|endoftext|>", "the", " and", "́", "-", "...", "ß", "\xa0", "\r\n", ",", "word, ", "!", " x."]
 EDGE = [(1, None), (2, ""), (3, " \n\t"), (4, "x" * 50_000), (5, "same text here"), (5, "same text here"), (None, "no id"), (7, "the end. " * 3000)]
@@ -91,6 +91,41 @@ def test_pieces(spark):
     assert Counter((r.doc_id, r.decoded) for r in got) == Counter((d, t or "") for d, t in EDGE)
 
 
+def test_unigram_scores_against_every_segmentation():
+    # real log scores, pieces across words, byte fallback
+    marked = pieces.MARK
+    table = {10 + i: (p, s) for i, (p, s) in enumerate([(marked, -3.1), ("a", -2.0), ("b", -2.3), ("ab", -2.9), (marked + "a", -3.4), ("ba", -3.9), (f"b{marked}a", -4.6), (f"a{marked}", -4.2), ("é", -5.0), ("aab", -4.4)])}
+    model = pieces.Unigram(table, list(range(300, 556)))
+    codec = pieces.Codec(model)
+    assert not model.by_word and pieces.Unigram({10: (marked + "a", -1.0)}, list(range(300, 556))).by_word
+    score = {p: s for p, s in table.values()}
+
+    def best(word):
+        if not word:
+            return 0.0
+        options = [score[word[:k]] + best(word[k:]) for k in range(1, min(3, len(word)) + 1) if word[:k] in score]
+        return max([*options, *([model.least + best(word[1:])] if word[0] not in score else [])])
+
+    rng = random.Random(12)
+    for _ in range(150):
+        t = "".join(rng.choice(["a", "b", " ", "é", "z", "€"]) for _ in range(rng.randint(0, 9)))
+        ids = codec.encode(t)
+        assert model.decode(ids) == t
+        if t:
+            runs = sum(table[i][1] for i in ids if i in table) + model.least * sum(c in "z€" for c in t)
+            assert runs == pytest.approx(best(marked + t.replace(" ", marked)))
+
+
+def test_inner_names_as_columns(spark):
+    odd = spark.createDataFrame([(1, "some text of five words", "a", "b", "c", 4, 5), (2, None, "a", "b", "c", 4, 5)], "doc_id long, text string, __text string, __row string, __w string, __task int, __rank int")
+    keep = ["doc_id", "__text", "__row", "__task", "__rank"]
+    for found in (bpe.token_counts(odd, keep=keep), pieces.digests(odd, keep=keep), packing.packed(odd, keep=keep), simhash.fingerprints(odd, keep=keep), quality.judged(odd.withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")), keep=keep)):
+        rows = found.orderBy("doc_id").collect()
+        assert [(r.doc_id, r["__text"], r["__row"], r["__task"], r["__rank"]) for r in rows] == [(1, "a", "b", 4, 5), (2, "a", "b", 4, 5)]
+        assert found.columns[: len(keep)] == keep
+    assert pieces.digests(odd.limit(0), keep=keep).count() == 0 and pieces.encoded(odd.limit(0), keep=keep).count() == 0
+
+
 def toxic_rows(n, seed):
     rng = random.Random(seed)
     syllables = ["an", "the", "re", "ti", "on", "er", "st", "ou", "ble", "ing", "sh", "nd"]
