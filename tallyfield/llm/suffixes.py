@@ -42,8 +42,8 @@ from tallyfield.llm.sieve import Sieve
 K = 64
 #: Bytes that are hashed at a time; places within them take 24 bits.
 BLOCK = 4 << 20
-#: Rows that a task sorts on average.
-TASK_ROWS = 100_000
+#: Rows that a task sorts, and strings that it puts into arrays, on average.
+TASK_ROWS, TASK_STRINGS = 25_000, 5_000
 #: A stretch's place and its text's hash make one number by this factor.
 _PLACE = 1_000_003
 
@@ -301,7 +301,8 @@ def _repeats_by_suffixes(groups: DataFrame, length: int) -> DataFrame:
         if held:
             yield found(held)
 
-    return groups.select("m", "t", "s", "n", "doc", "at").repartition("m").sortWithinPartitions("m").mapInArrow(run, "m long, t long, repeated array<array<int>>, later array<array<int>>")
+    tasks = max(groups.sparkSession.sparkContext.defaultParallelism, -(-groups.count() // TASK_STRINGS))
+    return groups.select("m", "t", "s", "n", "doc", "at").repartition(tasks, "m").sortWithinPartitions("m").mapInArrow(run, "m long, t long, repeated array<array<int>>, later array<array<int>>")
 
 
 def _pieces(groups: DataFrame, length: int, width: int) -> DataFrame:
