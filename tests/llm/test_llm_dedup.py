@@ -381,8 +381,8 @@ def test_pipeline(spark, tmp_path):
         t = " ".join(w) + (f"\n{passage}" if i % 10 == 1 else "") + ("\nAll common line of text" if i % 3 == 1 else "")
         rows.append((i, t))
     rows += [(200, rows[1][1]), (201, None), (202, ""), (203, rows[2][1] + " end")]
-    columns = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, t1 string, g int"
-    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 0.5, "k", "t", 1) for d, t in rows], columns)
+    columns = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, t1 string, g int, __row int, __id string, __t1 int, __text string, __lines int"
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 0.5, "k", "t", 1, 2, "i", 3, "x", 4) for d, t in rows], columns)
     spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = df
     seen = {}
@@ -412,6 +412,17 @@ def test_pipeline(spark, tmp_path):
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    out = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        columns = out.columns
+        out = written(stage(spark, out, str(tmp_path)), name)
+        assert out.count() == 0 and (name == "best_fit_packing" or out.columns == columns)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
