@@ -25,6 +25,7 @@ import zlib
 from array import array
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -112,13 +113,17 @@ class Unigram:
     """Pieces by id, their log scores, and the pieces of single bytes."""
 
     def __init__(self, pieces: dict[int, tuple[str, float]], byte_ids: list[int]):
+        self.pieces = pieces
         self.score = {i: s for i, (_, s) in pieces.items()}
+        self.scores = [self.score.get(i, -math.inf) for i in range(max(self.score, default=-1) + 1)]
         self.byte_ids = byte_ids
         self.least = min(self.score.values(), default=0.0) - PENALTY
         self.trie = DoubleArray({p.encode(): i for i, (p, _) in pieces.items()})
         #: Whether words can be segmented one by one.
         self.by_word = not any(MARK in p.lstrip(MARK) for p, _ in pieces.values())
         self.bytes_of = {i: p.replace(MARK, " ").encode() for i, (p, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.known = np.zeros(max(self.bytes_of, default=0) + 1, bool)
+        self.known[list(self.score)] = True
 
     @classmethod
     def load(cls, path: str) -> Unigram:
@@ -141,28 +146,42 @@ class Unigram:
     def segment(self, word: str) -> list[int]:
         """Ids of the best segmentation of one word, its markers in place."""
         data = word.encode()
-        n, score, prefixes = len(data), self.score, self.trie.prefixes
-        best, step = [-math.inf] * (n + 1), [None] * (n + 1)
+        n, score, least = len(data), self.scores, self.least
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        best, begin, piece_of = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         i = 0
         while i < n:
-            size = 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
-            here = best[i]
-            alone = False
-            for end, piece in prefixes(data, i):
-                alone = alone or end == i + size
-                s = here + score[piece]
-                if s > best[end]:
-                    best[end], step[end] = s, (i, piece)
+            c = data[i]
+            after = i + (1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4)
+            here, alone = best[i], False
+            # down the trie, as ``prefixes`` does, without a list
+            state, j = 0, i
+            while j < n:
+                to = base[state] + data[j]
+                if check[to] != state:
+                    break
+                state = to
+                j += 1
+                piece = value[state]
+                if piece >= 0:
+                    s = here + score[piece]
+                    if s > best[j]:
+                        best[j], begin[j], piece_of[j] = s, i, piece
+                    if j == after:
+                        alone = True
             if not alone:
-                s = here + self.least
-                if s > best[i + size]:
-                    best[i + size], step[i + size] = s, (i, None)
-            i += size
+                s = here + least
+                if s > best[after]:
+                    best[after], begin[after], piece_of[after] = s, i, -1
+            i = after
         out = []
         while n:
-            i, piece = step[n]
-            out += [piece] if piece is not None else [self.byte_ids[b] for b in reversed(data[i:n])]
+            i, piece = begin[n], piece_of[n]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.byte_ids[b] for b in reversed(data[i:n])]
             n = i
         return out[::-1]
 
@@ -171,8 +190,15 @@ class Unigram:
         return raw[1:].decode(errors="replace") if raw[:1] == b" " else raw.decode(errors="replace")
 
 
-#: Markers, then other characters; every text is such words one after another.
-_WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+def _words(model: Unigram) -> re.Pattern:
+    """Markers, then other characters; every text is such words one after another.
+
+    A control character that no longer piece has is a word of its own, as every
+    segmentation cuts before and behind it.
+    """
+    longer = {c for p, _ in model.pieces.values() if len(p) > 1 for c in p}
+    alone = re.escape("".join(c for c in "\n\t\r\x0b\x0c" if c not in longer))
+    return re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else ""))
 
 
 class Codec:
@@ -181,6 +207,7 @@ class Codec:
     def __init__(self, model: Unigram, entries: int = MEMO_ENTRIES):
         self.model = model
         self.memo = Memo(lambda w: array("I", model.segment(w)).tobytes(), entries)
+        self.words = _words(model)
         self.mark = array("I", [model.byte_ids[b] for b in MARK.encode()]).tobytes()
 
     def encode(self, text: str | None) -> array:
@@ -197,7 +224,7 @@ class Codec:
             if not self.model.by_word:
                 parts.append(array("I", self.model.segment(whole)).tobytes())
                 continue
-            parts += map(self.memo.__getitem__, _WORD.findall(whole))
+            parts += map(self.memo.__getitem__, self.words.findall(whole))
         out.frombytes(b"".join(parts))
         return out
 
@@ -220,8 +247,8 @@ def digests(docs: DataFrame, text: str = "text", *, keep: list[str], path: str |
     """The ``keep`` columns with ``n_bytes, n_pieces, n_byte_pieces, ids_crc32, round_trip``, as above without the ids."""
 
     def row(c: Codec, t: str | None, ids: array) -> tuple:
-        known = c.model.score
-        return len((t or "").encode()), len(ids), sum(i not in known for i in ids), zlib.crc32(ids.tobytes()), c.model.decode(ids) == (t or "")
+        by_bytes = int((~c.model.known[np.frombuffer(ids, np.uint32)]).sum())
+        return len((t or "").encode()), len(ids), by_bytes, zlib.crc32(ids.tobytes()), c.model.decode(ids) == (t or "")
 
     long = ("long", pa.int64())
     return _run(docs, text, keep, path, {"n_bytes": long, "n_pieces": long, "n_byte_pieces": long, "ids_crc32": long, "round_trip": ("boolean", pa.bool_())}, row)
