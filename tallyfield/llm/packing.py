@@ -266,15 +266,16 @@ def packed(docs: DataFrame, text: str = "text", *, keep: list[str], size: int =
     """
     if clash := {"piece", "start", "length", "ids_crc32", "sequence_id", "offset"} & set(keep):
         raise ValueError(f"columns named as results: {sorted(clash)}")
-    # one column for those that are kept, so that their names can't clash
-    slim = docs.select(F.struct(*[docs[c] for c in keep]).alias("__row"), docs[text].cast("string").alias("__text"))
+    # numbered, so that names can't clash
+    kept = [f"__k{i}" for i in range(len(keep))]
+    slim = docs.select(*[docs[c].alias(k) for c, k in zip(keep, kept)], docs[text].cast("string").alias("__text"))
     tail = np.array([end], "<u4").tobytes()
 
     def pieces(batches):
         encoder, task, seen = _encoder(path or default_path()), TaskContext.get().partitionId(), Counter()
         for b in slices(batches):
             of, out = [], [[] for _ in range(6)]
-            for i, ids in enumerate(encoder.encode(b.column(1).to_pylist())):
+            for i, ids in enumerate(encoder.encode(b.column(len(kept)).to_pylist())):
                 ids += tail
                 for k, (start, n) in enumerate(cut(len(ids) // 4, size)):
                     of.append(i)
@@ -282,9 +283,9 @@ def packed(docs: DataFrame, text: str = "text", *, keep: list[str], size: int =
                         column.append(value)
                     seen[n] += 1
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *(pa.array(v, t) for v, t in zip(out, kinds))], names=["__row", "piece", "start", "length", "ids_crc32", "__task", "__rank"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(of, pa.int64())) for c in b.columns[:-1]), *(pa.array(v, t) for v, t in zip(out, kinds))], names=[*kept, "piece", "start", "length", "ids_crc32", "__task", "__rank"])
 
-    schema = slim.select("__row").schema
+    schema = slim.select(*kept).schema
     for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("__task", "integer"), ("__rank", "long")):
         schema = schema.add(name, kind)
     # written, so that ranks stay as they are if a task is run again
@@ -293,7 +294,7 @@ def packed(docs: DataFrame, text: str = "text", *, keep: list[str], size: int =
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     keys, first, offsets = _ranges(plan(histogram, size))
     before = counts.withColumn("__before", F.sum("count").over(W.partitionBy("length").orderBy("__task")) - F.col("count")).drop("count")
-    ranked = made.join(before, ["length", "__task"]).select("__row", "piece", "start", "length", "ids_crc32", (F.col("__rank") + F.col("__before")).alias("__rank"))
+    ranked = made.join(before, ["length", "__task"]).select(*kept, "piece", "start", "length", "ids_crc32", (F.col("__rank") + F.col("__before")).alias("__rank"))
 
     def place(batches):
         for b in batches:
@@ -301,4 +302,4 @@ def packed(docs: DataFrame, text: str = "text", *, keep: list[str], size: int =
             i = np.searchsorted(keys, n << 48 | rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(first[i] + rank), pa.array(offsets[i])], names=[*b.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ranked.drop("__rank").schema.add("sequence_id", "long").add("offset", "long")).select("__row.*", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return ranked.mapInArrow(place, ranked.drop("__rank").schema.add("sequence_id", "long").add("offset", "long")).select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
