@@ -29,21 +29,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyfield.llm.arrowio import slices
 from tallyfield.llm.bpe import byte_symbols, default_path
-from tallyfield.llm.pretok import SPECIAL, chunks, splitter
+from tallyfield.llm.pretok import SPECIAL
 from tallyfield.llm.shared import written
 
-#: Entries of each of a worker's two tables of identifiers before it is emptied.
-MEMO_ENTRIES = 700_000
 #: Patterns to fit, at most; the lengths of three-length patterns are thinned to that.
 PATTERNS = 30_000
 #: Parts of the fitted counts to try; the plan with the fewest sequences stays.
 SCALES = (1.0, 0.95, 0.8, 0.5)
 
 
-#: Marks that often follow words.
-_MARKS = ",.;:!?"
-
-
 #: Fixed value: the public split rule of byte-level vocabularies, as the libraries write it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -67,59 +61,24 @@ def ranked(path: str) -> dict[bytes, int] | None:
 class Encoder:
     """Identifiers as native uint32 bytes (little-endian here), those of the ``tokenizers`` library.
 
-    Chunks between spaces repeat, so each is encoded once.  That is done by
-    ``tiktoken``, several times faster, over the same file's vocabulary where
-    ``ranked`` has it; texts with the special string go through the library.
+    Whole texts go through ``tiktoken``, several times faster, over the same file's
+    vocabulary where ``ranked`` has it, and through the library elsewhere, as do
+    texts with the special string.  Nothing is kept from one text to the next.
     """
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.entries = Tokenizer.from_file(path), entries
-        ranks = ranked(path)
-        fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
-        self.encode_one = fast or (lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids)
-        self.marks = {m: self._ids(m) for m in _MARKS}
-        self.by_chunk: dict[str, bytes] = {}
-        self.by_word: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.encode_one(text)).tobytes()
-
-    def _learn(self, known: dict[str, bytes], keys: set[str], before: str) -> dict[str, bytes]:
-        """``known`` with all of ``keys``; what is over its size is for this call only."""
-        new = keys - known.keys()
-        if not new:
-            return known
-        # a mark after letters is a pre-token of its own, so the letters may be known without it
-        stems = {k: k[:-1] for k in new if k[-1] in _MARKS and k[:-1].isalpha()} if before else {}
-        whole = list({stems.get(k, k) for k in new} - known.keys())
-        found = {k: self._ids(before + k) for k in whole}
-        for k, stem in stems.items():
-            found[k] = (found.get(stem) or known[stem]) + self.marks[k[-1]]
-        if len(known) + len(found) > self.entries:
-            keep = {k: known[k] for k in keys & known.keys()}
-            known.clear()
-            if len(keep) + len(found) > self.entries:
-                return keep | found
-            known |= keep
-        known |= found
-        return known
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [chunks(t) if t and SPECIAL not in t else None for t in texts]
-        plain = [splitter().findall(c[0]) if c else splitter().findall(t) if t and SPECIAL not in t else [] for t, c in zip(texts, cut)]
-        words = self._learn(self.by_word, set().union(*plain), "")
-        parts = self._learn(self.by_chunk, set().union(*(c[1:] for c in cut if c)), " ")
-        out = []
-        for t, c, p in zip(texts, cut, plain):
-            if t and SPECIAL in t:
-                out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
-            else:
-                out.append(b"".join([words[w] for w in p] + [parts[x] for x in c[1:]] if c else [words[w] for w in p]))
-        return out
+        tokenizer, ranks = Tokenizer.from_file(path), ranked(path)
+        self.by_library = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+        self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else self.by_library
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        return array("I", (self.by_library if SPECIAL in text else self.plain)(text)).tobytes()
 
 
 @functools.cache
@@ -275,8 +234,8 @@ def packed(docs: DataFrame, text: str = "text", *, keep: list[str], size: int =
         encoder, task, seen = _encoder(path or default_path()), TaskContext.get().partitionId(), Counter()
         for b in slices(batches):
             of, out = [], [[] for _ in range(6)]
-            for i, ids in enumerate(encoder.encode(b.column(len(kept)).to_pylist())):
-                ids += tail
+            for i, t in enumerate(b.column(len(kept)).to_pylist()):
+                ids = encoder.encode(t) + tail
                 for k, (start, n) in enumerate(cut(len(ids) // 4, size)):
                     of.append(i)
                     for column, value in zip(out, (k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), task, seen[n])):

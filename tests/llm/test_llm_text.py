@@ -419,11 +419,13 @@ def test_fast_identifiers(tokenizer):
     count = bpe.PairMerger(bpe.default_path()).count
     # what makes both ways of merging agree on every text
     assert len(ranks) == 50_256 and all(count(t) == 1 for t in ranks)
-    encoder = packing.Encoder(bpe.default_path(), entries=500)
-    all_texts = [*texts(4000, 9), "ab" * 2000, "The the, the. (the)"]
-    for i in range(0, len(all_texts), 256):
-        for t, got in zip(all_texts[i : i + 256], encoder.encode(all_texts[i : i + 256])):
-            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    encoder = packing.Encoder(bpe.default_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x33000 or c % 97 == 0)]
+    beside = ["".join(f"a{c}b 1{c}2 .{c}! {c}{c} x{c} \n{c} y  {c}{c}z" for c in map(chr, points[i : i + 256])) for i in range(0, len(points), 256)]
+    for t in [*texts(4000, 9), "ab" * 2000, "The the, the. (the)", "a <|endoftext|> b", "", *beside]:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    # long runs are neither slow nor refused
+    assert [len(encoder.encode(c * 300_000)) // 4 for c in (" ", "\n ", "a", "^")] == [300_000, 600_000, 75_000, 75_000]
 
 
 def test_packing_plan_uses_up_the_histogram():
