@@ -253,7 +253,8 @@ def packed(docs: DataFrame, text: str = "text", *, keep: list[str], size: int =
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     keys, first, offsets = _ranges(plan(histogram, size))
     before = counts.withColumn("__before", F.sum("count").over(W.partitionBy("length").orderBy("__task")) - F.col("count")).drop("count")
-    ranked = made.join(before, ["length", "__task"]).select(*kept, "piece", "start", "length", "ids_crc32", (F.col("__rank") + F.col("__before")).alias("__rank"))
+    # a row for a length and task is few beside the pieces, so neither side is sorted
+    ranked = made.join(before.hint("shuffle_hash"), ["length", "__task"]).select(*kept, "piece", "start", "length", "ids_crc32", (F.col("__rank") + F.col("__before")).alias("__rank"))
 
     def place(batches):
         for b in batches:
