@@ -94,6 +94,16 @@ def test_distances(spark):
     assert tuple(sky.fix_cz(sky.fix_ra_dec(few)).first()) == (170.0, 5.0, 0.5 * sky.LIGHT_SPEED)
 
 
+def test_distances_between_rows_of_the_table(spark):
+    z = [(i + 0.5) * sky.TABLE_STEP for i in (0, 1, 777, 5000, 9999)]
+    df = spark.createDataFrame([(v * sky.LIGHT_SPEED,) for v in z], "cz double")
+    got = [r.dist for r in sky.with_distance(df, 2).orderBy("cz").collect()]
+    k = np.arange(4001)
+    f = lambda v: 1 / np.sqrt(0.302 * (1 + v * k / 4000) ** 3 + 0.698)
+    simpson = np.where((k == 0) | (k == 4000), 1, np.where(k % 2, 4, 2))
+    assert np.abs(np.array(got) - [2998.0 * v / 12000 * (simpson @ f(v)) for v in z]).max() < 1e-10
+
+
 def test_fast_acos():
     x = np.linspace(-1, 1, 2001)
     assert np.abs(sky.fast_acos(x) - np.arccos(x)).max() < 1e-8
