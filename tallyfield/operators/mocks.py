@@ -15,6 +15,7 @@ from tallyfield.functions.bins import binned, normalize_bins
 from tallyfield.functions.sky import degrees_between, fix_cz, fix_ra_dec, unit_vector, with_distance
 from tallyfield.operators.paircount import count_pairs, dense, lattice
 from tallyfield.operators.theory import check_mu, layer, pi_bins
+from tallyfield.plans.kernel import Binned
 from tallyfield.plans.points import weights_of
 
 #: Below this angle, and above this mu, single precision loses digits.
@@ -143,6 +144,8 @@ def DDtheta_mocks(points: DataFrame, bins, other: DataFrame | None = None, *, we
         cosine = cosine[kept]
         return kept, binned(-cosine, falling), lambda: degrees_between(cosine, fast_acos)
 
+    # with self pairs no cosine is too large
+    metric = Binned("dot", metric, (falling[0] if edges[0] > 0 else -math.inf, *falling[1:]), lambda value: degrees_between(-value, fast_acos))
     chord = 2.0 if everything else 2 * math.sin(math.radians(min(edges[-1], 180.0)) / 2) * (1 + 1e-9) + 1e-12
     found = count_pairs(_directions(points), None if other is None else _directions(other), (chord,) * 3, metric, (len(edges) - 1,), weight_type=weight_type, average=output_thetaavg, coordinates=True, cells=lattice(**cells), self_pairs=edges[0] <= 0)
     return dense(found.table, edges, ("thetamin", "thetamax", "thetaavg"), bool(weight_type))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyfield.functions.bins import binned, normalize_bins
 from tallyfield.operators.paircount import Counts, count_pairs, dense, lattice
+from tallyfield.plans.kernel import Binned
 
 
 def _checked(bins, least_ok: bool = True) -> list[float]:
@@ -39,7 +40,7 @@ def _radial(edges: list[float]):
         r2 = r2[kept]
         return kept, binned(r2, sq), lambda: np.sqrt(r2)
 
-    return metric
+    return Binned("square", metric, tuple(sq), np.sqrt)
 
 
 def _projected(edges: list[float], pimax: float, bins: int):
@@ -52,7 +53,7 @@ def _projected(edges: list[float], pimax: float, bins: int):
         r2 = r2[kept]
         return kept, binned(r2, sq) * bins + layer(dz[kept] * scale, bins), lambda: np.sqrt(r2)
 
-    return metric
+    return Binned("across", metric, tuple(sq), np.sqrt, (bins, scale, pimax))
 
 
 def layer(value: np.ndarray, bins: int) -> np.ndarray:

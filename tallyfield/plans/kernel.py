@@ -5,6 +5,11 @@ contiguous.  For each left point and each column in reach the cells in reach mak
 one range; columns and cells farther than the reach by their least separation are
 left out.  Ranges are expanded to pairs a bounded number at a time, so memory
 doesn't depend on how many pairs there are.
+
+Where many points are in reach, blocks of left points near one another meet all
+right points in reach of the block at once, as rows and columns of arrays that
+stay in the cache.  Nothing is gathered by pair then, and bins of ``Binned``
+metrics are counts of comparisons.  Both ways do the same arithmetic.
 """
 
 from __future__ import annotations
@@ -15,15 +20,37 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from tallyfield.functions.weights import pair_product
 from tallyfield.plans.tiles import LEFT, OTHER, RIGHT, Tiling
 
 #: Pairs held at a time.
 PAIRS = 1 << 19
+#: Right points in the box around a left point from which on blocks meet; points of a block, about and at most; pairs of a block's step.
+DENSE, BLOCK, MOST, STEP = 300, 64, 192, 1 << 16
 
 #: From the separations along the axes, or from six coordinates: places of the pairs that count, their bin, their separation.
 Metric = Callable[..., tuple[np.ndarray, np.ndarray, Callable[[], np.ndarray]]]
 
 
+@dataclass(frozen=True)
+class Binned:
+    """A metric by rising edges of one value, which blocks can take as counts of comparisons.
+
+    ``kind``: the value is the ``square`` of the separation, that ``across`` the z
+    axis, or the ``dot`` product with the sign changed.  ``layers``: number of bins
+    along z, their inverse width and the height.
+    """
+
+    kind: str
+    pairs: Metric
+    edges: tuple[float, ...]
+    apart: Callable[[np.ndarray], np.ndarray]
+    layers: tuple[int, float, float] | None = None
+
+    def __call__(self, *v):
+        return self.pairs(*v)
+
+
 @dataclass(frozen=True)
 class Reach:
     """How far pairs can be apart, and how fine the cells are.
@@ -149,6 +176,28 @@ def pairs(left: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray
         begin = stop
 
 
+class Columns:
+    """Points by columns of cells along z, and by z in each."""
+
+    def __init__(self, u: np.ndarray, low: np.ndarray, size: float, n: tuple[int, int, int], height: float):
+        self.cell = np.clip(np.floor((u - low) / size).astype(np.int64), 0, np.array(n) - 1)
+        column = self.cell[:, 0] * n[1] + self.cell[:, 1]
+        self.order = np.lexsort((u[:, 2], column))
+        self.u, self.cell, column = u[self.order], self.cell[self.order], column[self.order]
+        self.z = self.u[:, 2] - low[2]
+        self.across = np.ascontiguousarray(self.u.T)
+        #: Column and z as one number.
+        self.key = column * height + self.z
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First points of runs of one cell, ``MOST`` points long at most, and their ends."""
+        size = len(self.u)
+        cells = np.flatnonzero(np.r_[True, (self.cell[1:] != self.cell[:-1]).any(axis=1)])
+        place = np.arange(size) - np.repeat(cells, np.diff(np.r_[cells, size]))
+        first = np.flatnonzero(place % MOST == 0)
+        return first, np.r_[first[1:], size]
+
+
 class Sums:
     """Pairs, separations and weights by bin."""
 
@@ -158,6 +207,7 @@ class Sums:
         self.sep, self.w = np.zeros(task.bins), np.zeros(task.bins)
         #: Points that count with themselves, and their weights.
         self.alone, self.alone_w = 0, 0.0
+        self.held: dict[str, np.ndarray] = {}
 
     def relative(self, x: np.ndarray, tile: int, shift: np.ndarray) -> np.ndarray:
         """Places in the tile: from 0 to its size for its own points, beyond that for copies."""
@@ -180,19 +230,199 @@ class Sums:
             for i in narrow:
                 image = np.flatnonzero(np.abs(u[a, i] - right.u[b, i]) <= t.wrap[i] / 2)
                 a, b = a[image], b[image]
-            if task.coordinates:
-                found = task.metric(*(x[i][a] for i in range(3)), *(xr[i][b] for i in range(3)))
+            self.add(a, b, x, w, xr, wr)
+
+    def add(self, a, b, x, w, xr, wr) -> None:
+        """Count pairs of the places ``a`` and ``b``."""
+        task = self.task
+        if task.coordinates:
+            found = task.metric(*(x[i][a] for i in range(3)), *(xr[i][b] for i in range(3)))
+        else:
+            found = task.metric(*self.apart(x, xr, a, b))
+        kept, bins, separation = found
+        if not len(kept):
+            return
+        self.n += np.bincount(bins, minlength=task.bins)
+        if task.average:
+            self.sep += np.bincount(bins, separation(), task.bins)
+        if task.weigh:
+            a, b = a[kept], b[kept]
+            self.w += np.bincount(bins, np.broadcast_to(task.weigh(w[..., a], wr[..., b], *self.apart(x, xr, a, b)), bins.shape), task.bins)
+
+    def lattice(self, n: int) -> tuple[np.ndarray, float, tuple[int, int, int], float] | None:
+        """Origin, size and number of the cells for blocks among ``n`` right points, and a number above all heights; None where too few are in reach."""
+        t = self.task.tiling
+        room = np.array([s + 2 * d for s, d in zip(t.size, t.reach)])
+        box = np.minimum(room, 2 * np.array(t.reach))
+        if n * np.prod(box / room) < DENSE:
+            return None
+        wide = max(t.reach)
+        size = min(wide, max((np.prod(t.size) * BLOCK / n) ** (1 / 3), wide / 10))
+        # an image beyond half the box must not be in the columns read
+        if any(length is not None and d + 2 * size >= length / 2 for length, d in zip(t.wrap, t.reach)):
+            return None
+        return -np.array(t.reach), size, tuple(int(r / size) + 1 for r in room), 1.001 * room[2] + size
+
+    def meet_blocks(self, lattice, left: Columns, x, w, right: Columns, xr, wr, half: bool) -> None:
+        """As ``meet``, by blocks of left points; both sets are in the order of their columns."""
+        t, ball = self.task.tiling, self.task.reach.ball
+        low, size, n, height = lattice
+        radius, tall = max(t.reach[:2]), t.reach[2]
+        slack = 4 * np.spacing(n[0] * n[1] * height)
+        axes = 3 if ball else 2
+        first, end = left.blocks()
+        bounds = [(np.minimum.reduceat(v, first) - o, np.maximum.reduceat(v, first) - o) for v, o in zip(left.u.T[:2], low)]
+        step = int(np.ceil(radius / size)) + 1
+        away = lambda way: sum(max(0, abs(d) - 1) ** 2 for d in way)
+        ways = [(dx, dy) for dx in range(-step, step + 1) for dy in range(-step, step + 1) if not half or (dx, dy) >= (0, 0)]
+        # columns from near to far, and the least squared distance between points of two of them
+        ways = sorted(ways, key=lambda way: (away(way), way))
+        least = np.array([away(way) for way in ways]) * size**2 * (1 - 1e-9)
+        if half:
+            at = np.arange(len(left.u))
+            rest = np.repeat(end, end - first) - at - 1
+            for a, b in pairs((at[rest > 0], at[rest > 0] + 1, rest[rest > 0])):
+                self.add(a, b, x, w, xr, wr)
+        batch = max(1, (1 << 20) // len(ways))
+        for begin in range(0, len(first), batch):
+            some = slice(begin, begin + batch)
+            p, q = first[some], end[some]
+            cell = left.cell[p]
+            lo, hi = np.zeros((len(p), len(ways)), np.int64), np.zeros((len(p), len(ways)), np.int64)
+            for k, way in enumerate(ways):
+                column = [cell[:, i] + way[i] for i in range(2)]
+                ok, least2 = np.ones(len(p), bool), np.zeros(len(p))
+                for i in range(2):
+                    ok &= (column[i] >= 0) & (column[i] < n[i])
+                    if way[i]:
+                        gap = column[i] * size - bounds[i][1][some] if way[i] > 0 else bounds[i][0][some] - (column[i] + 1) * size
+                        least2 += np.maximum(gap - slack, 0.0) ** 2
+                near = np.flatnonzero(ok & (least2 <= radius * radius))
+                h = np.sqrt(radius * radius - least2[near]) if ball else tall
+                at = (column[0] * n[1] + column[1])[near] * height
+                lo[near, k] = np.searchsorted(right.key, at + np.maximum(left.z[p[near]] - h - slack, 0.0) - slack)
+                hi[near, k] = np.searchsorted(right.key, at + np.minimum(left.z[q[near] - 1] + h + slack, height - size / 2) + slack, "right")
+                if way == (0, 0) and half:
+                    lo[:, k] = np.maximum(lo[:, k], q)
+            for k in range(len(p)):
+                length = np.maximum(hi[k] - lo[k], 0)
+                found = np.flatnonzero(length)
+                if not len(found):
+                    continue
+                length = length[found]
+                ends = np.cumsum(length)
+                b = np.arange(ends[-1]) + np.repeat(lo[k, found] - ends + length, length)
+                # columns reach beyond the corners of what the block can reach
+                gap2 = 0.0
+                for v, far in zip(left.u.T[:axes], right.across):
+                    own, far = v[p[k] : q[k]], far[b]
+                    gap2 = gap2 + np.square(far - np.clip(far, own.min(), own.max()))
+                kept = np.flatnonzero(gap2 <= radius * radius)
+                b = b[kept]
+                self.block(x[:, p[k] : q[k]], w[..., p[k] : q[k]], xr[:, b], wr[..., b], np.searchsorted(kept, ends), least[found])
+
+    def block(self, x, w, xr, wr, ends, least) -> None:
+        """Every left point against every right one, a step of columns at a time; ``least``: bounds of the values up to ``ends``."""
+        task, m = self.task, x.shape[1]
+        by_edges = isinstance(task.metric, Binned)
+        wide = max(1, STEP // m)
+        low, high = x.min(axis=1), x.max(axis=1)
+        for begin in range(0, xr.shape[1], wide):
+            y, wy = xr[:, begin : begin + wide], wr[..., begin : begin + wide]
+            k, along = y.shape[1], None
+            images = [length is not None and max(b - v.min(), v.max() - a) > length / 2 for length, a, b, v in zip(task.tiling.wrap, low, high, y)]
+            if not by_edges:
+                found = task.metric(*(np.repeat(v, k) for v in x), *(np.tile(v, m) for v in y)) if task.coordinates else task.metric(*(self.axis(i, x, y, images, True).ravel() for i in range(3)))
             else:
-                found = task.metric(*self.apart(x, xr, a, b))
+                if task.coordinates:
+                    value = self.products(x, y)
+                else:
+                    value, along = self.squares(x, y, images)
+                if not task.average and not task.weigh:
+                    self.compared(value, along, least[np.searchsorted(ends, begin, "right")] if not task.coordinates else -np.inf)
+                    continue
+                found = self.inside(value, along)
             kept, bins, separation = found
             if not len(kept):
                 continue
             self.n += np.bincount(bins, minlength=task.bins)
             if task.average:
                 self.sep += np.bincount(bins, separation(), task.bins)
-            if task.weigh:
-                a, b = a[kept], b[kept]
-                self.w += np.bincount(bins, np.broadcast_to(task.weigh(w[..., a], wr[..., b], *self.apart(x, xr, a, b)), bins.shape), task.bins)
+            if task.weigh is pair_product:
+                self.w += np.bincount(bins, (w[:, None] * wy).ravel()[kept], task.bins)
+            elif task.weigh:
+                a, b = np.divmod(kept, k)
+                self.w += np.bincount(bins, np.broadcast_to(task.weigh(w[..., a], wy[..., b], *self.apart(x, y, a, b)), bins.shape), task.bins)
+
+    def room(self, name: str, shape: tuple[int, int], kind=float) -> np.ndarray:
+        """An array that is used again and again."""
+        if name not in self.held or self.held[name].size < shape[0] * shape[1]:
+            self.held[name] = np.empty(max(STEP, shape[0] * shape[1]), kind)
+        return self.held[name][: shape[0] * shape[1]].reshape(shape)
+
+    def axis(self, i: int, x, y, images, positive: bool) -> np.ndarray:
+        """Separations along an axis; where no image is nearer, with a sign unless ``positive``."""
+        d = np.subtract(x[i][:, None], y[i], out=self.room(f"axis {i}", (x.shape[1], y.shape[1])))
+        if images[i] or positive:
+            np.abs(d, out=d)
+        return np.minimum(d, self.task.tiling.wrap[i] - d, out=d) if images[i] else d
+
+    def squares(self, x, y, images) -> tuple[np.ndarray, np.ndarray | None]:
+        """The value of a ``Binned`` metric, and separations along z where it has layers."""
+        metric = self.task.metric
+        value = self.axis(0, x, y, images, False)
+        value *= value
+        for i in (1,) if metric.layers else (1, 2):
+            d = self.axis(i, x, y, images, False)
+            d *= d
+            value += d
+        return value, self.axis(2, x, y, images, True) if metric.layers else None
+
+    def products(self, x, y) -> np.ndarray:
+        """Dot products with the sign changed."""
+        shape = (x.shape[1], y.shape[1])
+        value = np.multiply(-x[0][:, None], y[0], out=self.room("axis 0", shape))
+        for i in (1, 2):
+            value += np.multiply(-x[i][:, None], y[i], out=self.room("axis 1", shape))
+        return value
+
+    def compared(self, value: np.ndarray, along: np.ndarray | None, least: float) -> None:
+        """Counts by bin, from how many values are under each edge; none is under ``least``."""
+        metric, under = self.task.metric, self.room("under", value.shape, bool)
+        if along is None:
+            self.n += np.diff([np.count_nonzero(np.less(value, e, out=under)) if e > least else 0 for e in metric.edges])
+            return
+        bins, scale, height = metric.layers
+        below = [along < height]
+        if bins > 1:
+            scaled = np.multiply(along, scale, out=self.room("scaled", along.shape))
+            below = [*((scaled < j) & below[0] for j in range(1, bins)), below[0]]
+        both, n = self.room("both", value.shape, bool), np.zeros((len(metric.edges), bins + 1), np.int64)
+        for i, e in enumerate(metric.edges):
+            if e <= least:
+                continue
+            np.less(value, e, out=under)
+            for j, b in enumerate(below):
+                n[i, j + 1] = np.count_nonzero(np.logical_and(under, b, out=both))
+        self.n += np.diff(np.diff(n, axis=0), axis=1).ravel()
+
+    def inside(self, value: np.ndarray, along: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, Callable[[], np.ndarray]]:
+        """As ``Metric``, with bins by comparisons."""
+        metric = self.task.metric
+        keep = (value >= metric.edges[0]) & (value < metric.edges[-1])
+        if along is not None:
+            keep &= along < metric.layers[2]
+        kept = np.flatnonzero(keep)
+        value = value.ravel()[kept]
+        bins = np.zeros(len(kept), np.int8 if self.task.bins < 128 else np.int32)
+        for e in metric.edges[1:-1]:
+            bins += (value >= e).view(np.int8)
+        if along is not None and metric.layers[0] > 1:
+            scaled = along.ravel()[kept] * metric.layers[1]
+            bins *= metric.layers[0]
+            for j in range(1, metric.layers[0]):
+                bins += (scaled >= j).view(np.int8)
+        return kept, bins, lambda: metric.apart(value)
 
     def apart(self, x, xr, a, b) -> Iterator[np.ndarray]:
         """Separations along the axes, by the nearest image where they are periodic."""
@@ -210,23 +440,45 @@ class Sums:
             return
         u = self.relative(x, key[0], shift)
         own = key[1] == key[2] and task.both
+        met = of(RIGHT), of(OTHER)
+        if lattice := self.lattice(max(len(left) if own else 0, *map(len, met))):
+            self.group_blocks(lattice, own, left, met, u, x, w)
+            return
         if own:
             cells = Cells(u[left], task)
             left = left[cells.order]
         xl, ul, wl = np.ascontiguousarray(x[left].T), u[left], w[..., left]
         if own:
             self.meet(ul, xl, wl, cells, xl, wl, True)
-            if task.self_pairs:
-                self.alone += len(left)
-                if task.weigh:
-                    none = np.zeros(len(left))
-                    self.alone_w += float(np.broadcast_to(task.weigh(wl, wl, none, none, none), none.shape).sum())
-        for r in (RIGHT, OTHER):
-            if len(found := of(r)):
+            self.add_alone(wl)
+        for found in met:
+            if len(found):
                 cells = Cells(u[found], task)
                 found = found[cells.order]
                 self.meet(ul, xl, wl, cells, np.ascontiguousarray(x[found].T), w[..., found], False)
 
+    def group_blocks(self, lattice, own: bool, left: np.ndarray, met: tuple[np.ndarray, ...], u, x, w) -> None:
+        """The rest of ``group`` where blocks meet."""
+        columns = Columns(u[left], *lattice)
+        left = left[columns.order]
+        xl, wl = np.ascontiguousarray(x[left].T), w[..., left]
+        if own:
+            self.meet_blocks(lattice, columns, xl, wl, columns, xl, wl, True)
+            self.add_alone(wl)
+        for found in met:
+            if len(found):
+                right = Columns(u[found], *lattice)
+                found = found[right.order]
+                self.meet_blocks(lattice, columns, xl, wl, right, np.ascontiguousarray(x[found].T), w[..., found], False)
+
+    def add_alone(self, w: np.ndarray) -> None:
+        """Each point with itself."""
+        if self.task.self_pairs:
+            self.alone += w.shape[-1]
+            if self.task.weigh:
+                none = np.zeros(w.shape[-1])
+                self.alone_w += float(np.broadcast_to(self.task.weigh(w, w, none, none, none), none.shape).sum())
+
     def rows(self) -> pa.RecordBatch:
         """Bins with pairs; one set's pairs in both orders, a point with itself once."""
         twice = 2 if self.task.both else 1

@@ -6,9 +6,13 @@ itself only to neighbours on one side, so that each pair meets once.  All that a
 tile needs then stands in one group, and no join is left: the pairs of a group are
 found by ``plans.kernel``.
 
+Tiles are several reaches wide where memory allows, as copies are few then: at
+three reaches 1.8 for each point of one set, at one reach 13.
+
 A tile with more than ``CHUNK`` points is cut into chunks by a hash of their ids,
 and its pairs of chunks are groups of their own, so that no group grows with the
-densest place of the data.
+densest place of the data.  Its own points and copies are cut each by their own
+number.
 """
 
 from __future__ import annotations
@@ -21,8 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyfield.plans.points import Extent
 
-#: Points of a tile on average, and of a chunk at most.
-TILE, CHUNK = 4096, 16_384
+#: Points of a tile on average where the reach doesn't make it wider, and of a chunk at most.
+TILE, CHUNK = 4096, 262_144
+#: Points of a chunk of which smaller ones aren't made for parallelism.
+LEAST_CHUNK = 16_384
+#: Rows of a tile on average, copies too, up to which it is made wider than the reach, and by how much.
+ROWS, WIDER = 300_000, (3, 2, 1.5, 1)
 #: Hot tiles of which the list is broadcast; their number is bounded by that of the points over ``CHUNK``.
 BROADCAST = 100_000
 #: Rows that a task gets on average at most.
@@ -69,8 +77,17 @@ class Tiling:
                 raise ValueError(f"the largest separation {r} must be under half the box {length}")
             span.append(length if length is not None else max(hi - lo, 1e-90))
             wide.append(r * (1 + 1e-9) + 1e-14 * max(abs(lo), abs(hi), span[-1]))
-        most = [max(1, int(min(s / r, 2**20))) for s, r in zip(span, wide)]
-        n, open_, left = [1, 1, 1], [0, 1, 2], float(max(least, extent.n / TILE))
+        for times in WIDER:
+            n = Tiling._cuts(span, [max(1, int(min(s / (times * r), 2**20))) for s, r in zip(span, wide)], float(max(least, extent.n / TILE)))
+            rows = extent.n / math.prod(n) * (1 + math.prod(1 + 2 * r * k / s for s, r, k in zip(span, wide, n) if k > 1)) / 2
+            if rows <= ROWS and math.prod(n) >= least:
+                break
+        return Tiling(extent.low, tuple(s / k for s, k in zip(span, n)), tuple(n), tuple(wrap), tuple(wide))
+
+    @staticmethod
+    def _cuts(span: list[float], most: list[int], left: float) -> list[int]:
+        """Tiles on each axis, at most ``most``, and about ``left`` in all."""
+        n, open_, left = [1, 1, 1], [0, 1, 2], left
         # axes that can't take their share of cuts leave it to the others
         while open_ and left > 1:
             side = (math.prod(span[i] for i in open_) / left) ** (1 / len(open_))
@@ -83,7 +100,7 @@ class Tiling:
                 n[i] = most[i] if span[i] / side >= most[i] else 1
                 left /= n[i]
             open_ = [i for i in open_ if i not in full]
-        return Tiling(extent.low, tuple(s / k for s, k in zip(span, n)), tuple(n), tuple(wrap), tuple(wide))
+        return n
 
     def _axis(self, c: str, i: int) -> list[str]:
         """SQL for the number of the tile, and for whether the neighbour below or above is in reach."""
@@ -119,26 +136,34 @@ class Tiling:
         return placed.selectExpr(*columns, f"explode(array({', '.join(targets)})) AS t").where("t is not null").selectExpr("t.tile", "t.shift", *columns)
 
 
-def groups(tiling: Tiling, a: DataFrame, b: DataFrame | None, columns: list[str], n: int, partitions: int) -> DataFrame:
+def chunk_size(n: int, cores: int) -> int:
+    """Points of a chunk, so that one tile of all ``n`` points makes some groups for each core."""
+    return min(CHUNK, max(LEAST_CHUNK, math.ceil(n / (4 * math.sqrt(cores)))))
+
+
+def groups(tiling: Tiling, a: DataFrame, b: DataFrame | None, columns: list[str], n: int, partitions: int, chunk: int | None = None) -> DataFrame:
     """``tile, i, j, role, shift`` and the columns, dealt and sorted by group ``(tile, i, j)``.
 
     ``n`` is the number of points of both sets.
     """
+    chunk = chunk or CHUNK
     carried = [*columns, "id"]
     if b is None:
         rows = tiling.dealt(a, carried, "half").selectExpr("*", f"if(shift = 13, {LEFT}, {OTHER}) AS role")
     else:
         rows = tiling.dealt(a, carried, "none").selectExpr("*", f"{LEFT} AS role").unionByName(tiling.dealt(b, carried, "all").selectExpr("*", f"{OTHER} AS role"))
-    if n <= CHUNK:
+    if n <= chunk:
         split = rows.selectExpr("tile", "0 AS i", "0 AS j", "role", "shift", *columns)
     else:
-        hot = rows.groupBy("tile").agg(F.expr(f"int(ceil(greatest(count_if(role = {LEFT}), count_if(role = {OTHER})) / {CHUNK}))").alias("parts")).where("parts > 1")
+        parts = [f"int(ceil(greatest(count_if(role = {r}), 1) / {chunk})) AS {name}" for r, name in ((LEFT, "lefts"), (OTHER, "others"))]
+        hot = rows.groupBy("tile").agg(*map(F.expr, parts)).where("lefts > 1 or others > 1")
         # at most so many points for each, counting copies, make a tile hot
-        marked = rows.join(F.broadcast(hot) if 27 * n / CHUNK <= BROADCAST else hot, "tile", "left")
-        marked = marked.selectExpr("tile", "shift", "role", *columns, "coalesce(parts, 1) AS parts", "int(pmod(xxhash64(id), coalesce(parts, 1))) AS c")
-        # a left chunk meets every right chunk, and as right points the left ones of earlier chunks of its own set
-        again = f"if(role = {LEFT}, c, 0)" if b is None else "0"
-        spread = marked.selectExpr("*", f"explode(sequence(0, parts - 1 + {again})) AS k")
-        is_left = f"role = {LEFT} and k < parts"
-        split = spread.selectExpr("tile", f"if({is_left}, c, if(role = {LEFT}, k - parts, k)) AS i", f"if({is_left}, k, c) AS j", f"if(role = {LEFT} and k >= parts, {RIGHT}, role) AS role", "shift", *columns)
+        marked = rows.join(F.broadcast(hot) if 27 * n / chunk <= BROADCAST else hot, "tile", "left")
+        marked = marked.selectExpr("tile", "shift", "role", *columns, "id", "coalesce(lefts, 1) AS lefts", "coalesce(others, 1) AS others")
+        marked = marked.selectExpr("tile", "shift", "role", *columns, "lefts", "others", f"int(pmod(xxhash64(id), if(role = {LEFT}, lefts, others))) AS c")
+        # a left chunk meets every chunk of copies, and as right points the left ones of later chunks of its own set
+        to_left, itself = ("greatest(lefts, others)", "c") if b is None else ("others", "0")
+        spread = marked.selectExpr("*", f"{to_left} AS met", f"explode(sequence(0, if(role = {LEFT}, {to_left} + {itself}, lefts) - 1)) AS k")
+        is_left = f"role = {LEFT} and k < met"
+        split = spread.selectExpr("tile", f"if({is_left}, c, if(role = {LEFT}, k - met, k)) AS i", f"if({is_left}, k, c) AS j", f"if(role = {LEFT} and k >= met, {RIGHT}, role) AS role", "shift", *columns)
     return split.repartition(partitions, "tile", "i", "j").sortWithinPartitions("tile", "i", "j")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.functions.bins import logbins
+from tallyfield.functions.weights import pair_product
 from tallyfield.operators import mocks, theory
 from tallyfield.plans import kernel, tiles
 from tallyfield.plans.points import Extent, xyz
@@ -233,6 +234,77 @@ def test_tilings_follow_reach_and_extent():
     assert t.n[1] == 1 and t.n[2] == 1 and 8 <= t.n[0] <= 33 and all(s >= 3.0 for s in t.size[:2])
 
 
+def test_wide_tiles_have_few_copies():
+    # 54 million points and a reach of 4 in a box of 100
+    t = tiles.Tiling.plan(Extent(54 * 10**6, (0.0,) * 3, (100.0,) * 3, 0.0, 0.0), (4.0,) * 3, (100.0,) * 3, 64)
+    copies = (np.prod([1 + 2 * r / s for r, s in zip(t.reach, t.size)]) - 1) / 2
+    assert copies < 2 and 54 * 10**6 / np.prod(t.n) * copies < tiles.CHUNK
+    # all points in one tile still make groups for the cores
+    assert tiles.chunk_size(900_000, 8) < 100_000 and tiles.chunk_size(150_000, 8) == tiles.LEAST_CHUNK
+
+
+def counter(kind):
+    edges = [0.25, 0.5, 1.0, 2.0, 3.0]
+    if kind == "theta":
+        falling = [-np.cos(np.radians(e)) for e in edges]
+
+        def cosines(ax, ay, az, bx, by, bz):
+            c = -(ax * bx + ay * by + az * bz)
+            kept = np.flatnonzero((c >= falling[0]) & (c < falling[-1]))
+            return kept, np.searchsorted(falling[1:-1], c[kept], "right"), lambda: np.degrees(np.arccos(np.clip(-c[kept], -1, 1)))
+
+        return kernel.Binned("dot", cosines, tuple(falling), lambda v: np.degrees(np.arccos(np.clip(-v, -1, 1)))), 4, (0.06,) * 3
+    if kind == "layers":
+        return theory._projected(edges, 4.0, 4), 16, (3.0, 3.0, 4.0)
+    return theory._radial(edges), 4, (3.0,) * 3
+
+
+@pytest.mark.parametrize("kind", ["ball", "layers", "theta", "function"])
+@pytest.mark.parametrize("weights", [None, "pair_product", "user"])
+@pytest.mark.parametrize("corner", [False, True])
+def test_blocks_count_as_pairs_do(kind, weights, corner, monkeypatch):
+    rng = np.random.RandomState(5)
+    metric, bins, reach = counter(kind)
+    metric = metric.pairs if kind == "function" else metric
+    theta = kind == "theta"
+    size, n = (0.2, (2, 1, 1)) if theta else (8.0, (4, 4, 4))
+    wrap = (None,) * 3 if theta else (32.0,) * 3
+    origin = (0.0, 0.0, 0.85) if theta else (0.0,) * 3
+    tiling = tiles.Tiling(origin, (size,) * 3, n, wrap, tuple(r * (1 + 1e-9) for r in reach))
+    # own points of one tile, and copies of its neighbour's, over the edge of the box where it is in a corner
+    place = np.zeros(3) if corner or theta else np.ones(3)
+    x = (place + rng.rand(1500, 3)) * size
+    y = (place + rng.rand(1200, 3) + [1 if theta else -1, 0, 0]) * size
+    x[:300] = x[0] + (rng.rand(300, 3) - 0.5) * np.minimum(x[0] - place * size, (place + 1) * size - x[0]).min()  # a crowded place
+    x[300:310] = x[310]
+    if theta:
+        for v in (x, y):
+            v[:, 2] = np.sqrt(1 - v[:, 0] ** 2 - v[:, 1] ** 2)
+    elif corner:
+        y[:, 0] %= 32.0
+    shift = np.r_[np.full(1500, 13), np.full(1200, 13 - 9 if theta else 13 + 9)]
+    role = np.r_[np.full(1500, tiles.LEFT), np.full(1200, tiles.OTHER)]
+    weigh = {None: None, "pair_product": pair_product, "user": lambda a, b, dx, dy, dz: a * b + dx + 2 * dz}[weights]
+    key = (int(place @ [n[1] * n[2], n[2], 1]), 0, 0)
+    found = []
+    for least in (0, np.inf):
+        monkeypatch.setattr(kernel, "DENSE", least)
+        task = kernel.Task(tiling, kernel.Reach(kind != "layers"), metric, bins, theta, weights != "pair_product", weigh, False, True, True)
+        found.append(sums := kernel.Sums(task))
+        for step in (1 << 16, 1000):
+            monkeypatch.setattr(kernel, "STEP", step)
+            sums.group(key, role, shift, np.concatenate([x, y]), rng.__class__(3).rand(2700))
+        if weights is None:
+            task = kernel.Task(tiling, kernel.Reach(kind != "layers"), metric, bins, theta, False, None, False, True, False)
+            counts = kernel.Sums(task)
+            counts.group(key, role, shift, np.concatenate([x, y]), np.zeros(2700))
+            assert (2 * counts.n == sums.n).all()
+        assert (sums.lattice(2700) is None) == (least > 0)
+    a, b = found
+    assert a.n.sum() > 10_000 and (a.n == b.n).all() and a.alone == b.alone
+    assert np.allclose(a.sep, b.sep) and np.allclose(a.w, b.w) and np.isclose(a.alone_w, b.alone_w)
+
+
 def test_more_published_examples(spark):
     rng = np.random.RandomState(42)
     p = frame(spark, np.stack([rng.uniform(0, 420.0, 100_000) for _ in range(3)], 1))
