@@ -44,7 +44,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles are similar at 0.8 or more stays, that of the smallest id."""
+    """One document of each component of texts whose five-word shingles are similar at 0.8 or more stays, that of the smallest id; SimHash fingerprints and MinHash keys find candidates."""
     return shingles.one_of_each(docs)
 
 

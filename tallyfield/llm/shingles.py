@@ -1,11 +1,13 @@
 """Near-duplicates by the similarity of their word shingles (the pipeline's near-dedup).
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard
-similarity of 0.8 or more.  At that similarity 64-bit fingerprints differ in
-about 10 bits and often in 13 or more, where no choice of blocks that must agree
-tells the texts from chance; so candidates meet by MinHash instead: ``BANDS`` keys
-of ``ROWS_OF_BAND`` minima each, of which two texts share one with probability
-1 - 3e-6 at a similarity of exactly 0.8, and closer to 1 above.
+similarity of 0.8 or more.  Candidates meet by SimHash: fingerprints of the same
+shingles are linked at ``simhash.links``'s bits or fewer through its Gray-order
+hierarchical index, and each component of fingerprints is a group.  At 0.8
+fingerprints differ in about 10 bits and often in 13 or more, where no choice of
+blocks that must agree tells the texts from chance; so candidates meet by MinHash
+as well: ``BANDS`` keys of ``ROWS_OF_BAND`` minima each, of which two texts share
+one with probability 1 - 3e-6 at a similarity of exactly 0.8, and closer to 1 above.
 
 Each group of one key takes its texts along, and all pairs of it are verified on
 the shingles.  A group over ``group_rows`` is cut into chunks and its pairs of
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallyfield.llm.arrowio import slices
 from tallyfield.llm.graph import components
 from tallyfield.llm.shared import written
-from tallyfield.llm.simhash import SEED, forest, least_of_each, shingles
+from tallyfield.llm import simhash
+from tallyfield.llm.simhash import SEED, forest, least_of_each, majority, shingles
 
 WORDS = 5
 #: Least similarity, as a fraction of whole numbers, so that it is exact.
@@ -37,9 +40,8 @@ _TIMES = _RNG.integers(0, 2**64, (BANDS * ROWS_OF_BAND, 1), np.uint64) | np.uint
 _PLUS = _RNG.integers(0, 2**64, (BANDS * ROWS_OF_BAND, 1), np.uint64)
 
 
-def bands(text: str | None, words: int = WORDS) -> list[int]:
-    """A signed key for each band; one key alone for texts without words."""
-    hashes = shingles(text, words)
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band of a text's shingles; one key alone for texts without words."""
     least = np.full(len(_TIMES), 2**64 - 1, np.uint64)
     for i in range(0, len(hashes), BLOCK):
         np.minimum(least, (hashes[i : i + BLOCK] * _TIMES + _PLUS).min(axis=1), out=least)
@@ -65,10 +67,17 @@ def similar_to(sets: list[np.ndarray], queries: np.ndarray, others: np.ndarray):
         yield np.full(len(near), q), near
 
 
+def by_fingerprint(marked: DataFrame) -> DataFrame:
+    """``t1, key``: texts of ``marked(t1, fingerprint)`` by component of near fingerprints, which is the key."""
+    nodes = marked.groupBy("t1").agg(F.first("fingerprint").alias("fingerprint"))
+    root = components(simhash.links(marked)).withColumnRenamed("node", "fingerprint")
+    return nodes.join(root, "fingerprint", "left").select("t1", F.xxhash64(F.lit(2), F.coalesce("root", "fingerprint")).alias("key"))
+
+
 def links(marked: DataFrame, texts: DataFrame, words: int = WORDS, group_rows: int = 256) -> DataFrame:
-    """``a, b``: links that join all similar texts of ``marked(t1, bands)`` into their components; ``texts(t1, text)`` are read for candidates."""
+    """``a, b``: links that join all similar texts of ``marked(t1, bands)`` into their components; ``marked`` has ``fingerprint`` too, ``texts(t1, text)`` are read for candidates."""
     nodes = marked.groupBy("t1").agg(F.first("bands").alias("bands"))
-    keyed = written(nodes.select("t1", F.explode("bands").alias("key")), "bands")
+    keyed = written(nodes.select("t1", F.explode("bands").alias("key")).union(by_fingerprint(marked)), "bands")
     met = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / group_rows).cast("int").alias("parts"))
     parts = keyed.join(met, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "t1"), F.col("parts")).cast("int"))
     dealt = parts.select("t1", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -108,10 +117,12 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
 
     def run(batches):
         for b in slices(batches):
-            found = pa.array([bands(t, words) for t in b.column(3).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], names=["doc_id", "t1", "t2", "bands"])
+            hashes = [shingles(t, words) for t in b.column(3).to_pylist()]
+            codes = pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64))
+            found = pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], codes, found], names=["doc_id", "t1", "t2", "fingerprint", "bands"])
 
-    marked = written(plain.mapInArrow(run, "doc_id long, t1 long, t2 long, bands array<long>"), "minima")
+    marked = written(plain.mapInArrow(run, "doc_id long, t1 long, t2 long, fingerprint long, bands array<long>"), "minima")
     found = components(links(marked, plain.select("t1", "text"), words, group_rows))
     rooted = marked.select("doc_id", "t1", "t2").join(found.withColumnRenamed("node", "t1"), "t1", "left").withColumn("root", F.coalesce("root", "t1"))
     return least_of_each(docs, rooted, text, doc_id)

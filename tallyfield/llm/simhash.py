@@ -56,7 +56,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 4) -> int:
     """The unsigned fingerprint of one text; 0 without words."""
-    hashes = shingles(text, words)
+    return majority(shingles(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles: bits set in over half of them."""
     by_byte = hashes.view(np.uint8).reshape(-1, 8)  # little-endian: byte i has the bits from 8 * i
     if len(hashes) < 64:
         ones = np.unpackbits(by_byte, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -130,6 +130,22 @@ def test_pipeline_near_duplicates(spark, group_rows, monkeypatch):
     assert Counter(r.doc_id for r in kept) == Counter(rows[r][0] for r in set(up))
 
 
+def test_pipeline_near_duplicates_meet_by_fingerprint(spark, monkeypatch):
+    import corpus_pipeline
+
+    # without minima in common, texts meet by the SimHash index alone
+    hidden = shingles.links
+
+    def alone(marked, *rest):
+        return hidden(marked.withColumn("bands", F.array().cast("array<long>")), *rest)
+
+    monkeypatch.setattr(shingles, "links", alone)
+    base = [f"word{i}" for i in range(600)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(words(random.Random(4), 200))), (4, None), (5, "")]
+    assert (shingles.majority(shingles.shingles(rows[0][1], 5)) ^ shingles.majority(shingles.shingles(rows[1][1], 5))).bit_count() <= 4
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()) == [1, 3, 4]
+
+
 def lines_brute(rows, depth=3, similar=0.7, least=3):
     """Every line against every template of its leaf, in plain lists; shares nothing with the operator."""
     def tokens_of(line):
