@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyfield.functions.weights import weight_function
 from tallyfield.plans.kernel import Metric, Reach, Task, counted
 from tallyfield.plans.points import Extent
-from tallyfield.plans.tiles import TASK_ROWS, Tiling, chunk_size, groups, wrap_lengths
+from tallyfield.plans.tiles import BROADCAST, TASK_ROWS, Tiling, chunk_size, groups, packed_groups, wrap_lengths
 
 
 @dataclass(frozen=True)
@@ -70,9 +70,11 @@ def count_pairs(a: DataFrame, b: DataFrame | None, reach: tuple[float, float, fl
     columns = ["x", "y", "z"] + ([] if not weigh else ["ws"] if arrays else ["w"])
     n = first.n if b is None else first.n + second.n
     partitions = max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
-    dealt = groups(tiling, a, b, columns, n, partitions, chunk_size(n, cores))
+    chunk = chunk_size(n, cores)
+    packed = not arrays and 27 * n / chunk <= BROADCAST
+    dealt = (packed_groups if packed else groups)(tiling, a, b, columns, n, partitions, chunk)
     task = Task(tiling, Reach(ball, cells.bin_refine_factors, cells.max_cells_per_dim, cells.enable_min_sep_opt), metric, shape[0] * inner, coordinates, average, weigh, arrays, b is None, self_pairs and b is None)
-    found = dealt.mapInArrow(counted(task), "bin int, npairs long, sum_sep double, sum_w double")
+    found = dealt.mapInArrow(counted(task, packed), "bin int, npairs long, sum_sep double, sum_w double")
     table = found.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("npairs", "sum_sep", "sum_w")])
     return Counts(table.selectExpr(f"bin div {inner} AS bin0", f"bin % {inner} AS bin1", "npairs", "sum_sep", "sum_w"), first, second)
 

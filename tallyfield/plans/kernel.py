@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 from tallyfield.functions.weights import pair_product
-from tallyfield.plans.tiles import LEFT, OTHER, RIGHT, Tiling
+from tallyfield.plans.tiles import LEFT, OTHER, RIGHT, Tiling, unpack
 
 #: Pairs held at a time.
 PAIRS = 1 << 19
@@ -438,6 +438,10 @@ class Sums:
         left = of(LEFT)
         if not len(left):
             return
+        if key[0] < 0:  # points without a place meet none
+            if task.both:
+                self.add_alone(w[..., left])
+            return
         u = self.relative(x, key[0], shift)
         own = key[1] == key[2] and task.both
         met = of(RIGHT), of(OTHER)
@@ -489,39 +493,43 @@ class Sums:
         return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(sep[some]), pa.array(w[some])], names=["bin", "npairs", "sum_sep", "sum_w"])
 
 
-def counted(task: Task):
-    """The function for ``mapInArrow`` over ``tile, i, j, role, shift, x, y, z[, w]``."""
+def counted(task: Task, is_packed: bool):
+    """The function for ``mapInArrow`` over rows of ``tiles.packed_groups``, or of ``tiles.groups``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(task)
-        held: list[list[np.ndarray]] = []
+        held: list[tuple] = []
         last = None
 
-        def weights(b: pa.RecordBatch) -> np.ndarray:
-            if not task.weigh:
-                return np.zeros((b.num_rows, 0))
-            column = b.column(8)
-            if not task.arrays:
-                return column.to_numpy(zero_copy_only=False)[:, None]
-            return np.array(column.to_pylist(), float).reshape(b.num_rows, -1)
+        def packed(b: pa.RecordBatch, lo: int, hi: int) -> Iterator[tuple]:
+            for k in range(lo, hi):
+                role, shift, v = unpack(b.column(3)[k].as_buffer(), 4 if task.weigh else 3)
+                yield role, shift, v[:3].T, v[3] if task.weigh else np.zeros(0)
+
+        def plain(b: pa.RecordBatch, lo: int, hi: int) -> Iterator[tuple]:
+            some = b.slice(lo, hi - lo)
+            if task.arrays:
+                w = np.array(some.column(8).to_pylist(), float).reshape(hi - lo, -1)
+            else:
+                w = some.column(8).to_numpy(zero_copy_only=False) if task.weigh else np.zeros(0)
+            yield some.column(3).to_numpy(), some.column(4).to_numpy(), np.stack([some.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7)], 1), w
 
         def close():
             role, shift, x, w = (np.concatenate(v) for v in zip(*held))
-            sums.group(last, role, shift, x, w.T if task.arrays else w.T[0] if task.weigh else np.zeros(len(role)))
+            held.clear()
+            sums.group(last, role, shift.astype(np.int64), x, w.T if task.arrays else w if task.weigh else np.zeros(len(role)))
 
         for b in batches:
             if not b.num_rows:
                 continue
-            head = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)])
-            row = [b.column(3).to_numpy(), b.column(4).to_numpy(), np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7)], 1), weights(b)]
+            head = np.stack([b.column(i).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
             edge = np.flatnonzero((head[:, 1:] != head[:, :-1]).any(axis=0)) + 1
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), b.num_rows]):
                 key = tuple(head[:, lo].tolist())
                 if last is not None and key != last:
                     close()
-                    held = []
                 last = key
-                held.append([v[lo:hi] for v in row])
+                held.extend((packed if is_packed else plain)(b, lo, hi))
         if last is not None:
             close()
         yield sums.rows()

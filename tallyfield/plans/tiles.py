@@ -7,7 +7,10 @@ tile needs then stands in one group, and no join is left: the pairs of a group a
 found by ``plans.kernel``.
 
 Tiles are several reaches wide where memory allows, as copies are few then: at
-three reaches 1.8 for each point of one set, at one reach 13.
+four reaches 1.2 for each point of one set, at one reach 13.
+
+Points are shuffled as packed arrays of many, not as rows: bytes of like weight
+stand together, so that exponents and tile numbers take next to nothing on disk.
 
 A tile with more than ``CHUNK`` points is cut into chunks by a hash of their ids,
 and its pairs of chunks are groups of their own, so that no group grows with the
@@ -19,22 +22,27 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyfield.plans.points import Extent
 
 #: Points of a tile on average where the reach doesn't make it wider, and of a chunk at most.
-TILE, CHUNK = 4096, 262_144
+TILE, CHUNK = 4096, 524_288
 #: Points of a chunk of which smaller ones aren't made for parallelism.
 LEAST_CHUNK = 16_384
 #: Rows of a tile on average, copies too, up to which it is made wider than the reach, and by how much.
-ROWS, WIDER = 300_000, (3, 2, 1.5, 1)
+ROWS, WIDER = 600_000, (4, 3, 2, 1.5, 1)
 #: Hot tiles of which the list is broadcast; their number is bounded by that of the points over ``CHUNK``.
-BROADCAST = 100_000
+BROADCAST = 50_000
 #: Rows that a task gets on average at most.
 TASK_ROWS = 200_000
+#: Rows that are packed at a time.
+PACKED = 1 << 17
 #: A group's rows: left points, right points of the same set, other right points.
 LEFT, RIGHT, OTHER = 0, 1, 2
 
@@ -113,6 +121,35 @@ class Tiling:
             below, above = f"{below} and {k} > 0", f"{above} and {k} < {self.n[i] - 1}"
         return [f"{k} AS __k{i}", f"{below} AS __a{i}", f"{above} AS __b{i}"]
 
+    def places(self, x: np.ndarray, copies: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``dealt`` of points in an array: the place of each row's point, its tile and its shift."""
+        lost = np.isnan(x).any(axis=0)
+        k, near = [], []
+        for i, c in enumerate(x):
+            v = np.where(lost, 0.0, c - self.origin[i])
+            if self.wrap[i] is not None:
+                v = np.mod(v, self.wrap[i])
+            tile = np.clip(np.floor(v / self.size[i]), 0, self.n[i] - 1).astype(np.int64)
+            v -= tile * self.size[i]
+            below, above = v <= self.reach[i], v >= self.size[i] - self.reach[i]
+            if self.wrap[i] is None:
+                below, above = below & (tile > 0), above & (tile < self.n[i] - 1)
+            k.append(tile)
+            near.append({-1: below & ~lost, 1: above & ~lost})
+        found = []
+        for way in itertools.product((-1, 0, 1), repeat=3):
+            if way != (0, 0, 0) and not (copies == "all" or (copies == "half" and way < (0, 0, 0))):
+                continue
+            reached = [near[i][d] for i, d in enumerate(way) if d]
+            at = np.flatnonzero(np.logical_and.reduce(reached)) if reached else np.arange(x.shape[1])
+            key = np.zeros(len(at), np.int64)
+            for i, d in enumerate(way):
+                key = key * self.n[i] + (k[i][at] + d) % self.n[i]
+            if not reached:
+                key[lost] = -1
+            found.append((at, key, np.full(len(at), sum((d + 1) * 3 ** (2 - i) for i, d in enumerate(way)))))
+        return tuple(np.concatenate(v) for v in zip(*found))
+
     def dealt(self, points: DataFrame, columns: list[str], copies: str) -> DataFrame:
         """``tile, shift`` and the columns: a row for the own tile (shift 13) and for each copy.
 
@@ -141,6 +178,124 @@ def chunk_size(n: int, cores: int) -> int:
     return min(CHUNK, max(LEAST_CHUNK, math.ceil(n / (4 * math.sqrt(cores)))))
 
 
+SCHEMA = "tile long, i int, j int, data binary"
+
+
+def packed_rows(head: np.ndarray, body: np.ndarray) -> pa.RecordBatch:
+    """``tile, i, j, data``, one row for all points of a group: ``head`` is tile, i, j, role and shift of points, ``body`` their doubles."""
+    order = np.lexsort(head[::-1])
+    head = head[:, order]
+    first = np.flatnonzero(np.r_[True, (head[:3, 1:] != head[:3, :-1]).any(axis=0)])
+    code = (head[3] * 27 + head[4]).astype(np.uint8)
+    # for each column the first bytes of all points, then the second ones
+    found = [(code[p:q], np.ascontiguousarray(body[:, order[p:q]]).view(np.uint8).reshape(len(body), q - p, 8).transpose(0, 2, 1)) for p, q in zip(first, np.r_[first[1:], len(order)])]
+    data = pa.array([c.tobytes() + v.tobytes() for c, v in found], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(head[0, first]), *(pa.array(v[first].astype(np.int32)) for v in head[1:3]), data], names=["tile", "i", "j", "data"])
+
+
+def columns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of about ``PACKED`` rows at a time; nulls are NaN, in whole numbers -1."""
+
+    def arrays(held: list[pa.RecordBatch]) -> list[np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        return [(c if pa.types.is_floating(c.type) else c.fill_null(-1)).to_numpy() for c in table.columns]
+
+    held, rows = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows >= PACKED:
+            yield arrays(held)
+            held, rows = [], 0
+    if rows:
+        yield arrays(held)
+
+
+def packed_groups(tiling: Tiling, a: DataFrame, b: DataFrame | None, columns: list[str], n: int, partitions: int, chunk: int) -> DataFrame:
+    """The groups of ``groups`` as rows of ``packed_rows``, dealt in NumPy.
+
+    The hot tiles, which ``BROADCAST`` bounds, are gathered by a pass of its own.
+    A point without a place (a null coordinate) is in tile -1.
+    """
+    one_set = b is None
+    sets = [(a, LEFT, "half" if one_set else "none"), *([] if one_set else [(b, OTHER, "all")])]
+    hot = np.zeros((3, 0), np.int64)
+    if n > chunk:
+
+        def sizes(own: int, copies: str):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = np.zeros((3, 0), np.int64)
+                for xyz in columns_of(batches):
+                    _, tile, shift = tiling.places(np.stack(xyz), copies)
+                    left = (shift == 13) & (own == LEFT)
+                    tiles, at = np.unique(np.r_[total[0], tile], return_inverse=True)
+                    now = [np.bincount(at, np.r_[t, v], len(tiles)) for t, v in zip(total[1:], (left, ~left))]
+                    total = np.stack([tiles, *now]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, total)), names=["tile", "lefts", "others"])
+
+            return run
+
+        found = None
+        for points, own, copies in sets:
+            part = points.select("x", "y", "z").mapInArrow(sizes(own, copies), "tile long, lefts long, others long")
+            found = part if found is None else found.unionByName(part)
+        parts = [f"int(ceil(greatest(sum({c}), 1) / {chunk})) AS {c}" for c in ("lefts", "others")]
+        rows = found.groupBy("tile").agg(*map(F.expr, parts)).where("lefts > 1 or others > 1").collect()
+        hot = np.array(sorted(map(tuple, rows)), np.int64).reshape(-1, 3).T
+
+    def dealer(own: int, copies: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for *values, ids in columns_of(batches):
+                body = np.stack(values)
+                at, tile, shift = tiling.places(body[:3], copies)
+                role = np.where(shift == 13, own, OTHER)
+                head = np.stack([tile, np.zeros_like(tile), np.zeros_like(tile), role, shift])
+                if hot.shape[1]:
+                    head, at = chunks(head, at, ids, hot, one_set)
+                yield packed_rows(head, body[:, at])
+
+        return run
+
+    dealt = None
+    for points, own, copies in sets:
+        part = points.select(*columns, "id").mapInArrow(dealer(own, copies), SCHEMA)
+        dealt = part if dealt is None else dealt.unionByName(part)
+    return dealt.repartition(partitions, "tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+
+
+def chunks(head: np.ndarray, at: np.ndarray, ids: np.ndarray, hot: np.ndarray, one_set: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``head`` and the places ``at`` of its points with points of hot tiles once for each pair of chunks that they are in."""
+    place = np.minimum(np.searchsorted(hot[0], head[0]), hot.shape[1] - 1)
+    is_hot = hot[0, place] == head[0]
+    rest, some, place = np.flatnonzero(~is_hot), np.flatnonzero(is_hot), place[is_hot]
+    lefts, others, left = hot[1, place], hot[2, place], head[3, some] == LEFT
+    mixed = ids[at[some]].astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    c = (mixed % np.where(left, lefts, others).astype(np.uint64)).astype(np.int64)
+    # a left chunk meets every chunk of copies, and as right points the left ones of later chunks of its own set
+    met = np.maximum(lefts, others) if one_set else others
+    times = np.where(left, met + (c if one_set else 0), lefts)
+    row = np.repeat(np.arange(len(some)), times)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    some, left, met, c = some[row], left[row], met[row], c[row]
+    spread = head[:, some]
+    spread[1] = np.where(left, np.where(k < met, c, k - met), k)
+    spread[2] = np.where(left & (k < met), k, c)
+    spread[3] = np.where(left & (k >= met), RIGHT, spread[3])
+    return np.concatenate([head[:, rest], spread], axis=1), np.r_[at[rest], at[some]]
+
+
+def unpack(data: bytes, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Roles, shifts and doubles (columns, points) of a row of ``packed_rows``."""
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw) // (1 + 8 * columns)
+    role, shift = np.divmod(raw[:n], 27)
+    return role, shift, np.ascontiguousarray(raw[n:].reshape(columns, 8, n).transpose(0, 2, 1)).view(float)[..., 0]
+
+
 def groups(tiling: Tiling, a: DataFrame, b: DataFrame | None, columns: list[str], n: int, partitions: int, chunk: int | None = None) -> DataFrame:
     """``tile, i, j, role, shift`` and the columns, dealt and sorted by group ``(tile, i, j)``.
 

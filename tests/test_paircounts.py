@@ -1,8 +1,10 @@
 """Pair counts against brute force, and against published example results."""
 
+import dataclasses
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +307,25 @@ def test_blocks_count_as_pairs_do(kind, weights, corner, monkeypatch):
     assert np.allclose(a.sep, b.sep) and np.allclose(a.w, b.w) and np.isclose(a.alone_w, b.alone_w)
 
 
+def test_shuffled_points_are_packed(spark):
+    rng = np.random.RandomState(4)
+    p = rng.rand(4000, 3) * 100
+    df = frame(spark, p, rng.rand(4000)).unionByName(spark.createDataFrame([(4000, None, 1.0, 1.0, 1.0)], "id long, x double, y double, z double, w double")).coalesce(1)
+    # 54 million points and a reach of 4, as at 6 GB
+    tiling = tiles.Tiling.plan(Extent(54 * 10**6, (0.0,) * 3, (100.0,) * 3, 0.0, 0.0), (4.0,) * 3, (100.0,) * 3, 64)
+    rows = tiles.packed_groups(tiling, df, None, ["x", "y", "z", "w"], 4001, 8, 10**6).collect()
+    found = [(r.tile, *v) for r in rows for role, shift, x in [tiles.unpack(r.data, 4)] for v in zip(role, shift, x.T.tolist())]
+    assert sum(shift == 13 for _, _, shift, _ in found) == 4001 and [x[1:] for tile, *_, x in found if tile < 0] == [[1.0, 1.0, 1.0]]
+    # fewer than 2.2 rows a point, and those of three coordinates in 24 bytes as the shuffle writes them, tile and all; rows took 27 before
+    assert len(found) < 2.2 * 4001
+    rows = tiles.packed_groups(dataclasses.replace(tiling, n=(2, 2, 2), size=(50.0,) * 3), df, None, ["x", "y", "z"], 4001, 8, 10**6).collect()
+    raw = b"".join(bytes(r.data) for r in rows)
+    assert len(pa.compress(raw, "lz4", asbytes=True)) < 22 * len(raw) / 25
+    # the same points and copies, hot tiles cut or not, as rows dealt in SQL
+    want = sorted((r.tile, r.role, r.shift, r.x, r.y, r.z, r.w) for r in tiles.groups(tiling, df, None, ["x", "y", "z", "w"], 4001, 8, 10**6).where("x is not null").collect())
+    assert want == sorted((tile, int(role), int(shift), *x) for tile, role, shift, x in found if tile >= 0)
+
+
 def test_more_published_examples(spark):
     rng = np.random.RandomState(42)
     p = frame(spark, np.stack([rng.uniform(0, 420.0, 100_000) for _ in range(3)], 1))
