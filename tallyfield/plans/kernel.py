@@ -9,7 +9,10 @@ doesn't depend on how many pairs there are.
 Where many points are in reach, blocks of left points near one another meet all
 right points in reach of the block at once, as rows and columns of arrays that
 stay in the cache.  Nothing is gathered by pair then, and bins of ``Binned``
-metrics are counts of comparisons.  Both ways do the same arithmetic.
+metrics are counts of comparisons.  Those are made in single precision, on one
+product of matrices around the middle of the block; pairs nearer to an edge than
+its error are looked at again in double precision, with the arithmetic of single
+pairs, so both ways give the same counts.
 """
 
 from __future__ import annotations
@@ -26,7 +29,10 @@ from tallyfield.plans.tiles import LEFT, OTHER, RIGHT, Tiling, unpack
 #: Pairs held at a time.
 PAIRS = 1 << 19
 #: Right points in the box around a left point from which on blocks meet; points of a block, about and at most; pairs of a block's step.
-DENSE, BLOCK, MOST, STEP = 300, 64, 192, 1 << 16
+DENSE, BLOCK, MOST, STEP = 300, 128, 384, 1 << 16
+
+#: Bound of the relative error of a product of matrices in single precision, of rows of five, with that of its factors.
+SINGLE = 10 * 2.0**-24
 
 #: From the separations along the axes, or from six coordinates: places of the pairs that count, their bin, their separation.
 Metric = Callable[..., tuple[np.ndarray, np.ndarray, Callable[[], np.ndarray]]]
@@ -37,7 +43,7 @@ class Binned:
     """A metric by rising edges of one value, which blocks can take as counts of comparisons.
 
     ``kind``: the value is the ``square`` of the separation, that ``across`` the z
-    axis, or the ``dot`` product with the sign changed.  ``layers``: number of bins
+    axis, or the ``dot`` product of two directions with the sign changed.  ``layers``: number of bins
     along z, their inverse width and the height.
     """
 
@@ -186,6 +192,7 @@ class Columns:
         self.u, self.cell, column = u[self.order], self.cell[self.order], column[self.order]
         self.z = self.u[:, 2] - low[2]
         self.across = np.ascontiguousarray(self.u.T)
+        self.single = self.across.astype(np.float32)
         #: Column and z as one number.
         self.key = column * height + self.z
 
@@ -198,6 +205,54 @@ class Columns:
         return first, np.r_[first[1:], size]
 
 
+def heights(bins: int, scale: float, height: float) -> list[float]:
+    """The least values that times ``scale`` are 1, 2 and so on, and the height."""
+    out = []
+    for j in range(1, bins):
+        t = j / scale
+        while t * scale >= j:
+            t = np.nextafter(t, 0.0)
+        while t * scale < j:
+            t = np.nextafter(t, np.inf)
+        out.append(min(float(t), height))
+    return [*out, height]
+
+
+class Rough:
+    """Squared separations of a block's points and others as one product of matrices in single precision, and what each edge may be off by.
+
+    Positions are taken from the middle of the block, so that numbers are no
+    larger than what is in reach; separations are divided by the largest.
+    """
+
+    def __init__(self, axes: int, limits: np.ndarray, wrap, x: np.ndarray, y: np.ndarray):
+        self.axes = axes
+        centre = (x.min(axis=1) + x.max(axis=1))[:axes, None] / 2
+        p, q = (v[:axes] - centre for v in (x, y))
+        far = np.abs(centre).max()
+        for v, length in zip(q, wrap):
+            if length is not None:
+                far = max(far, length)
+                if v.max() > length / 2 or v.min() < -length / 2:
+                    v -= length * np.round(v / length)
+        p2, q2 = (np.einsum("ij,ij->j", v, v) for v in (p, q))
+        scale = 1 / ((np.sqrt(p2.max()) + np.sqrt(q2.max())) or 1.0)
+        self.left, self.right = np.ones((p.shape[1], axes + 2), np.float32), np.ones((axes + 2, q.shape[1]), np.float32)
+        self.left[:, :axes], self.right[:axes] = p.T * scale, q * (-2 * scale)
+        self.left[:, axes], self.right[axes + 1] = p2 * scale**2, q2 * scale**2
+        self.double = (p, p2), (q, q2)
+        # directions are a little off the length of 1
+        error, limits = SINGLE + 2.0**-48 * (far * scale + scale**2), limits * scale**2
+        self.around = list(zip(np.nextafter((limits - error).astype(np.float32), np.float32(-np.inf)), np.nextafter((limits + error).astype(np.float32), np.float32(np.inf))))
+
+    def exact(self, some: slice, out: np.ndarray) -> np.ndarray:
+        """Squared separations from some right points, in double precision."""
+        (p, p2), (q, q2) = self.double
+        left = np.stack([*p, p2, np.ones(len(p2))], axis=1)
+        right = np.stack([*(-2 * q[:, some]), np.ones(out.shape[1]), q2[some]])
+        return np.maximum(np.matmul(left, right, out=out), 0.0, out=out)
+
+
 class Sums:
     """Pairs, separations and weights by bin."""
 
@@ -208,6 +263,12 @@ class Sums:
         #: Points that count with themselves, and their weights.
         self.alone, self.alone_w = 0, 0.0
         self.held: dict[str, np.ndarray] = {}
+        #: Heights below which a pair is in the first layer, the first two and so on.
+        self.by_edges = isinstance(task.metric, Binned) and task.weigh in (None, pair_product)
+        self.heights = heights(*task.metric.layers) if self.by_edges and task.metric.layers else []
+        if self.by_edges:
+            #: The edges as squared separations.
+            self.limits = np.array(task.metric.edges) * (2 if task.metric.kind == "dot" else 1) + (2 if task.metric.kind == "dot" else 0)
 
     def relative(self, x: np.ndarray, tile: int, shift: np.ndarray) -> np.ndarray:
         """Places in the tile: from 0 to its size for its own points, beyond that for copies."""
@@ -273,11 +334,8 @@ class Sums:
         first, end = left.blocks()
         bounds = [(np.minimum.reduceat(v, first) - o, np.maximum.reduceat(v, first) - o) for v, o in zip(left.u.T[:2], low)]
         step = int(np.ceil(radius / size)) + 1
-        away = lambda way: sum(max(0, abs(d) - 1) ** 2 for d in way)
         ways = [(dx, dy) for dx in range(-step, step + 1) for dy in range(-step, step + 1) if not half or (dx, dy) >= (0, 0)]
-        # columns from near to far, and the least squared distance between points of two of them
-        ways = sorted(ways, key=lambda way: (away(way), way))
-        least = np.array([away(way) for way in ways]) * size**2 * (1 - 1e-9)
+        ways = [way for way in ways if sum(max(0, abs(d) - 1) ** 2 for d in way) * size**2 * (1 - 1e-9) <= radius * radius]
         if half:
             at = np.arange(len(left.u))
             rest = np.repeat(end, end - first) - at - 1
@@ -312,36 +370,26 @@ class Sums:
                 length = length[found]
                 ends = np.cumsum(length)
                 b = np.arange(ends[-1]) + np.repeat(lo[k, found] - ends + length, length)
+                mine = slice(p[k], q[k])
+                if self.by_edges:
+                    self.block_by_edges(left.u[mine], x[:, mine], w[..., mine], right, b, xr, wr)
+                    continue
                 # columns reach beyond the corners of what the block can reach
                 gap2 = 0.0
                 for v, far in zip(left.u.T[:axes], right.across):
-                    own, far = v[p[k] : q[k]], far[b]
+                    own, far = v[mine], far[b]
                     gap2 = gap2 + np.square(far - np.clip(far, own.min(), own.max()))
-                kept = np.flatnonzero(gap2 <= radius * radius)
-                b = b[kept]
-                self.block(x[:, p[k] : q[k]], w[..., p[k] : q[k]], xr[:, b], wr[..., b], np.searchsorted(kept, ends), least[found])
+                b = b[gap2 <= radius * radius]
+                self.block(x[:, mine], w[..., mine], xr[:, b], wr[..., b])
 
-    def block(self, x, w, xr, wr, ends, least) -> None:
-        """Every left point against every right one, a step of columns at a time; ``least``: bounds of the values up to ``ends``."""
+    def block(self, x, w, xr, wr) -> None:
+        """Every left point against every right one, a step of columns at a time."""
         task, m = self.task, x.shape[1]
-        by_edges = isinstance(task.metric, Binned)
         wide = max(1, STEP // m)
-        low, high = x.min(axis=1), x.max(axis=1)
         for begin in range(0, xr.shape[1], wide):
             y, wy = xr[:, begin : begin + wide], wr[..., begin : begin + wide]
-            k, along = y.shape[1], None
-            images = [length is not None and max(b - v.min(), v.max() - a) > length / 2 for length, a, b, v in zip(task.tiling.wrap, low, high, y)]
-            if not by_edges:
-                found = task.metric(*(np.repeat(v, k) for v in x), *(np.tile(v, m) for v in y)) if task.coordinates else task.metric(*(self.axis(i, x, y, images, True).ravel() for i in range(3)))
-            else:
-                if task.coordinates:
-                    value = self.products(x, y)
-                else:
-                    value, along = self.squares(x, y, images)
-                if not task.average and not task.weigh:
-                    self.compared(value, along, least[np.searchsorted(ends, begin, "right")] if not task.coordinates else -np.inf)
-                    continue
-                found = self.inside(value, along)
+            k = y.shape[1]
+            found = task.metric(*(np.repeat(v, k) for v in x), *(np.tile(v, m) for v in y)) if task.coordinates else task.metric(*(v.ravel() for v in self.axes(x, y)))
             kept, bins, separation = found
             if not len(kept):
                 continue
@@ -354,29 +402,142 @@ class Sums:
                 a, b = np.divmod(kept, k)
                 self.w += np.bincount(bins, np.broadcast_to(task.weigh(w[..., a], wy[..., b], *self.apart(x, y, a, b)), bins.shape), task.bins)
 
+    def block_by_edges(self, u, x, w, right: Columns, b, xr, wr) -> None:
+        """As ``block`` for a ``Binned`` metric, with right points (places ``b``) in runs for which the same edges are open.
+
+        By the box around the block, the pairs of a right point may all be under an
+        edge, or none; only the edges between need to be compared.
+        """
+        t, m = self.task.tiling, len(u)
+        span = [s + 2 * d for s, d in zip(t.size, t.reach)]
+        slack = 2.0**-20 * max(span) + 2.0**-46 * max(map(abs, t.origin))
+        axes, limits, tall = 2 if self.heights else 3, self.limits.astype(np.float32), np.array(self.heights, np.float32)
+        near, far = [], []
+        for i in range(3):
+            lo, hi = u[:, i].min(), u[:, i].max()
+            d = np.abs(right.single[i][b] - np.float32((lo + hi) / 2))
+            half = np.float32((hi - lo) / 2 + slack)
+            near.append(np.maximum(d - half, np.float32(0)))
+            far.append(d + half)
+
+        def passed(value, edges) -> np.ndarray:
+            n = np.zeros(len(value), np.uint8 if len(edges) < 256 else np.int32)
+            for e in edges:
+                n += value >= e
+            return n
+
+        edges, layers = len(limits), len(tall)
+        low, high = (passed(sum(v * v for v in side[:axes]), limits) for side in (near, far))
+        key, kept = low * np.int32(edges + 1) + high, low < edges
+        if layers:
+            low, high = passed(near[2], tall), passed(far[2], tall)
+            key = (key * (layers + 1) + low) * (layers + 1) + high
+            kept &= low < layers
+        kept = np.flatnonzero(kept)
+        if not len(kept):
+            return
+        key = key[kept]
+        order = np.argsort(key.astype(np.uint16) if (edges + 1) ** 2 * (layers + 1) ** 2 <= 1 << 16 else key, kind="stable")
+        key, b = key[order], b[kept[order]]
+        y, wy = xr[:, b], wr[..., b]
+        rough = Rough(axes, self.limits, t.wrap, x, y)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        low, z = np.divmod(key[first].astype(np.int64), (layers + 1) ** 2)
+        open_ = np.stack([*np.divmod(low, edges + 1), *np.divmod(z, layers + 1)], axis=1).tolist()
+        n, sums = np.zeros((edges, max(1, layers) + 1), np.int64), np.zeros((2, edges, max(1, layers) + 1))
+        wide = max(1, STEP // m)
+        begin, now = 0, open_[0]
+        for end, following in zip([*first[1:].tolist(), len(key)], [*open_[1:], None]):
+            if following and end - begin < wide // 2:  # short runs are taken together, with the edges of both open
+                now = [f(v) for f, v in zip((min, max, min, max), zip(now, following))]
+                continue
+            for at in range(begin, end, wide):
+                some = slice(at, min(at + wide, end))
+                self.run(rough, some, now, x, w, y[:, some], wy[..., some], n, sums)
+            begin, now = end, following
+        self.n += np.diff(np.diff(n, axis=0), axis=1).ravel()
+        sep, weight = np.diff(np.diff(sums, axis=1), axis=2).reshape(2, -1)
+        self.sep += sep
+        self.w += weight
+
+    def run(self, rough: Rough, some: slice, open_: list[int], x, w, y, wy, n, sums) -> None:
+        """Right points for which edges, and heights, are open from the first to the second number; all pairs are under those beyond.
+
+        Adds to numbers and sums under each edge and height.
+        """
+        task, shape = self.task, (x.shape[1], y.shape[1])
+        edge, all_edges, height, all_heights = open_
+        edges, layers = len(self.limits), max(1, len(self.heights))
+        value = np.matmul(rough.left, rough.right[:, some], out=self.room("rough", shape, np.float32)) if all_edges > edge else None
+        below = {}
+        if all_heights > height:
+            along = self.axis(2, x, y)
+            below = {j: np.less(along, self.heights[j], out=self.room(f"below {j}", shape, bool)) for j in range(height, all_heights)}
+        apart = None
+        if task.average:
+            apart = self.products(x, y) if task.metric.kind == "dot" else rough.exact(some, self.room("exact", shape))
+            apart = task.metric.apart(apart.ravel())
+        last, end = min(all_edges, edges - 1), min(all_heights, layers - 1)
+
+        def total(i: int, j: int, under, beneath) -> None:
+            # all edges from the last on have the same pairs under them
+            to = slice(i, None if i == last else i + 1), slice(j + 1, None if j == end else j + 2)
+            if under is None and beneath is None:
+                n[to] += shape[0] * shape[1]
+                if apart is not None:
+                    sums[0][to] += apart.sum()
+                if task.weigh:
+                    sums[1][to] += w.sum() * wy.sum()
+                return
+            mask = beneath if under is None else under if beneath is None else np.logical_and(under, beneath, out=self.room("both", shape, bool))
+            found = np.count_nonzero(mask)
+            n[to] += found
+            if not found or not (task.average or task.weigh):
+                return
+            ones = self.room("ones", shape)
+            ones[:] = mask
+            if apart is not None:
+                sums[0][to] += ones.ravel() @ apart
+            if task.weigh:
+                sums[1][to] += w @ (ones @ wy)
+
+        for i in range(edge, last + 1):
+            under = self.under(rough, i, value, x, y) if i < all_edges else None
+            for j in range(height, end + 1):
+                total(i, j, under, below.get(j))
+
+    def under(self, rough: Rough, i: int, value: np.ndarray, x, y) -> np.ndarray:
+        """The pairs under an edge."""
+        low, high = rough.around[i]
+        sure = np.less(value, low, out=self.room("under", value.shape, bool))
+        maybe = np.less(value, high, out=self.room("maybe", value.shape, bool))
+        if np.count_nonzero(maybe) != np.count_nonzero(sure):
+            at = np.flatnonzero(np.not_equal(sure, maybe, out=maybe))
+            a, b = np.divmod(at, value.shape[1])
+            if self.task.metric.kind == "dot":
+                exact = sum(-x[k][a] * y[k][b] for k in range(3))
+            else:
+                exact = sum(d * d for _, d in zip(range(rough.axes), self.apart(x, y, a, b)))
+            sure.ravel()[at] = exact < self.task.metric.edges[i]
+        return sure
+
     def room(self, name: str, shape: tuple[int, int], kind=float) -> np.ndarray:
         """An array that is used again and again."""
         if name not in self.held or self.held[name].size < shape[0] * shape[1]:
             self.held[name] = np.empty(max(STEP, shape[0] * shape[1]), kind)
         return self.held[name][: shape[0] * shape[1]].reshape(shape)
 
-    def axis(self, i: int, x, y, images, positive: bool) -> np.ndarray:
-        """Separations along an axis; where no image is nearer, with a sign unless ``positive``."""
+    def axis(self, i: int, x, y) -> np.ndarray:
+        """Separations along an axis, by the nearest image where it is periodic."""
         d = np.subtract(x[i][:, None], y[i], out=self.room(f"axis {i}", (x.shape[1], y.shape[1])))
-        if images[i] or positive:
-            np.abs(d, out=d)
-        return np.minimum(d, self.task.tiling.wrap[i] - d, out=d) if images[i] else d
-
-    def squares(self, x, y, images) -> tuple[np.ndarray, np.ndarray | None]:
-        """The value of a ``Binned`` metric, and separations along z where it has layers."""
-        metric = self.task.metric
-        value = self.axis(0, x, y, images, False)
-        value *= value
-        for i in (1,) if metric.layers else (1, 2):
-            d = self.axis(i, x, y, images, False)
-            d *= d
-            value += d
-        return value, self.axis(2, x, y, images, True) if metric.layers else None
+        np.abs(d, out=d)
+        length = self.task.tiling.wrap[i]
+        if length is not None and max(x[i].max() - y[i].min(), y[i].max() - x[i].min()) > length / 2:
+            np.minimum(d, length - d, out=d)
+        return d
+
+    def axes(self, x, y) -> Iterator[np.ndarray]:
+        return (self.axis(i, x, y) for i in range(3))
 
     def products(self, x, y) -> np.ndarray:
         """Dot products with the sign changed."""
@@ -386,44 +547,6 @@ class Sums:
             value += np.multiply(-x[i][:, None], y[i], out=self.room("axis 1", shape))
         return value
 
-    def compared(self, value: np.ndarray, along: np.ndarray | None, least: float) -> None:
-        """Counts by bin, from how many values are under each edge; none is under ``least``."""
-        metric, under = self.task.metric, self.room("under", value.shape, bool)
-        if along is None:
-            self.n += np.diff([np.count_nonzero(np.less(value, e, out=under)) if e > least else 0 for e in metric.edges])
-            return
-        bins, scale, height = metric.layers
-        below = [along < height]
-        if bins > 1:
-            scaled = np.multiply(along, scale, out=self.room("scaled", along.shape))
-            below = [*((scaled < j) & below[0] for j in range(1, bins)), below[0]]
-        both, n = self.room("both", value.shape, bool), np.zeros((len(metric.edges), bins + 1), np.int64)
-        for i, e in enumerate(metric.edges):
-            if e <= least:
-                continue
-            np.less(value, e, out=under)
-            for j, b in enumerate(below):
-                n[i, j + 1] = np.count_nonzero(np.logical_and(under, b, out=both))
-        self.n += np.diff(np.diff(n, axis=0), axis=1).ravel()
-
-    def inside(self, value: np.ndarray, along: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, Callable[[], np.ndarray]]:
-        """As ``Metric``, with bins by comparisons."""
-        metric = self.task.metric
-        keep = (value >= metric.edges[0]) & (value < metric.edges[-1])
-        if along is not None:
-            keep &= along < metric.layers[2]
-        kept = np.flatnonzero(keep)
-        value = value.ravel()[kept]
-        bins = np.zeros(len(kept), np.int8 if self.task.bins < 128 else np.int32)
-        for e in metric.edges[1:-1]:
-            bins += (value >= e).view(np.int8)
-        if along is not None and metric.layers[0] > 1:
-            scaled = along.ravel()[kept] * metric.layers[1]
-            bins *= metric.layers[0]
-            for j in range(1, metric.layers[0]):
-                bins += (scaled >= j).view(np.int8)
-        return kept, bins, lambda: metric.apart(value)
-
     def apart(self, x, xr, a, b) -> Iterator[np.ndarray]:
         """Separations along the axes, by the nearest image where they are periodic."""
         for i in range(3):

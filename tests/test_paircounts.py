@@ -326,6 +326,36 @@ def test_shuffled_points_are_packed(spark):
     assert want == sorted((tile, int(role), int(shift), *x) for tile, role, shift, x in found if tile >= 0)
 
 
+@pytest.mark.parametrize("kind", ["ball", "layers"])
+def test_pairs_on_edges_count_exactly(kind, monkeypatch):
+    # separations that are edges, and nearer to them than single precision can tell
+    metric, bins, reach = counter(kind)
+    rng = np.random.RandomState(6)
+    x = 1e3 + rng.randint(0, 32, (2000, 3)) / 4 + rng.choice([0.0, 1e-12, 1e-9], (2000, 3))
+    tiling = tiles.Tiling((1e3,) * 3, (8.0,) * 3, (1,) * 3, (None,) * 3, tuple(r * (1 + 1e-9) for r in reach))
+    task = kernel.Task(tiling, kernel.Reach(kind == "ball"), metric, bins, False, True, pair_product, False, True, False)
+    w, found = rng.rand(2000), []
+    for least in (0, np.inf):
+        monkeypatch.setattr(kernel, "DENSE", least)
+        found.append(sums := kernel.Sums(task))
+        sums.group((0, 0, 0), np.full(2000, tiles.LEFT), np.full(2000, 13), x, w)
+    a, b = found
+    assert (a.n == b.n).all() and np.allclose(a.sep, b.sep, rtol=1e-12) and np.allclose(a.w, b.w, rtol=1e-12)
+
+
+def test_only_open_edges_are_compared(monkeypatch):
+    # of 7 edges a pair is compared with those that its block leaves open
+    rng = np.random.RandomState(7)
+    x = rng.rand(20_000, 3) * 9
+    tiling = tiles.Tiling((0.0,) * 3, (9.0,) * 3, (1,) * 3, (None,) * 3, (4.0 * (1 + 1e-9),) * 3)
+    seen = []
+    whole = kernel.Sums.under
+    monkeypatch.setattr(kernel.Sums, "under", lambda self, rough, i, value, x, y: seen.append(value.size) or whole(self, rough, i, value, x, y))
+    sums = kernel.Sums(kernel.Task(tiling, kernel.Reach(), theory._radial([0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0]), 6, False, False, None, False, True, False))
+    sums.group((0, 0, 0), np.full(20_000, tiles.LEFT), np.full(20_000, 13), x, np.zeros(20_000))
+    assert sums.n.sum() > 3e7 and sum(seen) < 6 * sums.n.sum()
+
+
 def test_more_published_examples(spark):
     rng = np.random.RandomState(42)
     p = frame(spark, np.stack([rng.uniform(0, 420.0, 100_000) for _ in range(3)], 1))
