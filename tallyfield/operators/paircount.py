@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyfield.functions.weights import weight_function
 from tallyfield.plans.kernel import Metric, Reach, Task, counted
 from tallyfield.plans.points import Extent
-from tallyfield.plans.tiles import BROADCAST, TASK_ROWS, Tiling, chunk_size, groups, packed_groups, wrap_lengths
+from tallyfield.plans.tiles import BROADCAST, MET, ROUND, ROUND_TILES, TASK_ROWS, Box, Tiling, chunk_size, groups, hot_tiles, packed_groups, wrap_lengths
 
 
 @dataclass(frozen=True)
@@ -41,17 +44,46 @@ def lattice(xbin_refine_factor: int = 2, ybin_refine_factor: int = 2, zbin_refin
     return Lattice((xbin_refine_factor, ybin_refine_factor, zbin_refine_factor), max_cells_per_dim, enable_min_sep_opt)
 
 
+@contextlib.contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """A query made and run within leaves no shuffle files behind."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def rounds(tiling: Tiling, first: Extent, second: Extent | None, columns: int, ball: bool, cores: int) -> list[Box]:
+    """Boxes of tiles, one where reading the points again would cost much beside their pairs."""
+    n = first.n + (second.n if second else 0)
+    size = 8 * columns * (first.n * (1 + tiling.copies() / 2) if second is None else first.n + second.n * (1 + tiling.copies()))
+    x, y, z = tiling.reach
+    reached = x * y * z * (4 / 3 if ball else 2) * math.pi
+    density = (second or first).n / math.prod(s * k for s, k in zip(tiling.size, tiling.n))
+    # met by a point of either set, on average
+    met = density * reached * first.n / n
+    return tiling.boxes(math.ceil(size / ROUND), int(min(met / MET, math.prod(tiling.n) / (ROUND_TILES * cores))))
+
+
 def count_pairs(a: DataFrame, b: DataFrame | None, reach: tuple[float, float, float], metric: Metric, shape: tuple[int, ...], *, ball: bool = True, periodic: bool = False, boxsize=None, weight_type=None, average: bool = False, domain=None, coordinates: bool = False, cells: Lattice = Lattice(), self_pairs: bool = False) -> Counts:
     """``bin0, bin1, npairs, sum_sep, sum_w``; ``shape`` is the number of either kind of bins.
 
     One set's pairs count in both orders; with ``self_pairs`` each point counts
     with itself in the first bin.  Two sets' pairs count once each.  Sums that
     aren't asked for are zero.  Points are read once for their extent, once for
-    the points of tiles where there are many, and once for the pairs.
+    the points of tiles where there are many, and once for the pairs of each round.
+    Pairs are counted at once, and no shuffle files of them stay.
     """
     spark = a.sparkSession
-    first = Extent.of(a)
-    second = first if b is None else Extent.of(b)
+    with without_shuffle_files(spark):
+        first = Extent.of(a)
+        second = first if b is None else Extent.of(b)
     both = first if b is None else first | second
     weigh = weight_function(weight_type)
     inner = shape[1] if len(shape) > 1 else 1
@@ -72,11 +104,20 @@ def count_pairs(a: DataFrame, b: DataFrame | None, reach: tuple[float, float, fl
     partitions = max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
     chunk = chunk_size(n, cores)
     packed = not arrays and 27 * n / chunk <= BROADCAST
-    dealt = (packed_groups if packed else groups)(tiling, a, b, columns, n, partitions, chunk)
     task = Task(tiling, Reach(ball, cells.bin_refine_factors, cells.max_cells_per_dim, cells.enable_min_sep_opt), metric, shape[0] * inner, coordinates, average, weigh, arrays, b is None, self_pairs and b is None)
-    found = dealt.mapInArrow(counted(task, packed), "bin int, npairs long, sum_sep double, sum_w double")
-    table = found.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("npairs", "sum_sep", "sum_w")])
-    return Counts(table.selectExpr(f"bin div {inner} AS bin0", f"bin % {inner} AS bin1", "npairs", "sum_sep", "sum_w"), first, second)
+    boxes = rounds(tiling, first, None if b is None else second, len(columns), ball, cores)
+    with without_shuffle_files(spark):
+        hot = hot_tiles(tiling, a, b, n, chunk) if packed else None
+    sums: dict[int, tuple] = {}
+    for box in boxes:
+        only = box if len(boxes) > 1 else None
+        with without_shuffle_files(spark):
+            dealt = packed_groups(tiling, a, b, columns, n, partitions, chunk, hot, only) if packed else groups(tiling, a, b, columns, n, partitions, chunk, only)
+            found = dealt.mapInArrow(counted(task, packed), "bin int, npairs long, sum_sep double, sum_w double")
+            for k, *v in found.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("npairs", "sum_sep", "sum_w")]).collect():
+                sums[k] = tuple(map(sum, zip(sums[k], v))) if k in sums else tuple(v)
+    rows = [(*divmod(k, inner), *v) for k, v in sorted(sums.items())]
+    return Counts(spark.createDataFrame(rows, "bin0 int, bin1 int, npairs long, sum_sep double, sum_w double"), first, second)
 
 
 def dense(counts: DataFrame, edges: list[float], names: tuple[str, str, str], weights: bool, inner: tuple[str, list[float]] | None = None) -> DataFrame:

@@ -16,6 +16,10 @@ A tile with more than ``CHUNK`` points is cut into chunks by a hash of their ids
 and its pairs of chunks are groups of their own, so that no group grows with the
 densest place of the data.  Its own points and copies are cut each by their own
 number.
+
+Where a point meets many others, tiles may be taken in rounds, a box of tiles at a
+time.  Each round reads all points again and shuffles those that its tiles need,
+so that shuffle files on disk are those of one round.
 """
 
 from __future__ import annotations
@@ -43,6 +47,10 @@ BROADCAST = 50_000
 TASK_ROWS = 200_000
 #: Rows that are packed at a time.
 PACKED = 1 << 17
+#: Bytes of points that a round shuffles at most where there can be rounds enough, and rounds at most.
+ROUND, MOST_ROUNDS = 200_000_000, 64
+#: Points that a point meets for each round, so that reading again costs little beside them, and a round's tiles for each core.
+MET, ROUND_TILES = 400, 3
 #: A group's rows: left points, right points of the same set, other right points.
 LEFT, RIGHT, OTHER = 0, 1, 2
 
@@ -63,6 +71,14 @@ def wrap_lengths(extent: Extent, boxsize, periodic: bool) -> tuple[float | None,
     return tuple(None if s == -1 else float(s) if s > 0 else hi - lo for s, lo, hi in zip(sizes, extent.low, extent.high))
 
 
+@dataclass(frozen=True)
+class Box:
+    """Tiles from the first to before the last on each axis."""
+
+    first: tuple[int, int, int]
+    last: tuple[int, int, int]
+
+
 @dataclass(frozen=True)
 class Tiling:
     """Origin, size and number of tiles on each axis, its length where it is periodic, and the reach.
@@ -87,10 +103,43 @@ class Tiling:
             wide.append(r * (1 + 1e-9) + 1e-14 * max(abs(lo), abs(hi), span[-1]))
         for times in WIDER:
             n = Tiling._cuts(span, [max(1, int(min(s / (times * r), 2**20))) for s, r in zip(span, wide)], float(max(least, extent.n / TILE)))
-            rows = extent.n / math.prod(n) * (1 + math.prod(1 + 2 * r * k / s for s, r, k in zip(span, wide, n) if k > 1)) / 2
-            if rows <= ROWS and math.prod(n) >= least:
+            found = Tiling(extent.low, tuple(s / k for s, k in zip(span, n)), tuple(n), tuple(wrap), tuple(wide))
+            if extent.n / math.prod(n) * (1 + found.copies() / 2) <= ROWS and math.prod(n) >= least:
                 break
-        return Tiling(extent.low, tuple(s / k for s, k in zip(span, n)), tuple(n), tuple(wrap), tuple(wide))
+        return found
+
+    def copies(self) -> float:
+        """Copies that a point has on average, to all neighbours."""
+        return math.prod(1 + 2 * r / s for s, r, k in zip(self.size, self.reach, self.n) if k > 1) - 1
+
+    def boxes(self, n: int, most: int) -> list[Box]:
+        """All tiles in at most ``most`` boxes, none with more than a part in ``n`` of them where that can be."""
+        most = max(1, min(most, MOST_ROUNDS))
+        ways = [(i, j, k) for i in range(1, most + 1) for j in range(1, most // i + 1) for k in range(1, most // (i * j) + 1) if i <= self.n[0] and j <= self.n[1] and k <= self.n[2]]
+        cuts = min(ways, key=lambda way: (max(math.prod(-(-m // c) / m for m, c in zip(self.n, way)), 1 / n), math.prod(way)))
+        axes = [[(i * m // c, (i + 1) * m // c) for i in range(c)] for m, c in zip(self.n, cuts)]
+        return [Box(*zip(*found)) for found in itertools.product(*axes)]
+
+    def needed(self, box: Box) -> str:
+        """SQL for points of which the own tile or a copy is in the box; a few more pass."""
+        tests = []
+        for i, c in enumerate("xyz"):
+            if box.last[i] - box.first[i] == self.n[i]:
+                continue
+            room = 1.01 * self.reach[i] + 1e-12 * (abs(self.origin[i]) + self.n[i] * self.size[i])
+            start, length = self.origin[i] + box.first[i] * self.size[i] - room, (box.last[i] - box.first[i]) * self.size[i] + 2 * room
+            if self.wrap[i] is None:
+                tests.append(f"{c} BETWEEN {start!r}D AND {start + length!r}D")
+            elif length < self.wrap[i]:
+                tests.append(f"pmod({c} - ({start!r}D), {self.wrap[i]!r}D) <= {length!r}D")
+        lost = " or ".join(f"{c} is null" for c in "xyz")
+        return f"{lost} or ({' and '.join(tests)})" if tests else "true"
+
+    def inside(self, tile: np.ndarray, box: Box) -> np.ndarray:
+        """Whether tiles are in the box; tile -1, of points without a place, is in the first one."""
+        place = tile // (self.n[1] * self.n[2]), tile // self.n[2] % self.n[1], tile % self.n[2]
+        found = np.logical_and.reduce([(k >= lo) & (k < hi) for k, lo, hi in zip(place, box.first, box.last)])
+        return np.where(tile < 0, box.first == (0, 0, 0), found)
 
     @staticmethod
     def _cuts(span: list[float], most: list[int], left: float) -> list[int]:
@@ -213,43 +262,57 @@ def columns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield arrays(held)
 
 
-def packed_groups(tiling: Tiling, a: DataFrame, b: DataFrame | None, columns: list[str], n: int, partitions: int, chunk: int) -> DataFrame:
+def _sets(a: DataFrame, b: DataFrame | None) -> list[tuple[DataFrame, int, str]]:
+    """Sets with the role of their points and the copies that they need."""
+    return [(a, LEFT, "half" if b is None else "none"), *([] if b is None else [(b, OTHER, "all")])]
+
+
+def hot_tiles(tiling: Tiling, a: DataFrame, b: DataFrame | None, n: int, chunk: int) -> np.ndarray:
+    """Tiles with more than ``chunk`` points or copies, and into how many chunks either are cut: three rows, by a pass of its own."""
+    if n <= chunk:
+        return np.zeros((3, 0), np.int64)
+
+    def sizes(own: int, copies: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((3, 0), np.int64)
+            for xyz in columns_of(batches):
+                _, tile, shift = tiling.places(np.stack(xyz), copies)
+                left = (shift == 13) & (own == LEFT)
+                tiles, at = np.unique(np.r_[total[0], tile], return_inverse=True)
+                now = [np.bincount(at, np.r_[t, v], len(tiles)) for t, v in zip(total[1:], (left, ~left))]
+                total = np.stack([tiles, *now]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, total)), names=["tile", "lefts", "others"])
+
+        return run
+
+    found = None
+    for points, own, copies in _sets(a, b):
+        part = points.select("x", "y", "z").mapInArrow(sizes(own, copies), "tile long, lefts long, others long")
+        found = part if found is None else found.unionByName(part)
+    parts = [f"int(ceil(greatest(sum({c}), 1) / {chunk})) AS {c}" for c in ("lefts", "others")]
+    rows = found.groupBy("tile").agg(*map(F.expr, parts)).where("lefts > 1 or others > 1").collect()
+    return np.array(sorted(map(tuple, rows)), np.int64).reshape(-1, 3).T
+
+
+def packed_groups(tiling: Tiling, a: DataFrame, b: DataFrame | None, columns: list[str], n: int, partitions: int, chunk: int, hot: np.ndarray | None = None, box: Box | None = None) -> DataFrame:
     """The groups of ``groups`` as rows of ``packed_rows``, dealt in NumPy.
 
-    The hot tiles, which ``BROADCAST`` bounds, are gathered by a pass of its own.
-    A point without a place (a null coordinate) is in tile -1.
+    ``hot`` is of ``hot_tiles``, which ``BROADCAST`` bounds.  A point without a
+    place (a null coordinate) is in tile -1.
     """
     one_set = b is None
-    sets = [(a, LEFT, "half" if one_set else "none"), *([] if one_set else [(b, OTHER, "all")])]
-    hot = np.zeros((3, 0), np.int64)
-    if n > chunk:
-
-        def sizes(own: int, copies: str):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                total = np.zeros((3, 0), np.int64)
-                for xyz in columns_of(batches):
-                    _, tile, shift = tiling.places(np.stack(xyz), copies)
-                    left = (shift == 13) & (own == LEFT)
-                    tiles, at = np.unique(np.r_[total[0], tile], return_inverse=True)
-                    now = [np.bincount(at, np.r_[t, v], len(tiles)) for t, v in zip(total[1:], (left, ~left))]
-                    total = np.stack([tiles, *now]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, total)), names=["tile", "lefts", "others"])
-
-            return run
-
-        found = None
-        for points, own, copies in sets:
-            part = points.select("x", "y", "z").mapInArrow(sizes(own, copies), "tile long, lefts long, others long")
-            found = part if found is None else found.unionByName(part)
-        parts = [f"int(ceil(greatest(sum({c}), 1) / {chunk})) AS {c}" for c in ("lefts", "others")]
-        rows = found.groupBy("tile").agg(*map(F.expr, parts)).where("lefts > 1 or others > 1").collect()
-        hot = np.array(sorted(map(tuple, rows)), np.int64).reshape(-1, 3).T
+    hot = hot_tiles(tiling, a, b, n, chunk) if hot is None else hot
 
     def dealer(own: int, copies: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for *values, ids in columns_of(batches):
                 body = np.stack(values)
                 at, tile, shift = tiling.places(body[:3], copies)
+                if box:
+                    kept = np.flatnonzero(tiling.inside(tile, box))
+                    if not len(kept):
+                        continue
+                    at, tile, shift = at[kept], tile[kept], shift[kept]
                 role = np.where(shift == 13, own, OTHER)
                 head = np.stack([tile, np.zeros_like(tile), np.zeros_like(tile), role, shift])
                 if hot.shape[1]:
@@ -259,8 +322,9 @@ def packed_groups(tiling: Tiling, a: DataFrame, b: DataFrame | None, columns: li
         return run
 
     dealt = None
-    for points, own, copies in sets:
-        part = points.select(*columns, "id").mapInArrow(dealer(own, copies), SCHEMA)
+    for points, own, copies in _sets(a, b):
+        found = points.where(tiling.needed(box)) if box else points
+        part = found.select(*columns, "id").mapInArrow(dealer(own, copies), SCHEMA)
         dealt = part if dealt is None else dealt.unionByName(part)
     return dealt.repartition(partitions, "tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
@@ -296,17 +360,22 @@ def unpack(data: bytes, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return role, shift, np.ascontiguousarray(raw[n:].reshape(columns, 8, n).transpose(0, 2, 1)).view(float)[..., 0]
 
 
-def groups(tiling: Tiling, a: DataFrame, b: DataFrame | None, columns: list[str], n: int, partitions: int, chunk: int | None = None) -> DataFrame:
+def groups(tiling: Tiling, a: DataFrame, b: DataFrame | None, columns: list[str], n: int, partitions: int, chunk: int | None = None, box: Box | None = None) -> DataFrame:
     """``tile, i, j, role, shift`` and the columns, dealt and sorted by group ``(tile, i, j)``.
 
-    ``n`` is the number of points of both sets.
+    ``n`` is the number of points of both sets.  With a box, its tiles alone.
     """
     chunk = chunk or CHUNK
+    if box:
+        a, b = (None if points is None else points.where(tiling.needed(box)) for points in (a, b))
     carried = [*columns, "id"]
     if b is None:
         rows = tiling.dealt(a, carried, "half").selectExpr("*", f"if(shift = 13, {LEFT}, {OTHER}) AS role")
     else:
         rows = tiling.dealt(a, carried, "none").selectExpr("*", f"{LEFT} AS role").unionByName(tiling.dealt(b, carried, "all").selectExpr("*", f"{OTHER} AS role"))
+    if box:
+        place = f"tile div {tiling.n[1] * tiling.n[2]}", f"tile div {tiling.n[2]} % {tiling.n[1]}", f"tile % {tiling.n[2]}"
+        rows = rows.where(" and ".join(f"{k} >= {lo} and {k} < {hi}" for k, lo, hi in zip(place, box.first, box.last)))
     if n <= chunk:
         split = rows.selectExpr("tile", "0 AS i", "0 AS j", "role", "shift", *columns)
     else:

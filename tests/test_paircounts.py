@@ -2,6 +2,8 @@
 
 import dataclasses
 import itertools
+import pathlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.bins import logbins
 from tallyfield.functions.weights import pair_product
-from tallyfield.operators import mocks, theory
+from tallyfield.operators import mocks, paircount, theory
 from tallyfield.plans import kernel, tiles
 from tallyfield.plans.points import Extent, xyz
 
@@ -326,6 +328,49 @@ def test_shuffled_points_are_packed(spark):
     assert want == sorted((tile, int(role), int(shift), *x) for tile, role, shift, x in found if tile >= 0)
 
 
+def test_rounds_of_tiles_follow_size_and_pairs():
+    whole = Extent(54 * 10**6, (0.0,) * 3, (100.0,) * 3, 0.0, 0.0)
+    for wrap in ((100.0,) * 3, (100.0, 100.0, None)):
+        # 54 million points and a reach of 4: many pairs, so that no round has more than a sixth of the tiles
+        t = tiles.Tiling.plan(whole, (4.0,) * 3, wrap, 64)
+        boxes = paircount.rounds(t, whole, None, 4, True, 8)
+        parts = [set(itertools.product(*map(range, b.first, b.last))) for b in boxes]
+        assert sum(map(len, parts)) == len(set().union(*parts)) == np.prod(t.n) and max(map(len, parts)) * 6 <= np.prod(t.n)
+    # as many with few pairs, or few points, are read once
+    for n, reach in ((54 * 10**6, 0.5), (10**6, 4.0)):
+        few = dataclasses.replace(whole, n=n)
+        assert len(paircount.rounds(tiles.Tiling.plan(few, (reach,) * 3, (100.0,) * 3, 64), few, None, 4, True, 8)) == 1
+
+
+@pytest.mark.parametrize("cross, box, arrays", [(False, (31.0, 0, -1), False), (True, (31.0, 22.0, 47.0), False), (False, None, True)])
+def test_rounds_count_as_one_and_leave_no_files(spark, monkeypatch, cross, box, arrays):
+    rng = np.random.RandomState(8)
+    points = lambda seed, n: frame(spark, clouds((31.0, 22.0, 47.0), n, seed) - 5.0, rng.rand(n))
+    a, b = points(1, 400), points(2, 150) if cross else None
+    if arrays:
+        a, b = (p and p.withColumn("ws", F.array("w")) for p in (a, b))
+    else:  # a point without a place counts with itself alone
+        a = a.unionByName(spark.createDataFrame([(400, None, 1.0, 1.0, 1.0)], a.schema))
+    weigh = (lambda v, w, *_: v[0] * w[0]) if arrays else "pair_product"
+    folders = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f.name for d in folders for f in pathlib.Path(d).rglob("shuffle_*.data")}
+    found, seen = [], []
+    whole = paircount.rounds
+    monkeypatch.setattr(paircount, "rounds", lambda *v: seen.append(whole(*v)) or seen[-1])
+    for size in (paircount.ROUND, 5000):
+        monkeypatch.setattr(paircount, "ROUND", size)
+        monkeypatch.setattr(paircount, "MET", 0.01)
+        monkeypatch.setattr(paircount, "ROUND_TILES", 0.25)
+        before = shuffled()
+        found.append([tuple(r) for r in theory.DD(a, [0.0, 1.0, 3.0, 5.0], b, periodic=box is not None, boxsize=box, weight_type=weigh, output_ravg=True).collect()])
+    assert len(seen[0]) == 1 and len(seen[1]) > 2
+    assert [r[3] for r in found[0]] == [r[3] for r in found[1]] and np.allclose(found[0], found[1], rtol=1e-12) and found[0][2][3] > 0
+    deadline = time.monotonic() + 20
+    while (left := shuffled() - before) and time.monotonic() < deadline:  # files go a moment later
+        time.sleep(0.1)
+    assert not left
+
+
 @pytest.mark.parametrize("kind", ["ball", "layers"])
 def test_pairs_on_edges_count_exactly(kind, monkeypatch):
     # separations that are edges, and nearer to them than single precision can tell
